@@ -9,7 +9,7 @@ length filter and the positional filter in the join; each pair is then verified
 a suffix filter.
 
 The result needs components, so pairs inside a component that is known already are not
-needed. Two rounds link each token's texts to one leader; then only pairs of texts whose
+needed. A few rounds link each token's texts to one leader; then only pairs of texts whose
 components still differ are looked at, where the largest component of a token stands on one
 side only. No link between different components is lost, and a group of thousands of near
 copies costs about its size per round rather than its square.
@@ -31,7 +31,7 @@ from marlstone.staging import Staged, stage
 
 #: Tokens for counting, joining and verifying are cut to so many bits; sizes of sets come from 64 bits.
 TOKEN_BITS = 56
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 SUFFIX_PARTS = 16
 
 _DONE = "doc_id long, n long, fp binary, uniq long, prefix array<long>, tokens binary, parts binary"
@@ -175,16 +175,18 @@ def _links(texts: DataFrame, num: int, den: int) -> DataFrame:
             cand = x.join(lead, "tok")
         pairs(cand)
         comp = grown()
-    c = Staged(p.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("tok", "fp", "n", "p", F.coalesce("component", "fp").alias("c")), "op2-open")
+    c = Staged(p.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("tok", "fp", "n", "p", F.coalesce("component", "fp").alias("c")), "op2-comps")
     sizes = c.df.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("c", "k").alias("top")).where("comps > 1")
-    here = c.df.join(sizes.select("tok", "top"), "tok")
-    left = here.where("c != top").select("tok", "top", *(F.col(k).alias(f"x{k}") for k in ("fp", "n", "p", "c")))
-    right = c.df.select("tok", *(F.col(k).alias(f"y{k}") for k in ("fp", "n", "p", "c")))
-    rest = left.join(right, "tok").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("xfp") < F.col("yfp"))))
+    here = Staged(c.df.join(sizes.select("tok", "top"), "tok").join(texts.select("fp", "prefix"), "fp"), "op2-open")
+    left = here.df.where("c != top").select("tok", "top", *(F.col(k).alias(f"x{k}") for k in ("fp", "n", "p", "c", "prefix")))
+    right = here.df.select("tok", *(F.col(k).alias(f"y{k}") for k in ("fp", "n", "p", "c", "prefix")))
+    once = F.element_at(F.array_intersect("xprefix", "yprefix"), 1) == F.col("tok")  # a pair is made at the first token that it shares
+    apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("xfp") < F.col("yfp")))
+    rest = left.join(right, "tok").where(apart & near & once)
     pairs(rest)
     links = grown()
-    posts.drop()
-    c.drop()
+    for t in (posts, c, here):
+        t.drop()
     return links
 
 
