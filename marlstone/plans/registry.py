@@ -1,6 +1,526 @@
-"""All queries of the library's own operators with their SQL."""
+"""All queries of the library's own operators, with SQL that states the same results."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as X
+from marlstone.functions import titles
+from marlstone.functions.fixed import CODECS, GROUP_REPUTATION, METADATA, NOISE_SUFFIXES
+from marlstone.operators import archive, cache, refine, series
+from marlstone.operators import releases as R
+from marlstone.operators.dedupe import dedupe, keyed
+from marlstone.operators.graph import connected_components
+from marlstone.plans import search as S
+from marlstone.sources import feeds
+from marlstone.sources.releases import RELEASES_SQL, releases
+from marlstone.staging import stage
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.annotate(releases(spark, sf_dir))
+
+
+_KEY = r"trim(regexp_replace(regexp_replace(lower({}), '[\p{{P}}\p{{S}}]', ' ', 'g'), '\s+', ' ', 'g'))"
+_META = "'(?i)^(?:" + "|".join(METADATA).replace("'", "''") + ")$'"
+_EP = r"'(?i)(?:-\s*(\d{1,3})(?:v(\d))?\b|\[(\d{1,3})(?:v(\d))?\]|\bEP?(\d{1,3})(?:v(\d))?\b)'"
+_RANGE = r"'[\s\[-](\d{1,3})\s*[-~]\s*(\d{1,3})(?:[\s\]]|$)'"
+_SEASON = r"'(?i)(?:S(\d{1,2})\b|Season\s*(\d{1,2}))'"
+_TAIL = r"'\s+-\s+\d{1,3}(?:v\d)?.*$'"
+
+PARSED_SQL = rf"""{RELEASES_SQL},
+p1 AS (
+  SELECT *, nullif(trim(regexp_extract(title, '^\[([^\]]*)\]', 1)), '') AS grp, trim(regexp_replace(title, '^\[[^\]]*\]', '')) AS rest FROM releases
+), p2 AS (
+  SELECT *, replace(lower(nullif(regexp_extract(rest, '(?i)(2160p|1080p|720p|480p|4k)', 1), '')), 'k', 'K') AS resolution,
+    lower(nullif(regexp_extract(rest, '(?i)\b({"|".join(CODECS)})\b', 1), '')) AS codec,
+    nullif(coalesce(try_cast(nullif(regexp_extract(rest, {_SEASON}, 1), '') AS INT), try_cast(nullif(regexp_extract(rest, {_SEASON}, 2), '') AS INT)), 0) AS season,
+    try_cast(nullif(regexp_extract(rest, {_RANGE}, 1), '') AS INT) AS ra, try_cast(nullif(regexp_extract(rest, {_RANGE}, 2), '') AS INT) AS rb,
+    try_cast(coalesce(nullif(regexp_extract(rest, {_EP}, 1), ''), nullif(regexp_extract(rest, {_EP}, 3), ''), nullif(regexp_extract(rest, {_EP}, 5), '')) AS INT) AS ep,
+    try_cast(coalesce(nullif(regexp_extract(rest, {_EP}, 2), ''), nullif(regexp_extract(rest, {_EP}, 4), ''), nullif(regexp_extract(rest, {_EP}, 6), '')) AS INT) AS ver,
+    CASE WHEN rest LIKE '[%' THEN list_filter(list_transform(regexp_extract_all(rest, '\[([^\]]+)\]', 1), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {_META})) END AS names,
+    CASE WHEN rest NOT LIKE '[%' THEN nullif(trim(regexp_replace(regexp_replace(split_part(regexp_extract(rest, '^([^\[\]()]*)', 1), '/', 1), {_TAIL}, ''), {_SEASON}, '')), '') END AS free
+  FROM p1
+), parsed AS (
+  SELECT * EXCLUDE (ep, ver), coalesce(names[1], free) AS series, coalesce(rb > ra, false) AS ranged, CASE WHEN NOT coalesce(rb > ra, false) THEN ep END AS episode,
+    CASE WHEN NOT coalesce(rb > ra, false) THEN ver END AS version,
+    nullif({_KEY.format("coalesce(list_filter(names, lambda x: regexp_matches(x, '[A-Za-z]'))[1], names[1], free)")}, '') AS series_key
+  FROM p2
+), slots AS (
+  SELECT *, CASE WHEN series_key IS NULL THEN NULL WHEN episode IS NOT NULL THEN 'e' || episode WHEN ranged THEN 'r' || ra || '-' || rb END AS slot,
+    CASE resolution WHEN '2160p' THEN 4 WHEN '4K' THEN 4 WHEN '1080p' THEN 3 WHEN '720p' THEN 2 WHEN '480p' THEN 1 ELSE 0 END AS res FROM parsed
+), pruned AS (
+  SELECT *, slot IS NULL AS passed, CASE WHEN slot IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY series_key, coalesce(season, 0), slot) END AS place
+  FROM slots QUALIFY slot IS NULL OR row_number() OVER (PARTITION BY series_key, coalesce(season, 0), slot ORDER BY coalesce(version, 1) DESC, coalesce(seeders, -1) DESC, res DESC, published DESC, ord) = 1
+), keyed AS (
+  SELECT *, series_key || CASE WHEN season IS NULL THEN '' ELSE '::s' || season END AS group_key FROM pruned
+), sums AS (
+  SELECT group_key, count(*) AS n_items, max(published) AS fresh, min((passed, place)) AS first_at, arg_min(series, (passed, place)) AS group_series, min(season) AS group_season
+  FROM keyed WHERE group_key IS NOT NULL GROUP BY group_key
+)
+"""
+
+
+@query(f"WITH {PARSED_SQL} SELECT ord, grp, series, series_key, season, episode, CASE WHEN ranged THEN ra END AS range_start, CASE WHEN ranged THEN rb END AS range_end, version, resolution, codec FROM parsed")
+def parse_title(spark, sf_dir):
+    p = titles.with_parsed(releases(spark, sf_dir).select("ord", "title"))
+    return p.select(
+        "ord", F.col("parsed.group").alias("grp"), "parsed.series", X.empty_as_null(F.col("parsed.series_key")).alias("series_key"), "parsed.season", "parsed.episode",
+        F.col("parsed.episode_range.start").alias("range_start"), F.col("parsed.episode_range.end").alias("range_end"), "parsed.version", "parsed.resolution", "parsed.codec",
+    )
+
+
+@query(f"SELECT doc_id, {_KEY.format("split_part(text, chr(10), 1)")} AS key FROM documents")
+def series_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.series_key(F.substring_index("text", "\n", 1)).alias("key"))
+
+
+_BEST = "ord, series_key, season, episode, version, resolution, seeders, source, passed, place"
+
+
+@query(f"WITH {PARSED_SQL} SELECT {_BEST} FROM pruned WHERE NOT passed")
+def best_release(spark, sf_dir):
+    return R.best_per_episode(_annotated(spark, sf_dir)).where("NOT passed").select(*_BEST.split(", "))
+
+
+@query(
+    f"""WITH {PARSED_SQL} SELECT s.group_key, group_series, group_season, n_items, row_number() OVER (ORDER BY fresh DESC, first_at) AS group_rank FROM sums s WHERE n_items > 1"""
+)
+def group_releases(spark, sf_dir):
+    groups, _ = R.grouped(stage(R.best_per_episode(_annotated(spark, sf_dir)), "best"))
+    return groups.where("item_rank = 1").select("group_key", "group_series", "group_season", "n_items", "group_rank")
+
+
+@query(
+    f"""WITH {PARSED_SQL} SELECT k.ord, k.group_key, row_number() OVER (PARTITION BY k.group_key ORDER BY episode DESC NULLS LAST, published DESC, passed, place) AS item_rank
+    FROM keyed k JOIN sums s ON s.group_key = k.group_key WHERE n_items > 1"""
+)
+def group_items(spark, sf_dir):
+    groups, _ = R.grouped(stage(R.best_per_episode(_annotated(spark, sf_dir)), "best"))
+    return groups.select("ord", "group_key", "item_rank")
+
+
+@query(
+    f"""WITH {PARSED_SQL} SELECT ord, row_number() OVER (ORDER BY episode DESC NULLS LAST, published DESC, k.group_key IS NOT NULL, passed, place) AS item_rank
+    FROM keyed k LEFT JOIN sums s ON s.group_key = k.group_key WHERE k.group_key IS NULL OR n_items = 1"""
+)
+def ungrouped_items(spark, sf_dir):
+    _, rest = R.grouped(stage(R.best_per_episode(_annotated(spark, sf_dir)), "best"))
+    return rest.select("ord", "item_rank")
+
+
+_BUCKETS = rf"""{RELEASES_SQL},
+tk AS (SELECT *, regexp_replace(lower(split_part(title, '/', 1)), '[\p{{P}}\p{{S}}\s]+', '', 'g') AS title_key FROM releases),
+al AS (SELECT title_key, arg_min(info_hash, ord) AS alias FROM tk WHERE info_hash IS NOT NULL AND title_key <> '' GROUP BY title_key),
+bk AS (SELECT tk.*, CASE WHEN coalesce(info_hash, alias) IS NOT NULL THEN 'hash:' || coalesce(info_hash, alias) ELSE 'title:' || tk.title_key END AS bucket FROM tk LEFT JOIN al USING (title_key))
+"""
+
+
+@query(f"WITH {_BUCKETS} SELECT bucket, count(*) AS n, min(ord) AS ord, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM bk GROUP BY bucket")
+def dedupe_buckets(spark, sf_dir):
+    rows = keyed(releases(spark, sf_dir))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+_PRIORITY = "list_position(['nyaa', 'bangumi-moe', 'dmhy', 'acg-rip'], {})"
+
+
+@query(
+    f"""WITH RECURSIVE {_BUCKETS},
+    rk AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY ord) AS rn, CASE WHEN seeders IS NULL THEN 0 ELSE 4 END + CASE WHEN size IS NULL THEN 0 ELSE 2 END + CASE WHEN info_hash IS NULL THEN 0 ELSE 1 END AS score FROM bk),
+    f AS (
+      SELECT bucket, rn, ord AS first_ord, id, source, size, seeders, info_hash, published, score, tags, [source] AS sources FROM rk WHERE rn = 1
+      UNION ALL
+      SELECT bucket, rn, first_ord, CASE WHEN w THEN nid ELSE id END, CASE WHEN w THEN nsource ELSE source END,
+        CASE WHEN w THEN coalesce(nsize, size) ELSE coalesce(size, nsize) END, CASE WHEN w THEN coalesce(nseeders, seeders) ELSE coalesce(seeders, nseeders) END,
+        coalesce(info_hash, nhash), greatest(published, npublished), score | nscore,
+        CASE WHEN w THEN list_concat(ntags, list_filter(tags, lambda x: NOT list_contains(ntags, x))) ELSE list_concat(tags, list_filter(ntags, lambda x: NOT list_contains(tags, x))) END,
+        CASE WHEN w THEN list_concat([nsource], list_filter(sources, lambda x: x <> nsource)) WHEN list_contains(sources, nsource) THEN sources ELSE list_concat(sources, [nsource]) END
+      FROM (SELECT f.bucket, n.rn, f.first_ord, f.id, n.id AS nid, f.source, n.source AS nsource, f.size, n.size AS nsize, f.seeders, n.seeders AS nseeders, f.info_hash, n.info_hash AS nhash,
+          f.published, n.published AS npublished, f.score, n.score AS nscore, f.tags, n.tags AS ntags, f.sources,
+          n.score > f.score OR (n.score = f.score AND {_PRIORITY.format("n.source")} < {_PRIORITY.format("f.source")}) AS w
+        FROM f JOIN rk n ON n.bucket = f.bucket AND n.rn = f.rn + 1)
+    )
+    SELECT bucket, rn AS n_merged, first_ord AS ord, id, source, size, seeders, info_hash, strftime(published, '%Y-%m-%dT%H:%M:%S.000Z') AS published_at,
+      array_to_string(tags, ',') AS tags, array_to_string(sources, ',') AS sources FROM f QUALIFY rn = max(rn) OVER (PARTITION BY bucket)"""
+)
+def dedupe_fold(spark, sf_dir):
+    d = dedupe(releases(spark, sf_dir))
+    return d.select("bucket", "n_merged", "ord", "id", "source", "size", "seeders", "info_hash", "published_at", F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(
+    """WITH t AS (SELECT c_custkey, translate(left(upper(md5(CAST(c_custkey AS VARCHAR))), 32), '0189', 'WXYZ') AS b FROM customer)
+    SELECT c_custkey, lower(list_reduce(list_prepend('', list_transform(range(0, 8), lambda g:
+      lpad(printf('%X', CAST(list_sum(list_transform(range(0, 4), lambda k: (strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', b[g * 4 + k + 1]) - 1) * CAST(pow(32, 3 - k) AS BIGINT))) AS BIGINT)), 5, '0'))), lambda a, x: a || x)) AS hex FROM t"""
+)
+def base32_hex(spark, sf_dir):
+    text = F.translate(F.upper(F.md5(F.col("c_custkey").cast("string"))), "0189", "WXYZ")
+    return table(spark, sf_dir, "customer").select("c_custkey", X.normal_hash(text).alias("hex"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS line FROM documents UNION ALL SELECT conv_id * 1000 + turn, split_part(text, chr(10), 1) FROM conversations),
+    k AS (SELECT id, regexp_replace(lower(split_part(line, '/', 1)), '[\p{P}\p{S}\s]+', '', 'g') AS title_key FROM t)
+    SELECT title_key, count(*) AS n, min(id) AS first_id FROM k WHERE title_key <> '' GROUP BY title_key HAVING count(*) > 1"""
+)
+def title_key_dups(spark, sf_dir):
+    line = F.substring_index("text", "\n", 1)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), line.alias("line"))
+    talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), line.alias("line"))
+    rows = docs.unionByName(talk).select("id", X.title_key(F.col("line")).alias("title_key")).where("title_key <> ''")
+    return rows.groupBy("title_key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+
+
+SERIES_SQL = rf"""{PARSED_SQL},
+se AS (SELECT series_key, arg_min(title, ord) AS title, min(ord) AS ord FROM parsed WHERE series_key IS NOT NULL GROUP BY series_key),
+ar AS (SELECT series_key, ord, regexp_replace(title, '^\s*\[[^\]]*\]\s*', '') AS rest FROM se),
+an AS (
+  SELECT series_key, ord, {_KEY.format(f"trim(regexp_replace(x, {_TAIL}, ''))")} AS name FROM (SELECT series_key, ord, unnest(string_split(regexp_extract(rest, '^([^\[\]()]*)', 1), '/')[2:]) AS x FROM ar)
+  UNION SELECT series_key, ord, {_KEY.format("x")} FROM (SELECT series_key, ord, trim(unnest(regexp_extract_all(rest, '\[([^\]]+)\]', 1))) AS x FROM ar) WHERE x <> '' AND NOT regexp_matches(x, {_META})
+),
+ae AS (SELECT DISTINCT first AS a, series_key AS b FROM (SELECT name, series_key, arg_min(series_key, ord) OVER (PARTITION BY name) AS first FROM an WHERE length(name) >= 6) WHERE series_key <> first)
+"""
+
+
+@query(f"WITH {SERIES_SQL} SELECT a, b FROM ae")
+def alias_edges(spark, sf_dir):
+    return series.alias_edges(series.entries(_annotated(spark, sf_dir)))
+
+
+_VARIANTS = "v AS (SELECT key, min(p_partkey) AS ord FROM (SELECT p_partkey, unnest([lower(p_name), lower(p_name) || ' x', lower(p_name || ' ' || p_type), lower(p_name) || ' tv', lower(p_name) || ' the animation ova', lower(p_type) || ' specials']) AS key FROM part) GROUP BY key)"
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, t = F.lower("p_name"), F.lower("p_type")
+    keys = F.array(n, F.concat(n, F.lit(" x")), F.concat(n, F.lit(" "), t), F.concat(n, F.lit(" tv")), F.concat(n, F.lit(" the animation ova")), F.concat(t, F.lit(" specials")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(keys).alias("series_key")).groupBy("series_key").agg(F.min("p_partkey").alias("ord"))
+
+
+_CONTAINED = "SELECT s.key AS a, l.key AS b FROM v s JOIN v l ON s.key <> l.key AND contains(l.key, s.key) AND length(s.key) >= 6 AND length(s.key) / length(l.key) >= 0.65"
+
+
+@query(f"WITH {_VARIANTS} {_CONTAINED}")
+def containment_pairs(spark, sf_dir):
+    return series.containment_edges(_variants(spark, sf_dir))
+
+
+def _noise_sql(c: str) -> str:
+    for s in NOISE_SUFFIXES:
+        c = f"(SELECT CASE WHEN ends_with(x, '{s}') THEN trim(left(x, length(x) - {len(s)})) ELSE x END FROM (SELECT {c} AS x))"
+    return c
+
+
+_NOISE = "nz AS (SELECT key, ord, {} AS name FROM v)".format(_noise_sql("key"))
+
+
+@query(f"WITH {_VARIANTS}, {_NOISE} SELECT key, name FROM nz")
+def noise_suffix(spark, sf_dir):
+    return _variants(spark, sf_dir).select(F.col("series_key").alias("key"), series.without_noise(F.col("series_key")).alias("name"))
+
+
+@query(
+    f"""WITH RECURSIVE {_VARIANTS}, {_NOISE},
+    e0 AS ({_CONTAINED} UNION SELECT first, key FROM (SELECT key, arg_min(key, ord) OVER (PARTITION BY name) AS first FROM nz WHERE length(name) >= 6) WHERE key <> first),
+    e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+    reach(x, y) AS (SELECT a, a FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y)
+    SELECT x AS node, min(y) AS component FROM reach GROUP BY x"""
+)
+def series_components(spark, sf_dir):
+    rows = _variants(spark, sf_dir)
+    return connected_components(series.containment_edges(rows).unionByName(series.noise_edges(rows)), "a", "b")
+
+
+@query(
+    f"""WITH RECURSIVE {_VARIANTS}, {_NOISE},
+    e0 AS ({_CONTAINED} UNION SELECT first, key FROM (SELECT key, arg_min(key, ord) OVER (PARTITION BY name) AS first FROM nz WHERE length(name) >= 6) WHERE key <> first),
+    e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+    reach(x, y) AS (SELECT a, a FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y),
+    c AS (SELECT x AS key, min(y) AS comp FROM reach GROUP BY x),
+    m AS (SELECT c.key, first_value(c.key) OVER (PARTITION BY comp ORDER BY length(c.key), v.ord, c.key) AS canonical FROM c JOIN v ON v.key = c.key)
+    SELECT key, canonical FROM m WHERE key <> canonical"""
+)
+def series_remap(spark, sf_dir):
+    rows = stage(_variants(spark, sf_dir), "variants").withColumn("ord", F.struct("ord", "series_key"))
+    return series.remap(rows, series.containment_edges(rows).unionByName(series.noise_edges(rows)))
+
+
+@query(
+    """SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT c_name AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0) a
+    FULL JOIN (SELECT c_name AS k, 'n' || c_nationkey AS v FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k"""
+)
+def remap_overlay(spark, sf_dir):
+    # The two lookups overlap in part; which keys each has is the case under test.
+    c = table(spark, sf_dir, "customer")
+    base = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("k"), F.col("c_mktsegment").alias("v"))
+    over = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("k"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("v"))
+    return series.overlay(base, over, "k", "v")
+
+
+_CREWS = ("SubsPlease", "Erai-raws", "Nobody", "JSum", "离谱Sub", "VCB-Studio")
+_SCORES = ", ".join(f"('{k}', {v})" for k, v in GROUP_REPUTATION.items())
+
+
+@query(
+    f"""WITH g AS (SELECT DISTINCT lower(CASE WHEN s_suppkey % 7 = 6 THEN s_name ELSE [{", ".join(f"'{c}'" for c in _CREWS)}][CAST(s_suppkey % 7 AS INT) + 1] END) AS name FROM supplier)
+    SELECT name, CAST(score AS BIGINT) AS score FROM g JOIN (VALUES {_SCORES}) AS r(n, score) ON r.n = g.name"""
+)
+def group_ranking(spark, sf_dir):
+    crew = F.coalesce(F.get(F.array(*map(F.lit, _CREWS)), (F.col("s_suppkey") % 7).cast("int")), F.col("s_name"))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("["), crew, F.lit("] Show - 01")).alias("title"))
+    return series.group_ranking(titles.with_parsed(rows))
+
+
+@query(
+    """SELECT event_type, event_id, rn - 1 AS place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)
+    WHERE rn > 10 AND rn <= 30"""
+)
+def source_page(spark, sf_dir):
+    """A page of each source: the limit is the feature."""
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("ord", (F.row_number().over(w) - 1).cast("long"))
+    return S.page(rows, 20, 10).select("event_type", "event_id", F.col("ord").alias("place"))
+
+
+@query(r"SELECT page_id, unnest(range(0, len(b))) AS pos, unnest(b) AS block FROM (SELECT page_id, regexp_extract_all(html, '<li\b[^>]*>([\s\S]*?)</li>', 1) AS b FROM pages)")
+def feed_items(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(feeds.blocks(F.col("html"), "li")).alias("pos", "block"))
+    return p.select("page_id", F.col("pos").cast("long").alias("pos"), "block")
+
+
+_DECODE = "replace(replace(replace(replace(replace({}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')"
+
+
+@query(rf"SELECT page_id, nullif(trim({_DECODE.format(r"regexp_extract(html, '<title(?:\s[^>]*)?>([\s\S]*?)</title>', 1)")}, ' ' || chr(9) || chr(10) || chr(13)), '') AS title FROM pages")
+def feed_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", feeds.text_of(F.col("html"), "title").alias("title"))
+
+
+@query(rf"""SELECT page_id, CASE WHEN regexp_matches(html, '<a\b[^>]*\bhref="([^"]*)"') THEN {_DECODE.format(r"""regexp_extract(html, '<a\b[^>]*\bhref="([^"]*)"', 1)""")} END AS href FROM pages""")
+def feed_attr(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", feeds.attr_of(F.col("html"), "a", "href").alias("href"))
+
+
+@query(f"SELECT page_id, md5({_DECODE.format('html')}) AS decoded FROM pages")
+def html_entities(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(feeds.decoded(F.col("html"))).alias("decoded"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM orders")
+def iso_dates(spark, sf_dir):
+    mail = F.concat(F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.iso_date(mail).alias("iso"))
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN 'magnet:?xt=urn:btih:' || h || left(h, 8) || '&dn=' ||
+      replace(replace(replace(replace(replace(url_encode(n), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') END AS magnet
+    FROM (SELECT s_suppkey, md5(s_name) AS h, s_name || ' (it''s) !~*&é' AS n FROM supplier)"""
+)
+def magnet_links(spark, sf_dir):
+    h = F.md5("s_name")
+    digest = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit(" "), F.upper(h), F.left(h, F.lit(8)))).otherwise(h)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", X.magnet(digest, F.concat("s_name", F.lit(" (it's) !~*&é"))).alias("magnet"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.0f B', n) WHEN n < 1048576 THEN CASE WHEN n / 1024 >= 10 THEN printf('%.0f KB', n / 1024) ELSE printf('%.1f KB', n / 1024) END
+      WHEN n < 1073741824 THEN CASE WHEN n / 1048576 >= 10 THEN printf('%.0f MB', n / 1048576) ELSE printf('%.1f MB', n / 1048576) END
+      ELSE CASE WHEN n / 1073741824 >= 10 THEN printf('%.0f GB', n / 1073741824) ELSE printf('%.1f GB', n / 1073741824) END END AS size
+    FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) * 997 AS n FROM documents)"""
+)
+def format_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.bytes_text(F.col("n_chars") * 997).alias("size"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN e IS NOT NULL AND s > 0 THEN 'S' || s || 'E' || CASE WHEN e < 10 THEN '0' ELSE '' END || e
+      WHEN e IS NOT NULL THEN 'EP' || CASE WHEN e < 10 THEN '0' ELSE '' END || e WHEN s > 0 THEN 'S' || s ELSE '—' END AS label
+    FROM (SELECT *, CASE WHEN l_quantity <= 40 THEN CAST(l_quantity * 3 AS INT) END AS e, CAST(l_linenumber % 3 AS INT) AS s FROM lineitem)"""
+)
+def episode_label(spark, sf_dir):
+    e, s = F.when(F.col("l_quantity") <= 40, (F.col("l_quantity") * 3).cast("int")), F.col("l_linenumber") % 3
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", X.episode_label(s, e).alias("label"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('機動戰士', 'traditional', '机动战士'), ('机动战士', 'simplified', '机动战士'), ('plain text', NULL, 'plain text'), ('アニメ', NULL, 'アニメ')) AS t(text, script, folded)"""
+)
+def script_detect(spark, sf_dir):
+    rows = spark.createDataFrame([(t,) for t in ("機動戰士", "机动战士", "plain text", "アニメ")], "text string")
+    return rows.select("text", X.script(F.col("text")).alias("script"), X.simplified(F.col("text")).alias("folded"))
+
+
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expires = F.col("ts") + F.expr(f"INTERVAL {cache.CACHE_SECONDS} SECONDS")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("payload"), expires.alias("expires_at"), "ts", "event_id")
+
+
+_LAST = "l AS (SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, (ts, event_id)) AS payload, arg_max(ts, (ts, event_id)) + INTERVAL 900 SECONDS AS expires_at FROM events GROUP BY user_id)"
+_NOW = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
+
+@query(f"WITH {_LAST} SELECT key, payload, expires_at FROM l")
+def cache_upsert(spark, sf_dir):
+    return cache.upsert(_writes(spark, sf_dir), "ts", "event_id").select("key", "payload", "expires_at")
+
+
+@query(f"WITH {_LAST} SELECT k.key, CASE WHEN expires_at > {_NOW} THEN payload END AS payload FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS key FROM orders) k LEFT JOIN l ON l.key = k.key")
+def cache_lookup(spark, sf_dir):
+    last = table(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("now"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key")).distinct().join(F.broadcast(last))
+    return cache.lookup(cache.upsert(_writes(spark, sf_dir), "ts", "event_id").select("key", "payload", "expires_at"), asked).select("key", "payload")
+
+
+@query(f"WITH {_LAST} SELECT key FROM l WHERE expires_at <= {_NOW}")
+def cache_sweep(spark, sf_dir):
+    now = F.lit(table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 DAY")
+    return cache.expired(cache.upsert(_writes(spark, sf_dir), "ts", "event_id"), now)
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS query, event_type = 'purchase' AS refined, max(props) AS payload FROM events GROUP BY ALL)
+    SELECT query, arg_max(refined, CAST(refined AS INT)) AS refined, arg_max(payload, CAST(refined AS INT)) AS payload FROM e GROUP BY query"""
+)
+def cache_precedence(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("query"), (F.col("event_type") == "purchase").alias("refined"), "props")
+    return cache.preferred(rows.groupBy("query", "refined").agg(F.max("props").alias("payload")))
+
+
+@query(
+    """SELECT c_custkey, '{"k":"' || lower(c_name) || ' x","s":["dmhy","nyaa"],"p":' || CASE WHEN c_custkey % 2 = 0 THEN '"simplified"' ELSE 'null' END || ',"l":20,"o":null,"llm":' || CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END || '}' AS key FROM customer"""
+)
+def cache_key(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    key = cache.key_column(
+        F.concat(F.lit("  "), F.upper("c_name"), F.lit("\t  X ")), F.array(F.lit("nyaa"), F.lit("dmhy")), F.when(F.col("c_custkey") % 2 == 0, "simplified"),
+        F.lit(20), F.lit(None).cast("int"), F.col("c_custkey") % 3 == 0,
+    )
+    return c.select("c_custkey", key.alias("key"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer over nations: each region's nations are a cluster named by the region."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    g = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).groupBy("r_regionkey", "r_name")
+    g = g.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("originals"))
+    whole = g.agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", F.col("r_name").alias("canonical"), "originals"))), lambda x: F.struct(x["canonical"].alias("canonical"), x["originals"].alias("originals"))).alias("groups"))
+    names = nation.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("ranking"))
+    text = F.concat(F.lit("```json\n"), F.to_json(F.struct("groups", "ranking")), F.lit("\n```"))
+    return whole.join(names).select(F.lit(0).alias("pos"), refine.parsed_answer(text).alias("answer"))
+
+
+@query("SELECT lower(n_name) AS key, lower(r_name) AS canonical FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 5 <> 1 AND lower(n_name) <> lower(r_name) QUALIFY count(*) OVER (PARTITION BY r_regionkey) >= 2")
+def cluster_remap(spark, sf_dir):
+    known = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 1").select(F.col("n_name").alias("label"), F.lower("n_name").alias("series_key"))
+    return refine.cluster_remap(_answers(spark, sf_dir), known)
+
+
+@query("SELECT lower(n_name) AS name, (SELECT count(*) FROM nation) - row_number() OVER (ORDER BY n_nationkey) + 1 AS score FROM nation WHERE n_nationkey % 4 <> 2")
+def ranking_scores(spark, sf_dir):
+    return refine.ranking_scores(_answers(spark, sf_dir), table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 2").select(F.col("n_name").alias("name")))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY item_id) AS k, item_id, CAST(ceil(length(text) / 3.0) AS BIGINT) + 2 AS cost FROM benchmark),
+    f AS (SELECT k, item_id, cost, 0 AS chunk, 400 + cost AS used FROM l WHERE k = 1
+      UNION ALL SELECT n.k, n.item_id, n.cost, CASE WHEN f.used + n.cost > 1000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + n.cost > 1000 THEN 400 + n.cost ELSE f.used + n.cost END FROM f JOIN l n ON n.k = f.k + 1)
+    SELECT item_id AS ord, cost, CAST(chunk AS BIGINT) AS chunk FROM f"""
+)
+def token_chunks(spark, sf_dir):
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("label"))
+    return refine.chunked(names, 1000).select("ord", "cost", "chunk")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        (F.floor(F.col("doc_id") / 100)).alias("archive"), (F.col("doc_id") % 100 + 1).alias("ord"), F.when(F.col("doc_id") % 17 == 3, "ftp://x").otherwise("https://x").alias("url"),
+        F.concat("source", F.lit(":"), "lang", F.lit(".Torrent")).alias("filename"), F.when(F.col("doc_id") % 19 == 5, 404).otherwise(200).alias("status"), F.encode("text", "UTF-8").alias("data"),
+    )
+
+
+_GOOD = "g AS (SELECT doc_id // 100 AS archive, doc_id % 100 + 1 AS ord, source || '_' || lang || '.Torrent' AS name, CASE WHEN doc_id % 17 = 3 OR doc_id % 19 = 5 THEN NULL ELSE strlen(text) END AS size FROM documents)"
+
+
+@query(f"WITH {_GOOD}, u AS (SELECT archive, ord, size, sum(coalesce(size, 0)) OVER (PARTITION BY archive ORDER BY ord) AS upto FROM g) SELECT archive, ord, CAST(upto AS BIGINT) AS upto, upto <= 100000 AS kept FROM u")
+def zip_budget(spark, sf_dir):
+    rows = archive.checked(_files(spark, sf_dir)).withColumn("size", F.when(F.col("error").isNull(), F.octet_length("data")).cast("long"))
+    return archive.budgeted(rows, 100_000).select("archive", "ord", "upto", "kept")
+
+
+@query(f"WITH {_GOOD} SELECT archive, ord, CASE WHEN n = 0 THEN name ELSE left(name, length(name) - 8) || '-' || n || '.Torrent' END AS final_name FROM (SELECT *, row_number() OVER (PARTITION BY archive, name ORDER BY ord) - 1 AS n FROM g WHERE size IS NOT NULL)")
+def zip_names(spark, sf_dir):
+    return archive.named(archive.checked(_files(spark, sf_dir)).where("error IS NULL")).select("archive", "ord", "final_name")
+
+
+@query()
+def zip_archives(spark, sf_dir):
+    """Archives' digests; the bytes are tested by reading them back."""
+    built = archive.archives(_files(spark, sf_dir))
+    return built.select("archive", "n_files", "n_errors", "error", archive.crc(F.col("data")).alias("crc"), F.octet_length("data").alias("n_bytes"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = releases(spark, sf_dir).select("ord", "title", "magnet_url", "torrent_url", F.substring_index("title", "]", 1).alias("group_key"))
+    return rows, rows.where("ord % 7 = 0").select("ord")  # the user's selection
+
+
+_SEL = f"WITH {RELEASES_SQL}, s AS (SELECT *, split_part(title, ']', 1) AS group_key, ord % 7 = 0 AS chosen FROM releases)"
+
+
+@query(f"{_SEL} SELECT group_key, bool_and(chosen) AS all_selected, bool_or(chosen) AS some_selected FROM s GROUP BY group_key")
+def selection_state(spark, sf_dir):
+    rows, chosen = _selected(spark, sf_dir)
+    at = rows.join(chosen.withColumn("c", F.lit(True)), "ord", "left").withColumn("c", F.coalesce("c", F.lit(False)))
+    return at.groupBy("group_key").agg(F.bool_and("c").alias("all_selected"), F.bool_or("c").alias("some_selected"))
+
+
+@query(f"{_SEL} SELECT ord, title || '.torrent' AS filename FROM s WHERE chosen")
+def selected_items(spark, sf_dir):
+    rows, chosen = _selected(spark, sf_dir)
+    return rows.join(chosen, "ord", "left_semi").select("ord", F.concat("title", F.lit(".torrent")).alias("filename"))
+
+
+@query(f"{_SEL} SELECT count(*) AS total, count(DISTINCT group_key) AS n_groups, count_if(chosen) AS n_selected FROM s")
+def result_summary(spark, sf_dir):
+    rows, _ = _selected(spark, sf_dir)
+    return rows.agg(F.count("*").alias("total"), F.countDistinct("group_key").alias("n_groups"), F.count_if(F.col("ord") % 7 == 0).alias("n_selected"))
+
+
+@query("SELECT user_id, arg_max(props, event_id) AS props, max(event_id) AS seq FROM events GROUP BY user_id")
+def latest_request(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("props", "event_id").alias("props"), F.max("event_id").alias("seq"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) END AS label FROM nation")
+def tag_labels(spark, sf_dir):
+    n = F.col("n_name")
+    json = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('"'), n, F.lit('"'))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit('{"name":"other","locale":{"zh_cn":"","ja":"'), F.lower(n), F.lit('"}}'))).otherwise('{"locale":{}}')
+    return table(spark, sf_dir, "nation").select("n_nationkey", feeds.tag_label(F.parse_json(json)).alias("label"))
+
+
+@query()
+def search_response(spark, sf_dir):
+    """The whole search over all releases: entities, rules, best releases, groups and the rest."""
+    _, groups, rest = S.arranged(releases(spark, sf_dir))
+    cols = ["ord", "id", "source", "canonical", "season", "episode", "item_rank"]
+    return groups.select(*cols, "group_key", "group_rank").unionByName(rest.select(*cols), allowMissingColumns=True)

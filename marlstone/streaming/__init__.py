@@ -1 +1 @@
-"""See the modules of this package."""
+"""Structured Streaming forms of the cache and of the coalescing of requests."""
