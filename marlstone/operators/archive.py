@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.functions.fixed import ARCHIVE_BYTES, ARCHIVE_ITEMS, FILE_BYTES, NAME_CHARS
+from marlstone.session import ship
 
 
 def safe_name(raw: Column, fallback: Column) -> Column:
@@ -66,6 +67,7 @@ def archives(items: DataFrame, limit: int = ARCHIVE_BYTES, most: int = ARCHIVE_I
     An archive of no or more than ``most`` items, or without any good file, has an ``error`` and no
     ``data``. Where some files fail, the archive's last entry ``_errors.txt`` lists them.
     """
+    ship(items.sparkSession)
     rows = budgeted(checked(items).withColumn("size", F.when(F.col("error").isNull(), F.octet_length("data"))), limit)
     over = rows.where(~F.col("kept")).groupBy("archive").agg(F.min("ord").alias("cut"))
     rows = rows.join(over, "archive", "left").where("cut IS NULL OR ord <= cut")

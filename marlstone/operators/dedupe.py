@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.functions.fixed import SOURCE_PRIORITY
+from marlstone.staging import stage
 
 MIRROR = "struct<source:string,magnet_url:string,torrent_url:string,detail_url:string>"
 #: Columns of an item; ``ord`` is its place in the order of all items.
@@ -34,7 +35,7 @@ def _has(c: str) -> Column:
 def keyed(items: DataFrame) -> DataFrame:
     """Adds ``title_key``, ``hash`` (own or by title) and ``bucket``."""
     own = X.normal_hash(F.coalesce(X.empty_as_null(F.col("info_hash")), X.magnet_hash(F.col("magnet_url"))))
-    items = items.withColumns({"title_key": X.title_key(F.col("title")), "own_hash": own})
+    items = X.once(items, title_key=X.title_key(F.col("title")), own_hash=own)
     known = items.where(_has("own_hash") & (F.col("title_key") != "")).groupBy("title_key").agg(F.min_by("own_hash", "ord").alias("alias_hash"))
     items = items.join(known, "title_key", "left").withColumn("hash", F.coalesce("own_hash", "alias_hash"))
     return items.withColumn("bucket", F.when(_has("hash"), F.concat(F.lit("hash:"), "hash")).otherwise(F.concat(F.lit("title:"), F.coalesce("title_key", F.lit("")))))
@@ -59,7 +60,7 @@ def dedupe(items: DataFrame) -> DataFrame:
 
     Columns as in ``ITEM``; ``sources``, ``mirrors`` and ``tags`` are sets in order of precedence.
     """
-    rows = keyed(items)
+    rows = stage(keyed(items), "keyed")
     rows = rows.join(rows.groupBy("bucket").agg(F.min("ord").alias("first_ord")), "bucket")
     rows = rows.withColumn("info_hash", F.when(F.col("ord") == F.col("first_ord"), F.col("own_hash")).otherwise(F.col("info_hash")))
     flags = F.when(F.col("seeders").isNotNull(), 4).otherwise(0) + F.when(_has("size"), 2).otherwise(0) + F.when(_has("info_hash"), 1).otherwise(0)
@@ -69,7 +70,8 @@ def dedupe(items: DataFrame) -> DataFrame:
     rows = rows.join(cands.select("bucket", _winners(F.col("c")).alias("won")), "bucket")
     won = F.array_contains("won", F.col("ord"))
     rows = rows.withColumn("turn", F.struct(F.when(won, 0).otherwise(1).alias("lost"), F.when(won, -F.col("ord")).otherwise(F.col("ord")).alias("at")))
-    time = X.timestamp(F.col("published_at"))
+    rows = stage(X.once(rows, time=X.timestamp(F.col("published_at"))), "turns")
+    time = F.col("time")
     late = F.struct(F.unix_micros(time).alias("t"), (-F.col("turn.lost")).alias("a"), (-F.col("turn.at")).alias("b"))
     first = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("turn"))).alias(c)
     out = rows.groupBy("bucket").agg(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.functions.fixed import CHARS_PER_TOKEN, PROMPT_BASE, PROMPT_TOKENS, REFINE_MEMO, TOKENS_PER_ITEM
+from marlstone.session import ship
 
 ANSWER = "struct<groups:array<struct<canonical:string,originals:array<string>>>,ranking:array<string>>"
 Model = Callable[[list[str], list[str]], str]
@@ -86,6 +87,7 @@ def chunked(names: DataFrame, budget: int) -> DataFrame:
                 at.append(state[0])
             yield pd.DataFrame({"ord": b["ord"], "label": b["label"], "cost": b["cost"], "chunk": at})
 
+    ship(names.sparkSession)
     rows = names.select(F.col("ord").cast("long"), "label", cost(F.col("label")).alias("cost"))
     return rows.coalesce(1).sortWithinPartitions("ord").mapInPandas(run, "ord long, label string, cost long, chunk long")
 

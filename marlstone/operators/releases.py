@@ -14,15 +14,11 @@ _ANNOTATED = ("series", "season", "episode", "episode_range", "version", "resolu
 
 
 def annotate(items: DataFrame) -> DataFrame:
-    """Adds the parsed title's fields; a field that the title lacks keeps the item's own."""
+    """Adds the parsed title's fields, where a field that the title lacks keeps the item's own, and ``published`` in milliseconds."""
     if "parsed" not in items.columns:
         items = with_parsed(items)
     own = lambda c: F.coalesce(F.col(f"parsed.{c}"), F.col(c)) if c in items.columns else F.col(f"parsed.{c}")
-    return items.withColumns({c: own(c) for c in _ANNOTATED} | {"series_key": X.empty_as_null(F.col("parsed.series_key"))})
-
-
-def published(c: str = "published_at") -> Column:
-    return F.coalesce(F.unix_millis(X.timestamp(F.col(c))), F.lit(0))
+    return X.once(items, **{c: own(c) for c in _ANNOTATED}, series_key=X.empty_as_null(F.col("parsed.series_key")), published=F.coalesce(F.unix_millis(X.timestamp(F.col("published_at"))), F.lit(0)))
 
 
 def resolution_score(c: str = "resolution") -> Column:
@@ -59,7 +55,7 @@ def best_per_episode(items: DataFrame, remap: DataFrame | None = None, ranking:
     )
     rows = rows.withColumns({"slot": F.when(F.col("series_key").isNotNull(), slot), "slot_season": F.coalesce("season", F.lit(0))})
     match = F.when(X.script(F.col("title")) == prefer, 1).otherwise(0) if prefer else F.lit(0)
-    order = F.struct(-F.coalesce("version", F.lit(1)), -match, -F.coalesce("seeders", F.lit(-1)), -F.col("group_score"), -resolution_score(), -published(), F.col("ord"))
+    order = F.struct(-F.coalesce("version", F.lit(1)), -match, -F.coalesce("seeders", F.lit(-1)), -F.col("group_score"), -resolution_score(), -F.col("published"), F.col("ord"))
     cols = [c for c in rows.columns if c not in ("slot", "slot_season")]
     whole = rows.withColumn("_row", F.struct(*cols)).withColumn("_order", order)
     best = whole.where("slot IS NOT NULL").groupBy("canonical", "slot_season", "slot").agg(F.min_by("_row", "_order").alias("_row"), F.min("ord").alias("place"))
@@ -67,7 +63,7 @@ def best_per_episode(items: DataFrame, remap: DataFrame | None = None, ranking:
 
 
 def _display() -> list[Column]:
-    return [F.col("episode").desc_nulls_last(), published().desc(), F.col("passed"), F.col("place")]
+    return [F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("passed"), F.col("place")]
 
 
 def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +78,7 @@ def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = F.struct("passed", "place")
     label = F.coalesce(X.empty_as_null(F.col("parsed.series")), F.col("title"))
     sums = rows.where("group_key IS NOT NULL").groupBy("group_key").agg(
-        F.count("*").alias("n_items"), F.max(published()).alias("fresh"), F.min(at).alias("first"),
+        F.count("*").alias("n_items"), F.max("published").alias("fresh"), F.min(at).alias("first"),
         F.min_by(label, at).alias("group_series"), F.min_by(F.struct("season"), at)["season"].alias("group_season"),
     )
     several = numbered(sums.where("n_items > 1"), F.desc("fresh"), F.col("first"), out="group_rank").withColumn("group_rank", F.col("group_rank") + 1)
@@ -90,5 +86,5 @@ def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = rows.join(several.drop("first", "fresh"), "group_key").withColumn("item_rank", F.row_number().over(inside).cast("long"))
     single = rows.join(sums.where("n_items = 1").select("group_key"), "group_key", "left_semi").withColumn("late", F.lit(1))
     rest = rows.where("group_key IS NULL").withColumn("late", F.lit(0)).unionByName(single)
-    rest = numbered(rest, F.col("episode").desc_nulls_last(), published().desc(), F.col("late"), F.col("passed"), F.col("place"), out="item_rank")
+    rest = numbered(rest, F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("late"), F.col("passed"), F.col("place"), out="item_rank")
     return groups, rest.withColumn("item_rank", F.col("item_rank") + 1).drop("late")

@@ -24,7 +24,7 @@ def _stars(named: DataFrame) -> DataFrame:
 
 
 def alias_names(series: DataFrame) -> DataFrame:
-    names = series.select("series_key", "ord", F.explode(aliases(F.col("title"))).alias("alias")).withColumn("name", X.series_key(F.col("alias")))
+    names = X.once(series.select("series_key", "ord", F.explode(aliases(F.col("title"))).alias("alias")), name=X.series_key(F.col("alias")))
     return names.where(X.utf16_length(F.col("name")) >= LOOSE_LENGTH).select("name", "series_key", "ord").distinct()
 
 
@@ -34,9 +34,8 @@ def alias_edges(series: DataFrame) -> DataFrame:
 
 def without_noise(c):
     """Key without the suffixes that say nothing, each tried once in order."""
-    for s in NOISE_SUFFIXES:
-        c = F.when(c.endswith(s), X.trim(F.left(c, F.length(c) - len(s)))).otherwise(c)
-    return c
+    shorter = lambda x, s: F.when(F.endswith(x, s), X.trim(F.left(x, F.length(x) - F.length(s)))).otherwise(x)
+    return F.aggregate(F.array(*map(F.lit, NOISE_SUFFIXES)), c, shorter)
 
 
 def noise_edges(series: DataFrame) -> DataFrame:
