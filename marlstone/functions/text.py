@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache, reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.fixed import SPACE
@@ -14,6 +14,15 @@ WS = f"[{SPACE}]"
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are worked out once for each row.
+
+    The optimizer puts a projection's expressions in the place of each use of its columns; a
+    generator of one row it leaves where it is.
+    """
+    return df.select(*(c for c in df.columns if c not in cols), F.inline(F.array(F.struct(*(v.alias(k) for k, v in cols.items())))))
+
+
 def empty_as_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

@@ -77,7 +77,7 @@ def with_parsed(df: DataFrame, title: str = "title", out: str = "parsed") -> Dat
         F.replace(F.lower("_res"), F.lit("k"), F.lit("K")).alias("resolution"), F.lower("_codec").alias("codec"),
     )
     work = ["_group", "_rest", "_res", "_codec", "_season", "_a", "_b", "_ep", "_ver", "_names", "_free", "_series", "_keyed"]
-    return df.withColumn(out, F.when(F.coalesce(F.col(title), F.lit("")) != "", parsed)).drop(*work)
+    return X.once(df, **{out: F.when(F.coalesce(F.col(title), F.lit("")) != "", parsed)}).drop(*work)
 
 
 def aliases(c: Column) -> Column:
