@@ -10,8 +10,9 @@ are compared in double precision.
 
 The number of directions grows with the largest label so that a vector meets about as many
 others in its caps at any size; the threshold is set so that a random vector is in
-``caps`` caps on average. Vectors at the linking cosine are then in about half of each
-other's caps, so a pair is missed with a chance of about ``exp(-caps / 2)``.
+``caps`` caps on average, and lowered for a vector that has less than half of them. Vectors at
+the linking cosine are then in about half of each other's caps, so a pair is missed with a
+chance of about ``exp(-caps / 4)`` at the worst.
 
 Equal vectors are one from the start. A pair is counted in the least cap that it shares and
 nowhere else, so counts need no list of pairs; links between components are a spanning
@@ -35,7 +36,7 @@ from marlstone.staging import Staged, stage
 #: Rows of a part of a cap's group.
 GROUP = 1000
 #: Random vectors that a vector should meet in its caps.
-MET = 64
+MET = 128
 
 
 class Codes:
@@ -43,7 +44,7 @@ class Codes:
 
     def __init__(self, dims: int, largest: int, caps: float, seed: int):
         rng = np.random.default_rng(seed)
-        wanted = max(256.0, largest * caps * caps / MET)
+        wanted = max(4096.0, largest * caps * caps / MET)
         self.blocks = min(dims, max(2, math.ceil(math.log(wanted) / math.log(512)))) if dims > 1 else 1
         self.words = max(2, math.ceil(wanted ** (1 / self.blocks)))
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
@@ -57,13 +58,17 @@ class Codes:
         drawn = sum(s[:, rng.integers(0, self.words, 8000)] for s in scores)
         share = min(0.25, caps / self.words**self.blocks)
         self.threshold = float(np.quantile(drawn, 1 - share))
+        self.least, self.step = min(math.ceil(caps / 2), self.words**self.blocks), 0.1 / math.sqrt(dims)
 
     def scores(self, x: np.ndarray) -> list[np.ndarray]:
         y = x @ self.rotation
         return [y[:, a:b] @ c for (a, b), c in zip(zip(self.cuts[:-1], self.cuts[1:], strict=True), self.code, strict=True)]
 
     def caps(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each row the sorted numbers of its caps; the best cap is always one of them."""
+        """For each row the sorted numbers of its caps, ``least`` at least.
+
+        A row in fewer caps than that lowers its own threshold until it has them.
+        """
         scores = self.scores(x)
         orders = [np.argsort(-s, axis=1) for s in scores]
         ranked = [np.take_along_axis(s, o, 1) for s, o in zip(scores, orders, strict=True)]
@@ -71,19 +76,21 @@ class Codes:
         rest = np.cumsum(best[:, ::-1], 1)[:, ::-1] - best
         out = []
         for k in range(len(x)):
-            total, number = np.zeros(1), np.zeros(1, np.int64)
-            for b, (r, o) in enumerate(zip(ranked, orders, strict=True)):
-                need = self.threshold - rest[k, b] - total
-                n = np.searchsorted(-r[k], -need, side="right")
-                pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                total, number = np.repeat(total, n) + r[k][pick], np.repeat(number, n) * self.words + o[k][pick]
-            if not len(number):
-                number = np.zeros(1, np.int64)
-                for o in orders:
-                    number = number * self.words + o[k, 0]
-            out.append(np.unique(number))
+            threshold = self.threshold
+            while len(found := self._listed(k, threshold, rest, ranked, orders)) < self.least:
+                threshold -= self.step
+            out.append(np.sort(found))
         return out
 
+    def _listed(self, k: int, threshold: float, rest: np.ndarray, ranked: list, orders: list) -> np.ndarray:
+        """Numbers of all caps of row ``k``, block by block; sums that the best rest cannot lift over the threshold end at once."""
+        total, number = np.zeros(1), np.zeros(1, np.int64)
+        for b, (r, o) in enumerate(zip(ranked, orders, strict=True)):
+            n = np.searchsorted(-r[k], total + rest[k, b] - threshold, side="right")
+            pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            total, number = np.repeat(total, n) + r[k][pick], np.repeat(number, n) * self.words + o[k][pick]
+        return number
+
 
 def _listed(sent):
     def run(batches):
@@ -141,7 +148,7 @@ def _compare(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, caps: float = 16, seed: int = 17, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, caps: float = 24, seed: int = 17, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors``.
 
     Vectors are compared if their labels are equal and not null and their lengths are the
