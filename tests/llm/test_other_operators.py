@@ -208,3 +208,13 @@ def test_mix(spark):
     assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
     assert mixing.mix(df.limit(0)).collect() == []
     assert [r.target for r in mixing.mix(spark.createDataFrame([(1, "", "en", "a", 0)], DOCS)).collect()] == [0.0]
+
+
+def test_paths_for_large_lookups_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "so Released under the MIT License. ok"), (2, "plain words that say nothing at all"), (3, f"x {licenses.NOTICES['gpl-3.0']}")], "doc_id long, text string")
+    scan = lambda: sorted(map(tuple, licenses.scan(docs, licenses.notices(spark)).collect()))
+    score = lambda: sorted(map(tuple, lm_score.entropy_difference(docs, docs.select("doc_id").limit(1)).collect()))
+    small = scan(), score()
+    monkeypatch.setattr(licenses, "LITERALS", 0)
+    monkeypatch.setattr(lm_score, "BROADCAST_IDS", 0)
+    assert small[0] and (scan(), score()) == small
