@@ -32,9 +32,10 @@ from marlstone.staging import Staged, stage
 #: Tokens for counting, joining and verifying are cut to so many bits; sizes of sets come from 64 bits.
 TOKEN_BITS = 56
 STAR_ROUNDS = 3
-SUFFIX_PARTS = 16
+#: Parts of the token space whose counts bound what two texts can share.
+SUFFIX_PARTS = 256
 
-_DONE = "doc_id long, n long, fp binary, uniq long, prefix array<long>, tokens binary, parts binary"
+_DONE = "doc_id long, n long, fp binary, uniq long, prefix array<long>, tokens binary, parts array<int>"
 
 
 def _sent(ranges: int, words: int):
@@ -101,10 +102,10 @@ def _prefixes(num: int, den: int):
             uniq = n - len(own)
             wanted = n - (num * n + den - 1) // den + 1 - uniq
             alive = n > 0 and wanted > 0 and len(own) > 0
-            parts = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=SUFFIX_PARTS).astype("<u4").tobytes() if alive else None
+            parts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SUFFIX_PARTS).tolist() if alive else None
             out.append((int(ids[d].view(np.int64)) if known[d] else None, n, fps[16 * d : 16 * d + 16], uniq, own[:wanted].view(np.int64).tolist() if alive else None, B.pack(B.deltas(np.sort(own))) if alive else None, parts))
         cols = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "fp", "uniq", "prefix", "tokens", "parts"])
 
     return run
@@ -118,7 +119,7 @@ def _verify(num: int, den: int):
             cols = {k: batch.column(k).to_pylist() for k in batch.schema.names}
             good = []
             for na, nb, pa_, pb, ta, tb in zip(*(cols[k] for k in ("na", "nb", "pa", "pb", "ta", "tb")), strict=True):
-                bound = int(np.minimum(np.frombuffer(pa_, "<u4"), np.frombuffer(pb, "<u4")).sum())
+                bound = int(np.minimum(np.array(pa_), np.array(pb)).sum())
                 ok = den * bound >= num * (na + nb - bound)
                 if ok:
                     x, y = B.sums(B.unpack(ta)[0]), B.sums(B.unpack(tb)[0])
@@ -137,6 +138,12 @@ def _filters(num: int, den: int):
     return (den * least >= num * most) & ((den + num) * bound >= num * (F.col("xn") + F.col("yn")))
 
 
+def _suffix(num: int, den: int):
+    """Suffix filter: no part of the token space can share more than the text with fewer tokens there has."""
+    bound = F.aggregate(F.zip_with("xparts", "yparts", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    return den * bound >= num * (F.col("xn") + F.col("yn") - bound)
+
+
 def _links(texts: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links between different texts that span all components of ``texts`` (fp, n, uniq, prefix, tokens, parts)."""
     spark = texts.sparkSession
@@ -177,12 +184,12 @@ def _links(texts: DataFrame, num: int, den: int) -> DataFrame:
         comp = grown()
     c = Staged(p.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("tok", "fp", "n", "p", F.coalesce("component", "fp").alias("c")), "op2-comps")
     sizes = c.df.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("c", "k").alias("top")).where("comps > 1")
-    here = Staged(c.df.join(sizes.select("tok", "top"), "tok").join(texts.select("fp", "prefix"), "fp"), "op2-open")
-    left = here.df.where("c != top").select("tok", "top", *(F.col(k).alias(f"x{k}") for k in ("fp", "n", "p", "c", "prefix")))
-    right = here.df.select("tok", *(F.col(k).alias(f"y{k}") for k in ("fp", "n", "p", "c", "prefix")))
+    here = Staged(c.df.join(sizes.select("tok", "top"), "tok").join(texts.select("fp", "prefix", "parts"), "fp"), "op2-open")
+    left = here.df.where("c != top").select("tok", "top", *(F.col(k).alias(f"x{k}") for k in ("fp", "n", "p", "c", "prefix", "parts")))
+    right = here.df.select("tok", *(F.col(k).alias(f"y{k}") for k in ("fp", "n", "p", "c", "prefix", "parts")))
     once = F.element_at(F.array_intersect("xprefix", "yprefix"), 1) == F.col("tok")  # a pair is made at the first token that it shares
     apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("xfp") < F.col("yfp")))
-    rest = left.join(right, "tok").where(apart & near & once)
+    rest = left.join(right, "tok").where(apart & near & once & _suffix(num, den))
     pairs(rest)
     links = grown()
     for t in (posts, c, here):
