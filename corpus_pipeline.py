@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, mixing, quality, token_files
-from marlstone.llm.ngram_join import jaccard_components
+from marlstone.llm.ngram_join import one_of_each
 from marlstone.staging import stage
 
 
@@ -17,10 +17,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component; a repeated document stays once."""
-    ids = stage(jaccard_components(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    kept = docs.join(ids.select(F.col("doc_id").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return kept if ids.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Keeps the document with the least id of each component; a repeated document stays once, and unlinked ones that share an id or have none all stay."""
+    return one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,10 +32,12 @@ from marlstone.staging import Staged, stage
 #: Tokens for counting, joining and verifying are cut to so many bits; sizes of sets come from 64 bits.
 TOKEN_BITS = 56
 STAR_ROUNDS = 3
+#: Bytes of the tag that a row may carry through.
+TAG = 16
 #: Parts of the token space whose counts bound what two texts can share.
 SUFFIX_PARTS = 256
 
-_DONE = "doc_id long, n long, fp binary, uniq long, prefix array<long>, tokens binary, parts array<int>"
+_DONE = "doc_id long, n long, fp binary, tag binary, uniq long, prefix array<long>, tokens binary, parts array<int>"
 
 
 def _sent(ranges: int, words: int):
@@ -48,15 +50,16 @@ def _sent(ranges: int, words: int):
         rows.append((home, block.blk, 0, lists))
         known = np.array([x is not None for x in ids], np.uint64)
         head = B.pack(known, np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([x[1] for x in block.info], np.uint64))
-        rows.append((home, block.blk, 2, head + b"".join(x[2] for x in block.info)))
+        rows.append((home, block.blk, 2, head + b"".join(x[2] + x[3] for x in block.info)))
         return B.batch(rows)
 
     def run(batches):
         block, made = B.Block(ranges, 0), 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), W.texts(batch.column(1)), strict=True):
+            tags = batch.column(2).to_pylist() if batch.num_columns > 2 else [b""] * batch.num_rows
+            for doc, text, tag in zip(batch.column(0).to_pylist(), W.texts(batch.column(1)), tags, strict=True):
                 full = W.shingles(W.split(text), words)
-                block.add(np.unique(full & cut), None, (doc, len(full), xxhash.xxh3_128_digest(full.tobytes())))
+                block.add(np.unique(full & cut), None, (doc, len(full), xxhash.xxh3_128_digest(full.tobytes()), tag))
                 if block.full:
                     yield info(block)
                     made += 1
@@ -80,14 +83,16 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([B.batch(out)])
 
 
-def _prefixes(num: int, den: int):
+def _prefixes(num: int, den: int, tagged: bool):
+    width = 16 + TAG * tagged
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True))
         holders, m_docs, _ = B.unpack(next(p for k, _, p in rows if k == 0))
         head = next(p for k, _, p in rows if k == 2)
         count = int.from_bytes(head[:4], "little")
-        fps = head[-16 * count :]
-        known, ids, sizes = B.unpack(head[: len(head) - 16 * count])
+        fps = head[-width * count :]
+        known, ids, sizes = B.unpack(head[: len(head) - width * count])
         got = [B.unpack(p) for k, _, p in rows if k == 1]
         cat = lambda xs: np.concatenate([*xs, np.empty(0, np.uint64)]).astype(np.uint64)
         keys = cat([*(B.sums(g[0]) for g in got), np.repeat(cat(B.sums(g[3]) for g in got), holders.astype(int))])
@@ -103,10 +108,10 @@ def _prefixes(num: int, den: int):
             wanted = n - (num * n + den - 1) // den + 1 - uniq
             alive = n > 0 and wanted > 0 and len(own) > 0
             parts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SUFFIX_PARTS).tolist() if alive else None
-            out.append((int(ids[d].view(np.int64)) if known[d] else None, n, fps[16 * d : 16 * d + 16], uniq, own[:wanted].view(np.int64).tolist() if alive else None, B.pack(B.deltas(np.sort(own))) if alive else None, parts))
+            out.append((int(ids[d].view(np.int64)) if known[d] else None, n, fps[width * d : width * d + 16], fps[width * d + 16 : width * (d + 1)] if tagged else None, uniq, own[:wanted].view(np.int64).tolist() if alive else None, B.pack(B.deltas(np.sort(own))) if alive else None, parts))
         cols = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "fp", "uniq", "prefix", "tokens", "parts"])
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "fp", "tag", "uniq", "prefix", "tokens", "parts"])
 
     return run
 
@@ -197,6 +202,20 @@ def _links(texts: DataFrame, num: int, den: int) -> DataFrame:
     return links
 
 
+def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, tag, c) of each row (doc_id, text, and a tag of ``TAG`` bytes if there is one); texts of equal c are linked if n > 0."""
+    ship(docs.sparkSession)
+    entries = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = B.ranges_for(entries // 6)
+    sent = docs.mapInArrow(_sent(ranges, words), B.SCHEMA)
+    answers = sent.groupBy("bucket").applyInArrow(_answer, B.SCHEMA)
+    found = stage(answers.groupBy("blk").applyInArrow(_prefixes(num, den, "tag" in docs.columns), _DONE), "op2-docs")
+    texts = Staged(found.where("prefix IS NOT NULL").select("fp", "n", "uniq", "prefix", "tokens", "parts").dropDuplicates(["fp"]), "op2-texts")
+    comps = _links(texts.df, num, den)
+    texts.drop()
+    return found.select("doc_id", "n", "tag", "fp").join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("doc_id", "n", "tag", F.coalesce("component", "fp").alias("c"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for each row of ``docs``.
 
@@ -207,16 +226,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its least id that is not null, and null if there is none. Columns besides the two are
     ignored, whatever their names. An empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    entries = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = B.ranges_for(entries // 6)
-    sent = docs.mapInArrow(_sent(ranges, words), B.SCHEMA)
-    answers = sent.groupBy("bucket").applyInArrow(_answer, B.SCHEMA)
-    found = stage(answers.groupBy("blk").applyInArrow(_prefixes(num, den), _DONE), "op2-docs")
-    texts = Staged(found.where("prefix IS NOT NULL").select("fp", "n", "uniq", "prefix", "tokens", "parts").dropDuplicates(["fp"]), "op2-texts")
-    comps = _links(texts.df, num, den)
-    texts.drop()
-    keyed = found.select("doc_id", "n", "fp").join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("doc_id", "n", F.coalesce("component", "fp").alias("c"))
+    keyed = _components(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), words, num, den)
     least = keyed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     return keyed.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` with one row of each component, whole and with all columns.
+
+    The row with the least id stays, null ids last, then by a digest of the text. Ids need
+    not be unique: rows are told apart by id and text, so rows that share an id or have none
+    and are not linked all stay. A text without shingles is linked with nothing; of such
+    rows only those that repeat an id and a text go.
+    """
+    digest = F.coalesce(F.unhex(F.md5(docs[text_col].cast("string").cast("binary"))), F.lit(bytes(TAG)))
+    # Of one component the digests of 128 bits tell apart the texts of one id.
+    keyed = _components(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), digest.alias("tag")), words, num, den)
+    rows = keyed.groupBy(F.when(F.col("n") > 0, F.col("c")).alias("c"), "doc_id", "tag").agg(F.count("*").alias("k"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag", "k")).alias("r")
+    linked = rows.where("c IS NOT NULL").groupBy("c").agg(first).select("r.doc_id", "r.tag", (F.col("r.k") > 1).alias("again"))
+    alone = rows.where("c IS NULL").select("doc_id", "tag", F.expr("k > 1 AND doc_id IS NOT NULL").alias("again"))
+    kept = stage(linked.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("again").alias("_again")), "op2-kept")
+    full = docs.withColumn("_key", digest)
+    same = full[id_col].cast("long").eqNullSafe(kept["_id"]) & (full["_key"] == kept["_tag"])
+    if kept.where("_again").isEmpty():
+        return full.join(kept, same, "left_semi").drop("_key")
+    found = full.join(kept, same)
+    once = found.where("_again").dropDuplicates(["_id", "_tag"])
+    return found.where("NOT _again").select(docs.columns).unionByName(once.select(docs.columns))

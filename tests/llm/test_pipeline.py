@@ -49,3 +49,13 @@ def test_repeated_documents_stay_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r[0] or 0) for r in P.join_near_copies(spark, docs, "").collect()) == [0, 1, 3]
     assert decontaminate.WINDOW == 10
+
+
+def test_unlinked_documents_without_or_with_one_id_all_stay(spark):
+    texts = [(None, "one two three four five six"), (None, "seven eight nine ten eleven"), (None, None), (None, ""), (7, "red green blue black white"), (7, "oak ash elm fir yew"), (7, "oak ash elm fir yew"), (7, "Oak ash elm fir yew"), (8, "red green  blue black white"), (None, "OAK ash elm fir yew"), (9, ""), (9, "")]
+    texts += [(None, "lone copy of a text here"), (None, "lone copy of a text here"), (None, "Lone copy of a text here")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.join_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect())
+    assert left == sorted([(0, "one two three four five six"), (0, "seven eight nine ten eleven"), (0, ""), (0, ""), (7, "red green blue black white"), (7, "oak ash elm fir yew"), (9, ""), (0, "lone copy of a text here")])
