@@ -97,6 +97,22 @@ class Encoder:
                 self.ends[i] = piece.endswith(suffix)
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        #: Letters whose normal form is letters to the file too, and the others that were met.
+        self.letters: set[str] = set()
+        self.others: set[str] = set()
+
+    def _is_letter(self, char: str) -> bool:
+        norm = self.tokenizer.normalizer.normalize_str(char) if self.tokenizer.normalizer else char
+        pieces = [(f"a{c}a.", self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a.")) for c in norm]
+        return all(len(p) == 2 and p[1][1] == (len(t) - 1, len(t)) for t, p in pieces)
+
+    def _stable(self, core: str) -> bool:
+        """Whether a word's normal form is letters alone, as it is if each letter's is: some become a letter and a mark, which joins the punctuation after it."""
+        if core.isascii() or self.letters.issuperset(core):
+            return True
+        for c in set(core) - self.letters - self.others:
+            (self.letters if self._is_letter(c) else self.others).add(c)
+        return self.letters.issuperset(core)
 
     def _raw(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -127,7 +143,7 @@ class Encoder:
                 young[c] = known
                 continue
             core = c.rstrip(".,;:!?")
-            if core.isalpha():
+            if core.isalpha() and self._stable(core):
                 tails.append((c, core, c[len(core) :]))
                 if core not in young:
                     cores[core] = None

@@ -34,6 +34,22 @@ def test_chunks_encode_as_the_whole(text):
         assert T.encoder(NAME).encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("word", ["TÜRKİ", "İ", "İzmir", "\u0915\u0958", "\u05d0\ufb2a", "\ufb2a", "Straße", "ΟΔΟΣ", "東京", "한국", "e\u0301te\u0301"])
+def test_letters_that_become_letter_and_mark(whole, word):
+    for t in (f"{word}{tail}" for tail in ("", ".", ",", "?!", "...")):
+        text = f"so {t} {word} then {t} word. {word}"
+        assert T.Encoder(NAME).encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_before_punctuation(whole):
+    """Each character that Python takes for a letter, at the end of a word and inside one."""
+    letters = [chr(c) for c in range(128, 0x32000) if chr(c).isalpha() and not 0x3400 <= c <= 0x9FFF and not 0xAC00 <= c <= 0xD7A3 and not 0x17000 <= c <= 0x18CFF and not 0x20000 <= c <= 0x31FFF]
+    enc = T.Encoder(NAME)
+    texts = [" ".join(f"x{c}. x{c}y, {c}" for c in letters[k : k + 50]) for k in range(0, len(letters), 50)]
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        assert got.tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_other_tokenizer_encodes_text_by_text():
     enc, t = T.Encoder("byte_bpe_50k.json"), Tokenizer.from_file(T.resolve("byte_bpe_50k.json"))
     assert not enc.chunked
