@@ -115,7 +115,7 @@ FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) G
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
 def _op9_sql() -> str:

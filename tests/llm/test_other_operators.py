@@ -5,11 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from marlstone.llm import licenses, lm_score, mixing, quality, sharding, token_counts
+from marlstone.llm import licenses, lm_score, mixing, quality, queries, sharding, token_counts
 from marlstone.llm.embedding_dedup import near_duplicates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -175,6 +176,15 @@ def test_license_scan(spark):
     assert licenses.scan(df, licenses.notices(spark).limit(0)).collect() == []
 
 
+def test_license_texts_and_headers(spark, tmp_path):
+    texts = {f.stem: f.read_text() for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    cut = " ".join(texts["gpl-2.0"].split()[200:])
+    rows = [(1, f"some code {texts['mit']} more code", "mit"), (2, texts["bsd-3-clause"], "bsd-3-clause"), (3, cut, "gpl-2.0"), (4, licenses.HEADERS["apache-2.0"], "apache-2.0"), (5, "It is Released under the MIT License by all", "mit"), (6, f"x {licenses.HEADERS['agpl-3.0']}", "agpl-3.0"), (7, "nothing of the kind is said in here", None)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.template_id) for r in queries.op9_license_scan(spark, f"file://{tmp_path}").collect()}
+    assert {(i, k) for i, _, k in rows if k} <= got and 7 not in {i for i, _ in got}
+
+
 def test_mix(spark):
     rng = random.Random(6)
     docs = []
