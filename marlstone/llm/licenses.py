@@ -130,9 +130,9 @@ def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED, id
         for _, ts, step in known:
             of.setdefault(step, set()).update(ts)
         listed = lambda held: ", ".join(f"{h}L" for h in sorted(held) if h != -(2**63)) or "0L"
-        near = rows.select("doc_id", "row", "all", F.expr(f"filter(transform(all, (s, i) -> if(s IN ({listed(set().union(*of.values()))}), struct(s, i AS at), null)), x -> x IS NOT NULL)").alias("hits")).where("size(hits) > 0")
+        near = rows.select("doc_id", "row", "all", F.expr(f"filter(transform(all, (s, i) -> if(s IN ({listed(set().union(*of.values()))}), struct(s, i AS at), null)), x -> x IS NOT NULL)").alias("hits"))
         around = [f"transform(array_distinct(flatten(transform(filter(hits, x -> x.s IN ({listed(held)})), x -> array(x.at div {k} * {k}, greatest(x.at div {k} - 1, 0L) * {k})))), v -> struct({k} AS step, int(v) AS start))" for k, held in sorted(of.items())]
-        near = near.select("doc_id", "row", "all", F.explode(F.expr(f"concat({', '.join(around)})") if around else F.expr("array(struct(1 AS step, 0 AS start))")).alias("w")).select("doc_id", "row", "all", "w.step", "w.start")
+        near = near.select("doc_id", "row", "all", F.explode_outer(F.expr(f"concat({', '.join(around)})") if around else F.expr("array(struct(1 AS step, 0 AS start))")).alias("w")).where("w IS NOT NULL").select("doc_id", "row", "all", "w.step", "w.start")
     else:
         steps = t.select(F.explode("ts").alias("s"), "step").distinct()
         near = rows.select("doc_id", "row", "all", F.posexplode("all").alias("at", "s")).join(steps, "s")
