@@ -1,7 +1,7 @@
 """Counts of keys over all documents, brought back to the documents that hold them.
 
 Joining (document, key) rows with a table of key counts would shuffle each row twice. Here
-documents are taken in blocks of about a million entries. A block sends each range of the
+documents are taken in blocks of about half a million entries. A block sends each range of the
 hashed key space one byte string of its sorted keys (differences of neighbours, by byte
 planes, which the shuffle's compression shrinks to the bytes that carry information). The
 task of a range counts its keys over all blocks and answers each block, and the answers of a
@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-BLOCK_ENTRIES = 1_000_000
-BLOCK_DOCS = 60_000
+BLOCK_ENTRIES = 500_000
+BLOCK_DOCS = 30_000
 #: Entries that a range holds on average.
 RANGE_ENTRIES = 2_000_000
 
@@ -110,10 +110,9 @@ class Block:
         edges = np.arange(1, self.ranges, dtype=U64) << self.shift
         s_at, m_at = (np.r_[0, np.searchsorted(k, edges), len(k)] for k in (sk, mk))
         rows = []
-        for b in range(self.ranges):
+        for b in np.flatnonzero(np.diff(s_at) + np.diff(m_at)).tolist():
             s, m = slice(s_at[b], s_at[b + 1]), slice(m_at[b], m_at[b + 1])
-            if s.stop > s.start or m.stop > m.start:
-                rows.append((b, blk, 1, pack(deltas(sk[s]), sd[s], sc[s] * U64(2) + sm[s], deltas(mk[m]), mh[m], total[m], inside[m])))
+            rows.append((b, blk, 1, pack(deltas(sk[s]), sd[s], sc[s] * U64(2) + sm[s], deltas(mk[m]), mh[m], total[m], inside[m])))
         return rows, pack(mh, docs[~solo], counts[~solo])
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def pair_keys(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _sent(ranges: int, bits: int):
     def info(block: B.Block):
         rows, lists = block.rows()
-        home = int.from_bytes(block.blk[-4:], "big") % ranges
+        home = xxhash.xxh3_64_intdigest(block.blk) % ranges
         ids = [x[0] for x in block.info]
         known = np.array([x is not None for x in ids], np.uint64)
         head = B.pack(known, np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([x[1] for x in block.info], np.uint64))

@@ -5,19 +5,21 @@ documents. A text of n tokens that is to share 80 % of the union with another mu
 least ``ceil(0.8 n)`` of its own, so one of its first ``n - ceil(0.8 n) + 1`` tokens is
 shared. Tokens that one document alone holds come first: a text whose prefix is made of them
 has no partner and is done. The prefixes of the rest are joined on their tokens, with the
-length filter and the positional filter in the join; each pair is then verified once, after
-a suffix filter.
+length filter, the positional filter and the suffix filter; each pair is then verified once.
 
 The result needs components, so pairs inside a component that is known already are not
-needed. A few rounds link each token's texts to one leader; then only pairs of texts whose
-components still differ are looked at, where the largest component of a token stands on one
-side only. No link between different components is lost, and a group of thousands of near
-copies costs about its size per round rather than its square.
+needed. First each token's texts meet the one among them with the fewest tokens of its own,
+which of a family of near copies is the original or close to it. Then only tokens whose texts
+are in more than one component are looked at, where the largest component of a token stands
+on one side only: their texts meet in blocks of bounded size, in which all filters run, and
+only pairs that pass leave a block. No link between different components is lost, and no
+list of the pairs of a token is made.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,13 +33,30 @@ from marlstone.staging import Staged, stage
 
 #: Tokens for counting, joining and verifying are cut to so many bits; sizes of sets come from 64 bits.
 TOKEN_BITS = 56
-STAR_ROUNDS = 3
 #: Bytes of the tag that a row may carry through.
 TAG = 16
 #: Parts of the token space whose counts bound what two texts can share.
 SUFFIX_PARTS = 256
+#: Texts of one side of a block, pairs that are filtered and rows that are verified at a time.
+SIDE, CHUNK, SLICE = 2000, 1 << 17, 256
+#: Bytes of texts, and prefix tokens, for which a file of an intermediate table is written.
+FILE_BYTES, FILE_POSTS = 32 << 20, 100_000
 
-_DONE = "doc_id long, n long, fp binary, tag binary, uniq long, prefix array<long>, tokens binary, parts array<int>"
+_DONE = "doc_id long, n long, fp binary, tag binary, uniq long, prefix array<long>, tokens binary, parts binary"
+
+#: What a byte of ``parts`` stands for: counts to 128, then steps of a sixteenth of an octave, rounded up; the last has no bound.
+_FINE = np.r_[np.arange(129), np.ceil(128 * 2 ** (np.arange(1, 127) / 16)), 1 << 40].astype(np.int64)
+
+
+def coarse(counts: np.ndarray) -> bytes:
+    """Counts as bytes that stand for no less."""
+    return np.searchsorted(_FINE, counts).astype("u1").tobytes()
+
+
+def shared_at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By row of two matrices of ``parts``: what two texts can share, as no part holds more in common than the text with fewer tokens there."""
+    low = np.minimum(x, y)
+    return low.sum(1, dtype=np.int64) if not low.size or low.max() <= 128 else _FINE[low].sum(1)
 
 
 def _sent(ranges: int, words: int):
@@ -107,99 +126,129 @@ def _prefixes(num: int, den: int, tagged: bool):
             uniq = n - len(own)
             wanted = n - (num * n + den - 1) // den + 1 - uniq
             alive = n > 0 and wanted > 0 and len(own) > 0
-            parts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SUFFIX_PARTS).tolist() if alive else None
+            parts = coarse(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SUFFIX_PARTS)) if alive else None
             out.append((int(ids[d].view(np.int64)) if known[d] else None, n, fps[width * d : width * d + 16], fps[width * d + 16 : width * (d + 1)] if tagged else None, uniq, own[:wanted].view(np.int64).tolist() if alive else None, B.pack(B.deltas(np.sort(own))) if alive else None, parts))
         cols = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "fp", "tag", "uniq", "prefix", "tokens", "parts"])
 
     return run
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, SUFFIX_PARTS)
+
+
 def _verify(num: int, den: int):
-    """Keeps the pairs that are alike; the suffix filter bounds what parts of the token space can share."""
+    """Whether pairs of texts are alike; the suffix filter spares most others the comparison."""
 
     def run(batches):
-        for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in batch.schema.names}
-            good = []
-            for na, nb, pa_, pb, ta, tb in zip(*(cols[k] for k in ("na", "nb", "pa", "pb", "ta", "tb")), strict=True):
-                bound = int(np.minimum(np.array(pa_), np.array(pb)).sum())
-                ok = den * bound >= num * (na + nb - bound)
-                if ok:
-                    x, y = B.sums(B.unpack(ta)[0]), B.sums(B.unpack(tb)[0])
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(k, SLICE)
+                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+                bound = shared_at_most(*(_matrix(batch.column(c)) for c in ("pa", "pb")))
+                good = den * bound >= num * (na + nb - bound)
+                for i in np.flatnonzero(good):
+                    x, y = (B.sums(B.unpack(batch.column(c)[int(i)].as_py())[0]) for c in ("ta", "tb"))
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok = den * both >= num * (na + nb - both)
-                good.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+                    good[i] = den * both >= num * (na[i] + nb[i] - both)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good)], ["a", "b", "linked"])
 
     return run
 
 
-def _filters(num: int, den: int):
-    """Length and positional filter on a pair that shares a token at places xp, yp of its texts."""
+def _meet(num: int, den: int):
+    """Pairs of blocks, rows sorted by (tok, i, j): across part i and part j, or within part i if they are the same."""
+
+    def pairs(t: pa.Table):
+        col = lambda k: t.column(k).to_numpy()
+        tok, i, j, part, n, p = (col(k) for k in ("tok", "i", "j", "part", "n", "p"))
+        block = np.cumsum(np.r_[0, (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        order = np.lexsort((part, block))
+        t, block, same, first, n, p = t.take(order), block[order], (i == j)[order], (part == i)[order], n[order], p[order]
+        fp, c = (t.column(k).combine_chunks().dictionary_encode() for k in ("fp", "c"))
+        names = fp.dictionary
+        rank = np.empty(len(names), np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        fp, c, parts = fp.indices.to_numpy(), c.indices.to_numpy(), _matrix(t.column("parts"))
+        ends = np.searchsorted(block, block, side="right")
+        middle = np.searchsorted(block * 2 + ~first, block * 2 + 1)
+        start = np.where(same, np.arange(len(block)) + 1, middle)
+        many = np.where(first, ends - start, 0)
+        before = np.cumsum(many) - many
+        seen: set[int] = set()
+        for at in range(0, int(many.sum()), CHUNK):
+            k = np.arange(at, min(at + CHUNK, int(many.sum())))
+            x = np.searchsorted(before, k, side="right") - 1
+            y = start[x] + k - before[x]
+            bound = np.minimum(n[x] - p[x], n[y] - p[y])
+            near = (c[x] != c[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & ((den + num) * bound >= num * (n[x] + n[y]))
+            x, y = x[near], y[near]
+            for z in range(0, len(x), 1 << 14):
+                a, b = x[z : z + (1 << 14)], y[z : z + (1 << 14)]
+                bound = shared_at_most(parts[a], parts[b])
+                good = (den + num) * bound >= num * (n[a] + n[b])
+                a, b = fp[a[good]], fp[b[good]]
+                swap = rank[a] > rank[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                new = np.array([v for v in np.unique(a.astype(np.int64) << 32 | b) if v not in seen], np.int64)
+                if len(seen) < 1_000_000:
+                    seen.update(new.tolist())
+                if len(new):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(new >> 32)), names.take(pa.array(new & 0xFFFFFFFF))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 2 * SIDE:
+                continue
+            keys = [held.column(k).to_numpy() for k in ("tok", "i", "j")]
+            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+            if len(last):
+                yield from pairs(held.slice(0, int(last[-1]) + 1))
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    return run
+
+
+def _links(texts: DataFrame, posts: int, num: int, den: int) -> DataFrame:
+    """(node, component): components of ``texts`` (fp, n, uniq, prefix, tokens, parts), which have so many posts; a text without links is left out."""
+    ship(texts.sparkSession)
+    files = max(1, -(-posts // FILE_POSTS))
     least, most = F.least("xn", "yn"), F.greatest("xn", "yn")
     bound = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
-    return (den * least >= num * most) & ((den + num) * bound >= num * (F.col("xn") + F.col("yn")))
-
-
-def _suffix(num: int, den: int):
-    """Suffix filter: no part of the token space can share more than the text with fewer tokens there has."""
-    bound = F.aggregate(F.zip_with("xparts", "yparts", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    return den * bound >= num * (F.col("xn") + F.col("yn") - bound)
-
-
-def _links(texts: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links between different texts that span all components of ``texts`` (fp, n, uniq, prefix, tokens, parts)."""
-    spark = texts.sparkSession
-    posts = Staged(texts.select("fp", "n", "uniq", F.posexplode("prefix").alias("k", "tok")).select("tok", "fp", "n", (F.col("uniq") + F.col("k")).alias("p")), "op2-posts")
-    mult = posts.df.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
-    p = posts.df.join(mult.select("tok"), "tok", "left_semi")
-    x = p.select("tok", *(F.col(k).alias(f"x{k}") for k in ("fp", "n", "p")))
-    y = p.select("tok", *(F.col(k).alias(f"y{k}") for k in ("fp", "n", "p")))
-    near = _filters(num, den)
-    tested: list[DataFrame] = []
-
-    def pairs(cand: DataFrame) -> DataFrame:
-        found = cand.where(near & (F.col("xfp") != F.col("yfp"))).select(F.least("xfp", "yfp").alias("a"), F.greatest("xfp", "yfp").alias("b")).distinct()
-        for t in tested:
-            found = found.join(t.select("a", "b"), ["a", "b"], "left_anti")
+    near = (den * least >= num * most) & ((den + num) * bound >= num * (F.col("xn") + F.col("yn")))
+
+    def verified(found: DataFrame) -> DataFrame:
         side = lambda k: texts.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("parts").alias(f"p{k}"), F.col("tokens").alias(f"t{k}"))
         checked = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb", "ta", "tb")
-        tested.append(stage(checked.mapInArrow(_verify(num, den), "a binary, b binary, linked boolean"), "op2-tested"))
-        return tested[-1].where("linked")
-
-    def grown() -> DataFrame:
-        links = tested[0]
-        for t in tested[1:]:
-            links = links.unionByName(t)
-        return stage(connected_components(links.where("linked"), "a", "b"), "op2-comp")
-
-    for k in range(STAR_ROUNDS):
-        rank = F.struct(F.xxhash64(F.lit(k), "fp").alias("r"), "fp", "n", "p")
-        q = p if not k else p.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        lead = q.groupBy("tok").agg(F.min(rank).alias("l")).select("tok", F.col("l.fp").alias("yfp"), F.col("l.n").alias("yn"), F.col("l.p").alias("yp"))
-        if k:
-            lead = lead.join(comp.select(F.col("node").alias("yfp"), F.col("component").alias("yc")), "yfp", "left")
-            q = q.select("tok", F.col("fp").alias("xfp"), F.col("n").alias("xn"), F.col("p").alias("xp"), F.coalesce("component", "fp").alias("xc"))
-            cand = q.join(lead, "tok").where(F.col("xc") != F.coalesce("yc", "yfp"))
-        else:
-            cand = x.join(lead, "tok")
-        pairs(cand)
-        comp = grown()
-    c = Staged(p.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("tok", "fp", "n", "p", F.coalesce("component", "fp").alias("c")), "op2-comps")
-    sizes = c.df.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("c", "k").alias("top")).where("comps > 1")
-    here = Staged(c.df.join(sizes.select("tok", "top"), "tok").join(texts.select("fp", "prefix", "parts"), "fp"), "op2-open")
-    left = here.df.where("c != top").select("tok", "top", *(F.col(k).alias(f"x{k}") for k in ("fp", "n", "p", "c", "prefix", "parts")))
-    right = here.df.select("tok", *(F.col(k).alias(f"y{k}") for k in ("fp", "n", "p", "c", "prefix", "parts")))
-    once = F.element_at(F.array_intersect("xprefix", "yprefix"), 1) == F.col("tok")  # a pair is made at the first token that it shares
-    apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("xfp") < F.col("yfp")))
-    rest = left.join(right, "tok").where(apart & near & once & _suffix(num, den))
-    pairs(rest)
-    links = grown()
-    for t in (posts, c, here):
-        t.drop()
-    return links
+        return stage(checked.coalesce(files).mapInArrow(_verify(num, den), "a binary, b binary, linked boolean"), "op2-tested")
+
+    p = texts.select("fp", "n", "uniq", F.posexplode("prefix").alias("k", "tok")).select("tok", "fp", "n", "uniq", (F.col("uniq") + F.col("k")).alias("p"))
+    central = F.min(F.struct((F.col("uniq") / F.col("n")).alias("own"), F.xxhash64("fp").alias("r"), "fp", "n", "p")).alias("l")
+    lead = p.groupBy("tok").agg(central, F.count("*").alias("c")).where("c > 1").select("tok", F.col("l.fp").alias("yfp"), F.col("l.n").alias("yn"), F.col("l.p").alias("yp"))
+    star = p.select("tok", *(F.col(k).alias(f"x{k}") for k in ("fp", "n", "p"))).join(lead, "tok").where(near & (F.col("xfp") != F.col("yfp")))
+    tested = verified(star.select(F.least("xfp", "yfp").alias("a"), F.greatest("xfp", "yfp").alias("b")).distinct())
+    comp = stage(connected_components(tested.where("linked"), "a", "b", stored=True).coalesce(files), "op2-comp")
+
+    of = texts.select("fp", "n", "uniq", "prefix").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    p = of.select("fp", "n", "uniq", F.coalesce("component", "fp").alias("c"), F.posexplode("prefix").alias("k", "tok")).select("tok", "fp", "n", "c", (F.col("uniq") + F.col("k")).alias("p"))
+    sizes = p.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("c", "k").alias("top"), F.max("k").alias("tops"), F.sum("k").alias("all"))
+    parts = lambda n: F.ceil(n / F.lit(SIDE)).cast("int")
+    sizes = sizes.where("comps > 1").select("tok", "top", parts(F.col("all") - F.col("tops")).alias("lp"), parts(F.col("tops")).alias("rp"))
+    top = F.col("c") == F.col("top")
+    own = F.when(top, F.col("lp") + F.pmod(F.xxhash64("fp"), F.col("rp"))).otherwise(F.pmod(F.xxhash64("fp"), F.col("lp"))).cast("int")
+    to = F.explode(F.sequence(F.lit(0), F.when(top, F.col("lp") - 1).otherwise(F.col("lp") + F.col("rp") - 1)))
+    met = p.join(sizes, "tok").withColumn("part", own).join(texts.select("fp", "parts"), "fp").withColumn("to", to)
+    met = met.select("tok", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", "fp", "c", "n", "p", "parts")
+    found = met.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j").mapInArrow(_meet(num, den), "a binary, b binary").distinct()
+    more = verified(found.join(tested.select("a", "b"), ["a", "b"], "left_anti")).where("linked").select("a", "b")
+    return stage(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b", stored=True).coalesce(files), "op2-comp")
 
 
 def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -210,8 +259,10 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     sent = docs.mapInArrow(_sent(ranges, words), B.SCHEMA)
     answers = sent.groupBy("bucket").applyInArrow(_answer, B.SCHEMA)
     found = stage(answers.groupBy("blk").applyInArrow(_prefixes(num, den, "tag" in docs.columns), _DONE), "op2-docs")
-    texts = Staged(found.where("prefix IS NOT NULL").select("fp", "n", "uniq", "prefix", "tokens", "parts").dropDuplicates(["fp"]), "op2-texts")
-    comps = _links(texts.df, num, den)
+    alive = found.where("prefix IS NOT NULL")
+    posts, size = alive.agg(F.sum(F.size("prefix")), F.sum(F.length("tokens") + 8 * F.size("prefix") + SUFFIX_PARTS)).first()
+    texts = Staged(alive.select("fp", "n", "uniq", "prefix", "tokens", "parts").dropDuplicates(["fp"]).coalesce(max(1, -(-(size or 0) // FILE_BYTES))), "op2-texts")
+    comps = _links(texts.df, posts or 0, num, den)
     texts.drop()
     return found.select("doc_id", "n", "tag", "fp").join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("doc_id", "n", "tag", F.coalesce("component", "fp").alias("c"))
 

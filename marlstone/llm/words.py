@@ -13,7 +13,8 @@ ALNUM = "alnum"
 
 _ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
-_CACHE_WORDS = 300_000
+#: Words that are remembered, and bytes of the longest of them.
+_CACHE_WORDS, _CACHE_BYTES = 300_000, 64
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -33,9 +34,10 @@ def split(text: bytes | None, kind: str = SPACED) -> list[bytes]:
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        self[word] = h
+        if len(word) <= _CACHE_BYTES:
+            if len(self) >= _CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from marlstone.llm import ngram_join
 from marlstone.llm.ngram_join import jaccard_components
 
 SCHEMA = "doc_id long, text string, n_shingles long"
@@ -73,3 +76,39 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_blocks_of_hot_tokens(spark, monkeypatch):
+    """A family whose members are apart, so that its tokens stay open, in blocks of few texts."""
+    monkeypatch.setattr(ngram_join, "SIDE", 7)
+    monkeypatch.setattr(ngram_join, "CHUNK", 50)
+    rng = random.Random(11)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(160):
+        t = list(base)
+        for _ in range(rng.randint(0, 7)):
+            t[rng.randrange(150)] = f"y{rng.randrange(40)}"
+        rows.append((k, " ".join(t)))
+    assert run(spark, rows) == brute(rows)
+    assert len({r[2] for r in brute(rows)}) > 3
+
+
+def test_one_long_text_and_a_passage_that_many_share(spark):
+    rng = random.Random(8)
+    long_ = [f"l{k}" for k in range(40_000)]
+    other = list(long_)
+    for k in rng.sample(range(40_000), 400):
+        other[k] = f"m{k}"
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(0, " ".join(long_)), (1, " ".join(other)), (2, " ".join(long_[:30_000]))]
+    rows += [(3 + k, f"{passage} " + " ".join(f"q{k}_{j}" for j in range(rng.randint(0, 40)))) for k in range(1500)]
+    got = {r[0]: r[2] for r in run(spark, rows)}
+    assert (got[0], got[1], got[2]) == (0, 0, 2)
+    # n own words add n shingles to the passage's 56; two texts are alike if both have few
+    assert {k: got[k] for k in got if k > 2} == {k: c for k, _, c in brute(rows[3:])}
+
+
+def test_coarse_counts_are_never_less():
+    counts = np.arange(0, 200_000, 7)
+    bound = ngram_join._FINE[np.frombuffer(ngram_join.coarse(counts), "u1")]
+    assert (bound >= counts).all() and (bound[counts <= 128] == counts[counts <= 128]).all()
