@@ -8,7 +8,7 @@ verified there word by word.
 
 The index of windows is sent to all tasks, in blocks of items of a bounded number of words:
 a benchmark within the bound takes one pass over the documents, a larger one takes a pass
-for each block. Passes chain within one stage, row by row, without a join.
+for each block, written between passes, so a task has one index at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
 from marlstone.session import ship
+from marlstone.staging import Staged
 
 WINDOW = 10
 #: Words of the items that one index may hold; what is sent to each executor stays below about 200 MB.
@@ -32,12 +33,13 @@ SLICE_WORDS = 1_000_000
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64)
 
 
-def _blocks(items: DataFrame, limit: int) -> list[list[tuple[str, bytes]]]:
-    """Items with words, in blocks of about ``limit`` words at most."""
+def _blocks(items: DataFrame, limit: int):
+    """Items with words, in blocks of about ``limit`` words at most; the driver holds one at a time."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // (6 * limit)) or 1
     dealt = items.withColumn("k", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[(r[0], r[1].encode()) for r in dealt.where(F.col("k") == k).select("item", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r[0], r[1].encode()) for r in dealt.where(F.col("k") == k).select("item", "text").collect()]
 
 
 class _Index:
@@ -167,7 +169,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     names of the items with occurring windows), ``n_hit``, ``contaminated``. A null or empty
     text has no words and no hits. Items with a null id, a null text or no words are none.
     Items that share an id are one item with the windows of all its texts; repeated
-    documents are each scanned. Empty tables give no hits or no rows.
+    documents are each scanned. Long texts are scanned whole. Empty tables give no hits or no
+    rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -176,7 +179,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         {"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")}
     )
     narrow = docs.select(docs[text_col].cast("string").alias("text"))
-    for block in _blocks(items, index_words):
+    written = None
+    for k, block in enumerate(_blocks(items, index_words)):
+        if k:
+            before, written = written, Staged(out, "op3-pass")
+            out = written.df
+            if before is not None:
+                before.drop()
         index = _Index(block, window)
         counts = {r[0]: r[1] for r in narrow.mapInArrow(_count(spark.sparkContext.broadcast(index)), "word int, n long").groupBy("word").agg(F.sum("n")).collect()}
         index.order(counts)

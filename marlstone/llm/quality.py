@@ -2,14 +2,16 @@
 
 The views are a document's text (hashed words, and shares of characters, lines and words)
 and the metadata of its page (source, language, stated length). Each view has its own
-logistic classifier. In each round a classifier labels the unlabelled documents of a pool of
-which it is most sure, and the other learns from them too. The views are then calibrated on
+logistic classifier. In each round both score all documents without a label; of the share of
+which a classifier is surest the other learns some too. The views are then calibrated on
 labelled rows that neither has seen, and the calibrated views are combined there into one
 probability, which scores all documents.
 
-Training takes a bounded sample: at most ``labelled`` rows with a label and ``pool`` without,
-by the hash of their ids. Features are made on the executors; only the sample's reach the
-driver. Scoring reads every document once and moves none.
+What a classifier is fitted on is bounded: at most ``labelled`` rows with a label, and for
+each round, view and class ``passed`` pseudo-labelled ones, by the hash of their ids. The
+shares they come from are taken over all documents. Features are made on the executors; only
+those of the rows fitted on reach the driver. Each round, and the scoring at the end, reads
+every document once and moves none.
 """
 
 from __future__ import annotations
@@ -25,21 +27,28 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
 from marlstone.session import ship
+from marlstone.staging import Staged
 
-#: Rows that training may take: with a label, and without.
-LABELLED, POOL = 12_000, 6_000
+#: Rows that a fit may take: with a label, and passed on by the other view in a round, for each class.
+LABELLED, PASSED = 12_000, 300
 ROUNDS = 3
-#: Share of the pool that a classifier labels for the other in a round, and how sure it must be.
+#: Share of all unlabelled documents that a view is surest of, for each class, and how sure it must be.
 EXCHANGED, SURE = 0.1, 0.9
+#: Steps of probability in which that share is found.
+BINS = 10_000
+#: Rows whose features are made at a time.
+SLICE = 500
 HELD_OUT = 4
 WORD_SLOTS = 1 << 17
 META_SLOTS = 1 << 12
 #: Fewer labelled rows of either class than this give no classifier.
 LEAST = 5
 
-_CLASSES = [re.compile(p) for p in (rb"[A-Z]", rb"[0-9]", rb"\n", rb"[.,;:!?'\"()-]", rb"[^\x00-\x7f]")]
+_CLASSES = (rb"[A-Z]", rb"[0-9]", rb"\n", rb"[.,;:!?'\"()-]", rb"[^\x00-\x7f]")
 _SYMBOLS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum()]
 STATS = len(_CLASSES) + len(_SYMBOLS) + 5
+#: Which bytes are of each class, and each symbol.
+_COUNTED = np.array([[bool(re.fullmatch(p, bytes([c]))) for c in range(256)] for p in (*_CLASSES, *map(re.escape, _SYMBOLS))], float)
 TEXT_SLOTS = WORD_SLOTS + STATS
 
 
@@ -54,8 +63,7 @@ def text_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         values = 3 * values / np.linalg.norm(values)
     lines = text.split(b"\n")
     spaced = text.split()
-    stats = [len(p.findall(text)) / n for p in _CLASSES] + [text.count(s) / n for s in _SYMBOLS]
-    share = np.sqrt(np.array(stats)) * 4
+    share = np.sqrt(_COUNTED @ np.bincount(np.frombuffer(text, "u1"), minlength=256) / n) * 4
     more = [math.log1p(len(words)) / 5, len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines), sum(map(len, spaced)) / max(1, len(spaced)) / 10, 1.0]
     return np.r_[slots.astype(np.uint32), np.arange(WORD_SLOTS, TEXT_SLOTS, dtype=np.uint32)], np.r_[values, share, more].astype(np.float32)
 
@@ -133,53 +141,74 @@ class Model:
         return sure(a), sure(b), sure(np.c_[a, b, np.ones(len(a))] @ self.joint)
 
 
-def cotrain(text: Rows, meta: Rows, y: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """y: 1, 0, or -1 for a row of the pool. Every ``HELD_OUT``-th labelled row is for calibration."""
-    seen = np.flatnonzero(y >= 0)
+def cotrain(text: Rows, meta: Rows, y: np.ndarray, ask, rounds: int = ROUNDS) -> Model | None:
+    """A model from labelled rows; every ``HELD_OUT``-th of a class is for calibration.
+
+    ``ask(weights)`` has all unlabelled documents scored and gives ``{id: (goal, text row, meta
+    row)}`` for each view: what that view passes on to the other.
+    """
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return None
     held = np.concatenate([np.flatnonzero(y == c)[::HELD_OUT] for c in (0, 1)])
-    base, pool = np.setdiff1d(seen, held), np.flatnonzero(y < 0)
+    base = np.setdiff1d(np.arange(len(y)), held)
     views = (text, meta)
-    extra: list[dict[int, int]] = [{}, {}]
+    extra: list[dict] = [{}, {}]
     weights: list[np.ndarray | None] = [None, None]
     for k in range(rounds + 1):
         for v, x in enumerate(views):
-            at = np.r_[base, np.array(sorted(extra[v]), int)]
-            goal = np.r_[y[base], np.array([extra[v][i] for i in sorted(extra[v])], int)]
-            weights[v] = fit(x.take(at), goal, (TEXT_SLOTS, META_SLOTS)[v], weights[v], 60 if k == 0 else 20)
-        if k == rounds or not len(pool):
-            break
-        for v, x in enumerate(views):
-            p = 1 / (1 + np.exp(-np.clip(margins(x.take(pool), weights[v]), -30, 30)))
-            for goal, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(EXCHANGED * len(pool)))]
-                extra[1 - v].update({int(pool[i]): goal for i in best if sure[i] >= SURE})
+            own = [extra[v][i] for i in sorted(extra[v])]
+            more = Rows([r[1 + v][0] for r in own], [r[1 + v][1] for r in own])
+            goal = np.r_[y[base], np.array([r[0] for r in own], int)]
+            weights[v] = fit(x.take(base).join(more), goal, (TEXT_SLOTS, META_SLOTS)[v], weights[v], 60 if k == 0 else 20)
+        if k < rounds:
+            for v, found in enumerate(ask(weights)):
+                extra[1 - v].update(found)
     m = [margins(x.take(held), w) for x, w in zip(views, weights, strict=True)]
     platt = np.stack([scale(z[:, None], y[held]) for z in m])
     joint = scale(np.c_[platt[0, 0] * m[0] + platt[0, 1], platt[1, 0] * m[1] + platt[1, 1]], y[held])
     return Model(*weights, platt, joint)
 
 
+def _slices(batches):
+    """(slice of a batch, its rows' text, source, language and length)."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(k, SLICE)
+            yield batch, zip(W.texts(batch.column("text")), *(batch.column(c).to_pylist() for c in ("source", "lang", "chars")), strict=True)
+
+
 def _features(batches):
-    for batch in batches:
-        out = []
-        for t, s, g, c in zip(W.texts(batch.column("text")), *(batch.column(k).to_pylist() for k in ("source", "lang", "chars")), strict=True):
-            out.append([a.tobytes() for a in (*text_features(t), *meta_features(s, g, c))])
-        cols = [batch.column("y"), *(pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ((), (), (), ())))]
-        yield pa.RecordBatch.from_arrays(cols, ["y", "ts", "tv", "ms", "mv"])
+    for batch, rows in _slices(batches):
+        out = [[a.tobytes() for a in (*text_features(t), *meta_features(s, g, c))] for t, s, g, c in rows]
+        cols = [batch.column("i"), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))]
+        yield pa.RecordBatch.from_arrays(cols, ["i", "ts", "tv", "ms", "mv"])
+
+
+def _view_margins(rows, text_weights: np.ndarray, meta_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    text, meta = [], []
+    for t, s, g, c in rows:
+        (ts, tv), (ms, mv) = text_features(t), meta_features(s, g, c)
+        text.append(float((text_weights[ts] * tv).sum()))
+        meta.append(float((meta_weights[ms] * mv).sum()))
+    return np.array(text), np.array(meta)
+
+
+def _sure(sent):
+    """Ids with the steps of probability that the two views give them."""
+
+    def run(batches):
+        for batch, rows in _slices(batches):
+            p = [np.floor(BINS / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.int32).clip(0, BINS - 1) for z in _view_margins(rows, *sent.value)]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), *map(pa.array, p)], ["i", "b0", "b1"])
+
+    return run
 
 
 def _scored(sent):
     def run(batches):
         model = sent.value
-        for batch in batches:
-            text, meta = [], []
-            for t, s, g, c in zip(W.texts(batch.column("text")), *(batch.column(k).to_pylist() for k in ("source", "lang", "chars")), strict=True):
-                (ts, tv), (ms, mv) = text_features(t), meta_features(s, g, c)
-                text.append(float((model.text[ts] * tv).sum()))
-                meta.append(float((model.meta[ms] * mv).sum()))
-            cols = [batch.column("row"), *(pa.array(x, pa.float64()) for x in model.score(np.array(text), np.array(meta)))]
+        for batch, rows in _slices(batches):
+            cols = [batch.column("row"), *(pa.array(x, pa.float64()) for x in model.score(*_view_margins(rows, model.text, model.meta)))]
             yield pa.RecordBatch.from_arrays(cols, ["row", "p_text", "p_meta", "score"])
 
     return run
@@ -190,31 +219,70 @@ def _view(docs: DataFrame, *more) -> DataFrame:
     return docs.select(*more, col("text", "string").alias("text"), col("source", "string").alias("source"), col("lang", "string").alias("lang"), col("n_chars", "long").alias("chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
+def _bounds(bins: DataFrame, view: int) -> tuple[int, int]:
+    """Steps up to which, and from which on, a view is surest: ``EXCHANGED`` of all rows at each end, within ``SURE``."""
+    counts = np.zeros(BINS, np.int64)
+    for b, n in bins.groupBy(f"b{view}").count().collect():  # a row for each step
+        counts[b] = n
+    wanted = EXCHANGED * counts.sum()
+    low = int(np.searchsorted(np.cumsum(counts), wanted))
+    high = BINS - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), wanted))
+    return min(low, int((1 - SURE) * BINS) - 1), max(high, int(SURE * BINS))
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, passed: int = PASSED, rounds: int = ROUNDS) -> Model | None:
     """A model from labels (doc_id, 0 or 1), or None with fewer than ``LEAST`` rows of a class.
 
-    Rows with a null id or label are left out; of several labels of a document the least holds.
+    Labels with a null id or value are left out; of several labels of a document the least
+    holds. Of documents that share an id one is fitted on, the greatest by text; those with
+    no id are scored but never fitted on. Null and empty texts and null or missing metadata
+    are features like any other, long texts count whole, other columns are ignored. Empty
+    tables give None.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     marked = labels.select(labels["doc_id"].cast("long").alias("i"), labels[label_col].cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").groupBy("i").agg(F.min("y").alias("y"))
     order = F.xxhash64(F.lit(5), "i")
-    ids = docs.select(docs["doc_id"].cast("long").alias("i")).where("i IS NOT NULL")
-    # Both parts are limited, so what is broadcast has at most labelled + pool rows.
-    some = marked.join(ids.distinct(), "i", "left_semi").orderBy(order, "i").limit(labelled)
-    some = some.unionByName(ids.distinct().join(marked, "i", "left_anti").orderBy(order, "i").limit(pool).withColumn("y", F.lit(-1)))
-    rows = _view(docs, docs["doc_id"].cast("long").alias("i")).dropna(subset=["i"]).join(F.broadcast(some), "i")
-    got = rows.select("i", "y", "text", "source", "lang", "chars").orderBy("i").mapInArrow(_features, "y int, ts binary, tv binary, ms binary, mv binary").collect()
-    if not got:
+    narrow = docs.select(docs["doc_id"].cast("long").alias("i")).where("i IS NOT NULL")
+    view = _view(docs, docs["doc_id"].cast("long").alias("i")).where("i IS NOT NULL")
+
+    def features(ids: list[int]) -> dict[int, tuple]:
+        """By id (text row, meta row); there are at most ``labelled`` or ``4 * passed`` ids, so they are broadcast."""
+        rows = view.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "i long")), "i")
+        rows = rows.groupBy("i").agg(F.max(F.struct("text", "source", "lang", "chars")).alias("r")).select("i", "r.*")
+        got = rows.mapInArrow(_features, "i long, ts binary, tv binary, ms binary, mv binary").collect()
+        part = lambda a, b: (np.frombuffer(a, "<u4"), np.frombuffer(b, "<f4"))
+        return {r[0]: (part(r[1], r[2]), part(r[3], r[4])) for r in got}
+
+    goals = {r[0]: r[1] for r in marked.join(narrow.distinct(), "i", "left_semi").orderBy(order, "i").limit(labelled).collect()}
+    if min(sum(y == c for y in goals.values()) for c in (0, 1)) < LEAST:
         return None
-    part = lambda k, kind: [np.frombuffer(r[k], kind) for r in got]
-    return cotrain(Rows(part(1, "<u4"), part(2, "<f4")), Rows(part(3, "<u4"), part(4, "<f4")), np.array([r[0] for r in got]), rounds)
+    known = features(sorted(goals))
+    ids = sorted(known)
+
+    def ask(weights: list[np.ndarray]) -> list[dict]:
+        scored = Staged(view.mapInArrow(_sure(spark.sparkContext.broadcast(weights)), "i long, b0 int, b1 int"), "op5-round")
+        bins = Staged(scored.df.join(marked.select("i"), "i", "left_anti"), "op5-unlabelled")
+        picked: list[dict[int, int]] = [{}, {}]
+        for v in (0, 1):
+            low, high = _bounds(bins.df, v)
+            for goal, sure in ((1, F.col(f"b{v}") >= high), (0, F.col(f"b{v}") <= low)):
+                picked[v] |= {r[0]: goal for r in bins.df.where(sure).select("i").distinct().orderBy(order, "i").limit(passed).collect()}
+        scored.drop()
+        bins.drop()
+        made = features(sorted({i for p in picked for i in p}))
+        return [{i: (goal, *made[i]) for i, goal in p.items()} for p in picked]
+
+    rows = lambda v: Rows([known[i][v][0] for i in ids], [known[i][v][1] for i in ids])
+    return cotrain(rows(0), rows(1), np.array([goals[i] for i in ids]), ask, rounds)
 
 
 def scored(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """Each row of ``docs`` as the struct ``row`` with ``p_text, p_meta, score, keep``.
 
-    Null and empty texts and null metadata are scored like any others; missing metadata
-    columns count as null. Without a model the scores are null and every row is kept.
+    Null and empty texts and null metadata are scored like any others, and so is a row that
+    repeats; missing metadata columns count as null, long texts whole. Without a model the
+    scores are null and every row is kept. An empty table gives no rows.
     """
     rows = _view(docs, F.struct(*docs.columns).alias("row"))
     if model is None:

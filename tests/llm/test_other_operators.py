@@ -228,3 +228,68 @@ def test_paths_for_large_lookups_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(licenses, "LITERALS", 0)
     monkeypatch.setattr(lm_score, "BROADCAST_IDS", 0)
     assert small[0] and (scan(), score()) == small
+
+
+def test_rates_match_a_single_machine_solver(spark):
+    """Newton over the table against bisection in numpy, for targets below, above and at the cap."""
+    rng = np.random.default_rng(5)
+    sizes = {s: rng.integers(0, m, 400) for s, m in (("a", 50), ("b", 900), ("c", 7))} | {None: rng.integers(0, 20_000, 30)}
+    share = {"a": 0.2, "b": 1.4, "c": 1.97, None: 2.0}
+    cells = spark.createDataFrame([(s, int(z), int(n)) for s, x in sizes.items() for z, n in zip(*np.unique(x, return_counts=True), strict=True)], "source string, size long, n long")
+    sources = spark.createDataFrame([(s, int(x.sum()), share[s] * float(x.sum())) for s, x in sizes.items()], "source string, source_size long, target double")
+    for tilt in ("tokens", "source"):
+        for r in mixing.rates(sources, cells, 2.0, tilt).collect():
+            x = sizes[r.source].astype(float)
+            x = x[x > 0]
+            z = x / x.mean() if tilt == "tokens" else np.ones(len(x))
+            assert r.mean == pytest.approx(x.mean())
+            low, high = -1e4, 1e4
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if (x * np.minimum(2, np.exp(np.minimum(mid * z, 5)))).sum() < r.target else (low, mid)
+            got = np.minimum(2, np.exp(np.minimum(r.lam * z, 5)))
+            assert np.allclose(got, np.minimum(2, np.exp(np.minimum(high * z, 5))), atol=1e-5)
+
+
+def test_mixed_with_clashing_columns_repeated_rows_and_a_long_text(spark):
+    rows = [(k % 50, "w " * (k % 9), "s", k % 3, 1, 2, 3, 4, 5) for k in range(120)] + [(999, "v " * 300_000, "t", 0, 1, 2, 3, 4, 5), (7, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, source string, h1 int, h2 int, copies int, k int, row int, _kept int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.size] += r.copies
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in out.collect()) == +want
+    assert mixing.mixed(df.limit(0)).collect() == []
+
+
+def test_pseudo_labels_are_the_surest_of_all_unlabelled_documents(spark, monkeypatch):
+    """Each round against scores and shares worked out in Python."""
+    rng = random.Random(9)
+    docs = [(k, " ".join(rng.choice(["ta", "ri", "mo"] if k % 3 else ["xx", "yy", "ri"]) for _ in range(30)), "en", rng.choice("ab") if k % 3 else "c", 90 + k) for k in range(300)]
+    docs += [docs[5], (7, "another text of seven", "en", "a", 3), (None, "ta ri", None, None, None)]
+    labels = {k: int(k % 3 > 0) for k in range(0, 300, 2)}
+    given, cotrain = [], quality.cotrain
+    monkeypatch.setattr(quality, "cotrain", lambda t, m, y, ask, rounds: cotrain(t, m, y, lambda w: given.append(([x.copy() for x in w], ask(w))) or given[-1][1], rounds))
+    d = spark.createDataFrame(docs, DOCS)
+    quality.train(d, spark.createDataFrame([(k, y, 0) for k, y in labels.items()], "doc_id long, quality int, toxic int"), passed=1000)
+    assert len(given) == quality.ROUNDS
+    for weights, found in given:
+        rest = [r for r in docs if r[0] is not None and r[0] not in labels]
+        for v in (0, 1):
+            rows = [quality.text_features(r[1].encode()) if v == 0 else quality.meta_features(r[3], r[2], r[4]) for r in rest]
+            p = np.array([1 / (1 + math.exp(-float((weights[v][s] * x).sum()))) for s, x in rows])
+            step = np.floor(p * quality.BINS)
+            cut = sorted(step)[max(0, math.ceil(len(rest) * quality.EXCHANGED) - 1)], sorted(step)[-max(1, math.ceil(len(rest) * quality.EXCHANGED))]
+            want = {r[0]: 1 for r, b in zip(rest, step, strict=True) if b >= max(cut[1], quality.SURE * quality.BINS)}
+            want |= {r[0]: 0 for r, b in zip(rest, step, strict=True) if b <= min(cut[0], (1 - quality.SURE) * quality.BINS - 1)}
+            assert {i: f[0] for i, f in found[v].items()} == want
+
+
+def test_classifier_on_empty_tables_clashing_columns_and_a_long_text(spark):
+    docs = [(k, ("good words here " if k % 2 else "%% bad !! ") * 5, "en", "s", 10, 1, 2) for k in range(60)] + [(60, "good words here " * 100_000, "en", "s", 10, 1, 2), (None,) * 7, (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(docs, f"{DOCS}, row int, score int")
+    lab = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 60)], "doc_id long, quality int, toxic int")
+    out = quality.scored(df, quality.train(df, lab))
+    assert out.count() == len(docs) and {r[0]: r[1] for r in out.select("row.doc_id", "keep").collect()}[60]
+    assert quality.train(df.limit(0), lab) is None and out.select("row.*").columns == df.columns
