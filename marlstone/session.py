@@ -25,8 +25,15 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
 _shipped: set[str] = set()
 
 
+#: Bytes of a batch of rows on their way to Python, where the session has Spark's own 64 MB:
+#: executor and worker each hold a few batches for each task beside the heap.
+BATCH_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application, and bound their batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parent
