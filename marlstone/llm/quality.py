@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,30 +48,55 @@ LEAST = 5
 _CLASSES = (rb"[A-Z]", rb"[0-9]", rb"\n", rb"[.,;:!?'\"()-]", rb"[^\x00-\x7f]")
 _SYMBOLS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum()]
 STATS = len(_CLASSES) + len(_SYMBOLS) + 5
-#: Which bytes are of each class, and each symbol.
+#: Which bytes are no ASCII white space, which are of each class, and each symbol.
+_INK = np.array([not bytes([c]).isspace() for c in range(256)], np.int64)
 _COUNTED = np.array([[bool(re.fullmatch(p, bytes([c]))) for c in range(256)] for p in (*_CLASSES, *map(re.escape, _SYMBOLS))], float)
 TEXT_SLOTS = WORD_SLOTS + STATS
 
 
-def text_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of the text view; a null text is an empty one."""
+class _Slots(dict):
+    """Slots of words; a memo of bounded size keeps the frequent ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        slot = W.word_hash(word) % WORD_SLOTS
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = slot
+        return slot
+
+
+_slots = _Slots()
+
+
+def text_parts(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and values of a text's distinct words, and its shares; a null text is an empty one."""
     text = text or b""
     words = W.split(text, W.ALNUM)
-    n = max(1, len(text))
-    slots, times = np.unique(W.word_hashes(words) % np.uint64(WORD_SLOTS), return_counts=True)
-    values = 1 + np.log(times)
+    times = Counter(words)
+    slots = np.fromiter(map(_slots.__getitem__, times), np.uint32, len(times))
+    values = 1 + np.log(np.fromiter(times.values(), np.float32, len(times)))
     if len(values):
-        values = 3 * values / np.linalg.norm(values)
+        values *= 3 / math.sqrt(float(values @ values))
+    seen = np.bincount(np.frombuffer(text, "u1"), minlength=256)
     lines = text.split(b"\n")
-    spaced = text.split()
-    share = np.sqrt(_COUNTED @ np.bincount(np.frombuffer(text, "u1"), minlength=256) / n) * 4
-    more = [math.log1p(len(words)) / 5, len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines), sum(map(len, spaced)) / max(1, len(spaced)) / 10, 1.0]
-    return np.r_[slots.astype(np.uint32), np.arange(WORD_SLOTS, TEXT_SLOTS, dtype=np.uint32)], np.r_[values, share, more].astype(np.float32)
+    more = (math.log1p(len(words)) / 5, len(times) / max(1, len(words)), len(set(lines)) / len(lines), int(seen @ _INK) / max(1, len(text.split())) / 10, 1.0)
+    return slots, values, np.concatenate([np.sqrt(_COUNTED @ seen / max(1, len(text))) * 4, more])
+
+
+def text_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of the text view."""
+    slots, values, shares = text_parts(text)
+    return np.concatenate([slots, np.arange(WORD_SLOTS, TEXT_SLOTS, dtype=np.uint32)]), np.concatenate([values, shares]).astype(np.float32)
+
+
+def size_class(chars: int | None) -> str:
+    return "null" if chars is None else str(int(2 * math.log2(max(1, chars))))
 
 
 def meta_features(source, lang, chars) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of the metadata view; nulls are values of their own."""
-    size = "null" if chars is None else str(int(2 * math.log2(max(1, chars))))
+    size = size_class(chars)
     keys = [f"s {source}".encode(), f"l {lang}".encode(), f"c {size}".encode(), f"sl {source} {lang}".encode()]
     slots, times = np.unique(np.r_[W.word_hashes(keys) % np.uint64(META_SLOTS - 1), META_SLOTS - 1].astype(np.uint32), return_counts=True)
     return slots, times.astype(np.float32)
@@ -186,10 +212,14 @@ def _features(batches):
 
 def _view_margins(rows, text_weights: np.ndarray, meta_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text, meta = [], []
-    for t, s, g, c in rows:
-        (ts, tv), (ms, mv) = text_features(t), meta_features(s, g, c)
-        text.append(float((text_weights[ts] * tv).sum()))
-        meta.append(float((meta_weights[ms] * mv).sum()))
+    known: dict[tuple, float] = {}
+    for t, source, lang, chars in rows:
+        slots, values, shares = text_parts(t)
+        text.append(float(text_weights[slots] @ values + text_weights[WORD_SLOTS:] @ shares))
+        if (key := (source, lang, size_class(chars))) not in known:
+            ms, mv = meta_features(source, lang, chars)
+            known[key] = float(meta_weights[ms] @ mv)
+        meta.append(known[key])
     return np.array(text), np.array(meta)
 
 

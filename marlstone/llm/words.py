@@ -31,9 +31,13 @@ def split(text: bytes | None, kind: str = SPACED) -> list[bytes]:
     return text.lower().split() if kind == SPACED else text.translate(_ALNUM).split()
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+        h = word_hash(word)
         if len(word) <= _CACHE_BYTES:
             if len(self) >= _CACHE_WORDS:
                 self.clear()
