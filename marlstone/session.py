@@ -27,7 +27,7 @@ _shipped: set[str] = set()
 
 #: Bytes of a batch of rows on their way to Python, where the session has Spark's own 64 MB:
 #: executor and worker each hold a few batches for each task beside the heap.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
