@@ -104,7 +104,8 @@ def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED, id
     one shingle, and so is such a template. Null, empty and blank texts and templates match
     nothing; templates with a null id are left out. Several texts of one template id are
     templates of their own and their best counts. Rows that are equal in id and text give
-    one row each; other columns are ignored.
+    one row each, so repeated rows give one. Long texts are scanned whole; empty tables give
+    no rows; other columns are ignored.
     """
     t = templates.select(templates["template_id"].cast("string").alias("template_id"), words(templates["text"].cast("string")).alias("ws")).dropna()
     # Staged, or the lambdas would split the text anew for each word.
@@ -131,15 +132,16 @@ def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED, id
             of.setdefault(step, set()).update(ts)
         listed = lambda held: ", ".join(f"{h}L" for h in sorted(held) if h != -(2**63)) or "0L"
         near = rows.select("doc_id", "row", "all", F.expr(f"filter(transform(all, (s, i) -> if(s IN ({listed(set().union(*of.values()))}), struct(s, i AS at), null)), x -> x IS NOT NULL)").alias("hits"))
-        around = [f"transform(array_distinct(flatten(transform(filter(hits, x -> x.s IN ({listed(held)})), x -> array(x.at div {k} * {k}, greatest(x.at div {k} - 1, 0L) * {k})))), v -> struct({k} AS step, int(v) AS start))" for k, held in sorted(of.items())]
-        near = near.select("doc_id", "row", "all", F.explode_outer(F.expr(f"concat({', '.join(around)})") if around else F.expr("array(struct(1 AS step, 0 AS start))")).alias("w")).where("w IS NOT NULL").select("doc_id", "row", "all", "w.step", "w.start")
+        around = [f"transform(array_distinct(flatten(transform(filter(hits, x -> x.s IN ({listed(held)})), x -> array(x.at div {k} * {k}, greatest(x.at div {k} - 1, 0L) * {k})))), v -> struct({k} AS step, int(v) AS start, slice(all, int(v) + 1, 2 * {k}) AS run))" for k, held in sorted(of.items())]
+        near = near.select("doc_id", "row", F.explode_outer(F.expr(f"concat({', '.join(around)})") if around else F.expr("array(struct(1 AS step, 0 AS start, all AS run))")).alias("w")).where("w IS NOT NULL").select("doc_id", "row", "w.step", "w.start", "w.run")
     else:
         steps = t.select(F.explode("ts").alias("s"), "step").distinct()
-        near = rows.select("doc_id", "row", "all", F.posexplode("all").alias("at", "s")).join(steps, "s")
+        near = rows.select("doc_id", "row", F.posexplode("all").alias("at", "s")).join(steps, "s")
         at = F.floor(F.col("at") / F.col("step")).cast("int")
         starts = F.explode(F.array_distinct(F.array(at * F.col("step"), F.greatest(at - 1, F.lit(0)) * F.col("step")))).alias("start")
-        near = near.select("doc_id", "row", "step", "all", starts)
-    near = near.select("doc_id", "row", "step", "start", F.slice("all", F.col("start") + 1, 2 * F.col("step")).alias("run")).dropDuplicates(["row", "step", "start"])
+        starts = near.select("doc_id", "row", "step", starts).dropDuplicates(["row", "step", "start"])
+        near = starts.join(rows.select("row", "all").dropDuplicates(["row"]), "row").select("doc_id", "row", "step", "start", F.slice("all", F.col("start") + 1, 2 * F.col("step")).alias("run"))
+    near = near.dropDuplicates(["row", "step", "start"])
     windows = near.withColumn("sh", F.array_distinct("run"))
     bands = windows.select("*", F.posexplode(_signature(F.col("sh"))).alias("band", "hash"))
     keys = t.select("t", "template_id", "ts", "step", F.posexplode(_signature(F.col("ts"))).alias("band", "hash"))

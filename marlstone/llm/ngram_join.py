@@ -85,6 +85,8 @@ def _sent(ranges: int, words: int):
                     block = B.Block(ranges, made)
         if block.info:
             yield info(block)
+        del block
+        W.release()
 
     return run
 
@@ -99,7 +101,10 @@ def _answer(table: pa.Table) -> pa.Table:
     for i, (at, docs, _, many) in zip(sent, r.each(), strict=True):
         shared = r.documents[at] > 1
         out.append((bucket, blks[i], 1, B.pack(B.deltas(r.keys[at[shared]]), docs[shared], r.documents[at[shared]], B.deltas(r.keys[many]), r.documents[many])))
-    return pa.Table.from_batches([B.batch(out)])
+    found = pa.Table.from_batches([B.batch(out)])
+    del r, out, payloads
+    W.release()
+    return found
 
 
 def _prefixes(num: int, den: int, tagged: bool):
@@ -128,6 +133,8 @@ def _prefixes(num: int, den: int, tagged: bool):
             alive = n > 0 and wanted > 0 and len(own) > 0
             parts = coarse(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SUFFIX_PARTS)) if alive else None
             out.append((int(ids[d].view(np.int64)) if known[d] else None, n, fps[width * d : width * d + 16], fps[width * d + 16 : width * (d + 1)] if tagged else None, uniq, own[:wanted].view(np.int64).tolist() if alive else None, B.pack(B.deltas(np.sort(own))) if alive else None, parts))
+        del keys, docs, held, order, got, own
+        W.release()
         cols = list(zip(*out, strict=True))
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "fp", "tag", "uniq", "prefix", "tokens", "parts"])

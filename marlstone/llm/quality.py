@@ -196,11 +196,13 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, ask, rounds: int = ROUNDS) ->
 
 
 def _slices(batches):
-    """(slice of a batch, its rows' text, source, language and length)."""
+    """(slice of a batch, its rows' text, source, language and length); at the end the memos are given back."""
     for whole in batches:
         for k in range(0, whole.num_rows, SLICE):
             batch = whole.slice(k, SLICE)
             yield batch, zip(W.texts(batch.column("text")), *(batch.column(c).to_pylist() for c in ("source", "lang", "chars")), strict=True)
+    _slots.clear()
+    W.release()
 
 
 def _features(batches):

@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import token_files
+from marlstone.session import ship
 from marlstone.staging import remove
 
 KEYS = ("source", "lang", "tokenizer")
@@ -24,10 +27,33 @@ _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens l
 PATTERNS = {"spaced-1": r"[^\x20\x09-\x0D]+", "alnum-1": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
 
 
+def _encoded(tokenizer: str):
+    def run(batches):
+        enc = token_files.encoder(tokenizer)
+        for batch in batches:
+            sizes = [len(ids) for _, texts in token_files.slices(batch) for ids in enc.encode(texts)]
+            cols = [*(batch.column(k) for k in batch.schema.names if k != "n"), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, [*(k for k in batch.schema.names if k != "n"), "n"])
+
+    return run
+
+
 def counted(docs: DataFrame, *tokenizers: str) -> DataFrame:
-    """``doc_id, source, lang`` of each row and a column of counts for each tokenizer; a null text has no tokens."""
+    """``doc_id, source, lang`` of each row and a column of counts for each tokenizer.
+
+    A tokenizer is a name of ``PATTERNS``, or a file of the tokenizers library as in
+    ``token_files``, whose ids of the whole text count without special tokens. Null and empty
+    texts have no tokens, null sources and languages stay null, repeated rows count each,
+    other columns are ignored, and an empty table gives no rows.
+    """
     count = lambda t: F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(PATTERNS[t])), F.lit(0)).cast("long").alias(t)
-    return docs.select("doc_id", docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), *map(count, tokenizers))
+    files = [t for t in tokenizers if t not in PATTERNS]
+    rows = docs.select("doc_id", docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), *(count(t) for t in tokenizers if t in PATTERNS), *([docs["text"].cast("string").alias("text")] if files else []))
+    for t in files:
+        ship(docs.sparkSession)
+        rows = rows.withColumn("n", F.lit(0).cast("long"))
+        rows = rows.mapInArrow(_encoded(t), rows.schema).withColumnRenamed("n", t)
+    return rows.select("doc_id", "source", "lang", *(f"`{t}`" for t in tokenizers))
 
 
 def version(rows: DataFrame, tokenizer: str) -> DataFrame:
@@ -67,13 +93,13 @@ class Rollup:
         return sorted(n for n in names if n.startswith(prefix) and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
 
     def _folders(self) -> dict[str, set[str]]:
-        """Folders that count with the ids of their batches; what a larger folder holds does not count."""
+        """Folders that count with the ids of their batches; what a larger folder holds does not count, nor the later of two that hold the same."""
         held = {n: {n.removeprefix("batch=")} for n in self._complete("batch=")}
         lists = set(self._complete("held-"))
         for n in self._complete("folded-"):
             if (ids := n.replace("folded-", "held-")) in lists:
                 held[n] = {r[0] for r in self.spark.read.schema("id string").parquet(f"{self.path}/{ids}").collect()}
-        return {n: ids for n, ids in held.items() if not any(ids < other for other in held.values())}
+        return {n: ids for n, ids in held.items() if not any(ids < other or ids == other and m < n for m, other in held.items() if m != n)}
 
     def committed(self) -> set[str]:
         """Ids of all batches, also of those that were folded together."""

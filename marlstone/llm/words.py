@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,6 +50,20 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Empty the memo and hand freed memory back, as a worker goes on to tasks of other stages."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; a memo of bounded size keeps the frequent words."""
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))

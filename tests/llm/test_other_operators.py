@@ -293,3 +293,27 @@ def test_classifier_on_empty_tables_clashing_columns_and_a_long_text(spark):
     out = quality.scored(df, quality.train(df, lab))
     assert out.count() == len(docs) and {r[0]: r[1] for r in out.select("row.doc_id", "keep").collect()}[60]
     assert quality.train(df.limit(0), lab) is None and out.select("row.*").columns == df.columns
+
+
+def test_counts_by_a_tokenizer_file_and_two_compactions_at_once(spark, tmp_path, monkeypatch):
+    from marlstone.llm import token_files
+
+    texts = ["Some words, and more of them.", None, "", "é ï " * 40]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, k) for k, t in enumerate(texts)], f"{DOCS}, n long")
+    name = "word_bpe_49k.json"
+    rows = token_counts.counted(docs, "spaced-1", name)
+    enc = token_files.encoder(name).tokenizer
+    want = {k: len(enc.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert {r.doc_id: r[name] for r in rows.collect()} == want
+    assert token_counts.counted(docs.limit(0), name).collect() == []
+    roll = token_counts.Rollup(spark, f"file://{tmp_path}/roll")
+    roll.commit("one", token_counts.inserts(token_counts.version(rows, name)))
+    roll.commit("two", token_counts.revisions(token_counts.version(rows, name), token_counts.version(rows, "spaced-1")))
+    before = sorted(map(tuple, roll.totals().collect()))
+    monkeypatch.setattr(token_counts, "remove", lambda *a: None)  # both fold before either clears up
+    folders = roll._folders()
+    roll.compact()
+    monkeypatch.setattr(roll, "_folders", lambda: folders)
+    roll.compact()
+    monkeypatch.undo()
+    assert sorted(map(tuple, roll.totals().collect())) == before and roll.committed() == {"one", "two"}
