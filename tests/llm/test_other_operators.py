@@ -317,3 +317,21 @@ def test_counts_by_a_tokenizer_file_and_two_compactions_at_once(spark, tmp_path,
     roll.compact()
     monkeypatch.undo()
     assert sorted(map(tuple, roll.totals().collect())) == before and roll.committed() == {"one", "two"}
+
+
+def test_recall_of_caps_at_any_size_of_label():
+    from marlstone.llm import embedding_dedup as E
+
+    for largest in (10**4, 10**6, 10**9):
+        assert E.recall(64, largest, 0.93, 300) >= 0.98
+    codes = E.Codes(64, 10**9)
+    caps = codes.caps(np.eye(64)[:1])[0]
+    assert (codes.unpack(codes.pack(caps)) == caps).all() and len(caps) >= E.CODES * E.CAPS
+
+
+def test_vectors_of_extreme_numbers_and_clashing_columns(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    rows = [(k, (base * z).tolist(), 1, 5, 6, 7) for k, z in enumerate((1.0, 1e200, 1e-200, -1.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cls int, caps int, w int")
+    assert sorted(tuple(r)[:3] for r in near_duplicates(df).collect()) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
