@@ -58,6 +58,10 @@ GROUP_REPUTATION = {
 LIMIT_DEFAULT, LIMIT_MOST = 20, 100
 CACHE_SECONDS = 900
 
+# What stands for a time that is not known; limits of a model call.
+UNKNOWN_TIME = "未知时间"
+MODEL_SECONDS, MODEL_TOKENS = 45, 2048
+
 # Budget of a refine prompt in estimated tokens, and the parts of the estimate.
 PROMPT_TOKENS, PROMPT_BASE, CHARS_PER_TOKEN, TOKENS_PER_ITEM = 50_000, 400, 3, 2
 REFINE_MEMO = 200

@@ -7,7 +7,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.fixed import SPACE
+from marlstone.functions.fixed import SPACE, UNKNOWN_TIME
 
 WS = f"[{SPACE}]"
 #: Word boundaries of ASCII words, which Java's own boundary is not.
@@ -139,6 +139,11 @@ def iso_date(c: Column) -> Column:
     return iso(timestamp(c))
 
 
+def short_date(ts: Column) -> Column:
+    """Date and time in short Chinese form; a text of its own where there is none."""
+    return F.coalesce(F.date_format(ts, "yyyy/M/d HH:mm"), F.lit(UNKNOWN_TIME))
+
+
 def number(c: Column) -> Column:
     return empty_as_null(trim(c)).try_cast("bigint")
 

@@ -53,11 +53,15 @@ def named(files: DataFrame) -> DataFrame:
     return files.withColumn("final_name", F.when(n == 0, F.col("name")).otherwise(again))
 
 
-def zip_bytes(entries: list[tuple[str, bytes]]) -> bytes:
+#: The time that entries of an archive bear, so that equal files give equal bytes.
+ENTRY_TIME = (1980, 1, 1, 0, 0, 0)
+
+
+def zip_bytes(entries: list[tuple[str, bytes]], at: tuple = ENTRY_TIME) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         for name, data in entries:
-            z.writestr(name, data)
+            z.writestr(zipfile.ZipInfo(name, at), data)
     return out.getvalue()
 
 
@@ -80,7 +84,7 @@ def archives(items: DataFrame, limit: int = ARCHIVE_BYTES, most: int = ARCHIVE_I
         import pandas as pd
 
         pdf = pdf.sort_values("ord")
-        files = [(n, bytes(d)) for n, d, e in zip(pdf["name"], pdf["data"], pdf["error"], strict=True) if e is None]
+        files = [(n, bytes(d or b"")) for n, d, e in zip(pdf["name"], pdf["data"], pdf["error"], strict=True) if e is None]
         errors = [e for e in pdf["error"] if e is not None]
         why = "too many items" if pdf["asked"].iloc[0] > most else None if files else "no file could be archived"
         if files and errors:
@@ -88,5 +92,6 @@ def archives(items: DataFrame, limit: int = ARCHIVE_BYTES, most: int = ARCHIVE_I
         data = None if why else zip_bytes(files)
         return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "n_files": [len(files)], "n_errors": [len(errors)], "error": [why], "data": [data]})
 
-    both = good.unionByName(bad).join(asked, "archive")
+    # The bytes of an archive that is too large to be made stay where they are.
+    both = good.unionByName(bad).join(asked, "archive").withColumn("data", F.when(F.col("asked") <= most, F.col("data")))
     return both.groupBy("archive").applyInPandas(build, f"archive {dict(items.dtypes)['archive']}, n_files long, n_errors long, error string, data binary")

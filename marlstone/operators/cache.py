@@ -6,8 +6,9 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.fixed import CACHE_SECONDS, SPACE
@@ -42,6 +43,33 @@ def key_column(keyword: Column, sources: Column, prefer: Column, limit: Column,
     return F.to_json(parts, {"ignoreNullFields": "false"})
 
 
+class Store:
+    """Entries in a shared folder; a write adds a file, a read takes the last live write of a key."""
+
+    def __init__(self, spark: SparkSession, path: str, ttl: float = CACHE_SECONDS):
+        self.spark, self.path, self.ttl = spark, path.rstrip("/"), ttl
+
+    def _entries(self) -> DataFrame:
+        return self.spark.read.schema(f"{ENTRY}, at timestamp").parquet(self.path)
+
+    def get(self, key: str, now: datetime) -> str | None:
+        """The payload that is live at ``now``; None without one, or if the store can't be read."""
+        try:
+            row = upsert(live(self._entries().where(F.col("key") == key), F.lit(now)), "at").first()
+        except Exception:  # a cache that fails is a cache without the entry
+            return None
+        return row.payload if row else None
+
+    def put(self, key: str, payload: str, now: datetime) -> bool:
+        """Whether the entry was written; a failure is no error of the search."""
+        try:
+            row = self.spark.createDataFrame([(key, payload, now + timedelta(seconds=self.ttl), now)], f"{ENTRY}, at timestamp")
+            row.coalesce(1).write.mode("append").parquet(self.path)
+        except Exception:
+            return False
+        return True
+
+
 def upsert(writes: DataFrame, *order: str) -> DataFrame:
     """The last write of each key, reduced before the shuffle."""
     cols = [c for c in writes.columns if c != "key"]

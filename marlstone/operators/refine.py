@@ -8,6 +8,8 @@ code fences. Any failure leaves both lookups empty.
 from __future__ import annotations
 
 import json
+import queue
+import threading
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
-from marlstone.functions.fixed import CHARS_PER_TOKEN, PROMPT_BASE, PROMPT_TOKENS, REFINE_MEMO, TOKENS_PER_ITEM
+from marlstone.functions.fixed import CHARS_PER_TOKEN, MODEL_SECONDS, MODEL_TOKENS, PROMPT_BASE, PROMPT_TOKENS, REFINE_MEMO, TOKENS_PER_ITEM
 from marlstone.session import ship
 
 ANSWER = "struct<groups:array<struct<canonical:string,originals:array<string>>>,ranking:array<string>>"
@@ -126,11 +128,29 @@ def memo_key(names: Iterable[str], crews: Iterable[str]) -> str:
     return "\u0002".join("\u0001".join(sorted(x.lower() for x in xs)) for xs in (names, crews))
 
 
+def prompt(names: list[str], crews: list[str]) -> str:
+    """What a text model is asked for one chunk: clusters of series names and an order of groups, as JSON."""
+    listed = lambda xs: "\n".join(f"{k}. {x}" for k, x in enumerate(xs, 1)) or "(none)"
+    return (
+        "Two lists follow. Put series names that mean the same work into one cluster, whatever script or season "
+        "they are written in, and give each cluster a canonical name. Then order the groups from the best known "
+        "for quality to the least.\n"
+        f"\nSeries:\n{listed(names)}\n\nGroups:\n{listed(crews)}\n\n"
+        'Answer with JSON alone: {"groups": [{"canonical": text, "originals": [text]}], "ranking": [text]}. '
+        "Use the names as they stand in the lists, and leave out clusters of one name."
+    )
+
+
+def text_model(call: Callable[..., str], most: int = MODEL_TOKENS) -> Model:
+    """A model for ``Refiner`` from a function of ``(prompt, max_tokens=...)``."""
+    return lambda names, crews: call(prompt(names, crews), max_tokens=most)
+
+
 class Refiner:
-    """Calls a model once for each chunk and remembers the last answers."""
+    """Calls a model once for each chunk, within ``seconds`` and without a second try, and remembers the last answers."""
 
-    def __init__(self, model: Model | None = None, budget: int = PROMPT_TOKENS, memo: int = REFINE_MEMO):
-        self.model, self.budget, self.size = model, budget, memo
+    def __init__(self, model: Model | None = None, budget: int = PROMPT_TOKENS, memo: int = REFINE_MEMO, seconds: float = MODEL_SECONDS):
+        self.model, self.budget, self.size, self.seconds = model, budget, memo, seconds
         self.memo: OrderedDict[str, list[str]] = OrderedDict()
 
     def ask(self, names: list[str], crews: list[str]) -> list[str]:
@@ -142,7 +162,7 @@ class Refiner:
             self.memo.move_to_end(key)
             return self.memo[key]
         try:
-            found = [self.model(a, b) for a, b in chunks(names, crews, self.budget)]
+            found = [self._called(a, b) for a, b in chunks(names, crews, self.budget)]
             for text in found:
                 json.loads(_bare(text))
         except Exception:  # the refinement is optional: whatever fails in the model leaves the rules' result
@@ -152,6 +172,22 @@ class Refiner:
             self.memo.popitem(last=False)
         return found
 
+    def _called(self, names: list[str], crews: list[str]) -> str:
+        """One call; one that takes too long counts as failed, and is left to itself."""
+        done: queue.Queue = queue.Queue()
+
+        def run() -> None:
+            try:
+                done.put((self.model(names, crews), None))
+            except Exception as e:
+                done.put((None, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        text, why = done.get(timeout=self.seconds)
+        if why is not None:
+            raise why
+        return text
+
     def lookups(self, annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``(key, canonical)`` and ``(name, score)`` for a search's items, which are at most a few hundred."""
         spark, known, crews = annotated.sparkSession, labels(annotated), groups(annotated)

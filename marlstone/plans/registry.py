@@ -494,10 +494,32 @@ def selection_state(spark, sf_dir):
     return at.groupBy("group_key").agg(F.bool_and("c").alias("all_selected"), F.bool_or("c").alias("some_selected"))
 
 
-@query(f"{_SEL} SELECT ord, title || '.torrent' AS filename FROM s WHERE chosen")
+@query(f"{_SEL} SELECT ord, torrent_url AS url, title || '.torrent' AS filename FROM s WHERE chosen AND torrent_url <> ''")
 def selected_items(spark, sf_dir):
+    """Files to download of the selected items; items without one are left out."""
     rows, chosen = _selected(spark, sf_dir)
-    return rows.join(chosen, "ord", "left_semi").select("ord", F.concat("title", F.lit(".torrent")).alias("filename"))
+    return rows.join(chosen, "ord", "left_semi").where("torrent_url <> ''").select("ord", F.col("torrent_url").alias("url"), F.concat("title", F.lit(".torrent")).alias("filename"))
+
+
+@query(f"{_SEL} SELECT group_key, string_agg(magnet_url, chr(10) ORDER BY ord) AS links, count(*) AS n_links FROM s WHERE chosen AND magnet_url <> '' GROUP BY group_key")
+def selected_magnets(spark, sf_dir):
+    """Links of the selected items as text, one a line, by group; items without one are left out."""
+    rows, chosen = _selected(spark, sf_dir)
+    held = rows.join(chosen, "ord", "left_semi").where("magnet_url <> ''").groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("ord", "magnet_url"))).alias("m"))
+    return held.select("group_key", F.array_join(F.col("m.magnet_url"), "\n").alias("links"), F.size("m").cast("long").alias("n_links"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '未知时间' ELSE strftime(o_orderdate, '%Y/%-m/%-d %H:%M') END AS shown FROM orders")
+def short_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.short_date(F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))).alias("shown"))
+
+
+@query(f"""WITH {RELEASES_SQL} SELECT ord, '{{"id":' || to_json(id) || ',"title":' || to_json(title) || coalesce(',"seeders":' || to_json(seeders), '') || '}}' AS item FROM releases""")
+def response_rows(spark, sf_dir):
+    """Items as a response has them; keys without a value are left out."""
+    rows = releases(spark, sf_dir)
+    found = S.response_json(S.Response(0, rows.select("ord", F.lit(0).alias("group_rank"), F.lit(0).alias("item_rank"), "id", "title", "seeders"), rows.where("false").select("ord", "id", "title", "seeders"), False))
+    return found.select("ord", F.regexp_replace("item", r'"(ord|group_rank|item_rank)":\d+,', "").alias("item"))
 
 
 @query(f"{_SEL} SELECT count(*) AS total, count(DISTINCT group_key) AS n_groups, count_if(chosen) AS n_selected FROM s")

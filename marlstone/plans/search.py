@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.fixed import LIMIT_DEFAULT, LIMIT_MOST, SOURCES
+from marlstone.functions.fixed import LIMIT_DEFAULT, LIMIT_MOST, SOURCES, SPACE
 from marlstone.operators import releases, series
-from marlstone.operators.cache import normal_keyword
+from marlstone.operators.cache import Store, normal_keyword
+from marlstone.operators.cache import key as cache_key
 from marlstone.operators.dedupe import dedupe
 from marlstone.operators.refine import Refiner
 from marlstone.staging import stage
@@ -49,7 +53,7 @@ class Query:
 
     @property
     def cleaned(self) -> str:
-        return " ".join(self.keyword.split())
+        return re.sub(f"[{SPACE}]+", " ", self.keyword).strip(" ")
 
 
 @dataclass
@@ -88,6 +92,41 @@ def arranged(items: DataFrame, prefer: str | None = None, refiner: Refiner | Non
     return entities, *releases.grouped(best)
 
 
+def response_json(response: Response) -> DataFrame:
+    """A row of JSON for each item of a response, groups first; keys without a value are left out."""
+    items = response.groups.unionByName(response.ungrouped, allowMissingColumns=True)
+    return items.select("group_rank", "item_rank", "ord", F.to_json(F.struct(*items.columns)).alias("item"))
+
+
+def response_text(response: Response) -> str:
+    """The answer to a request as one JSON text; a response has at most the items of its pages."""
+    rows = response_json(response).orderBy(F.col("group_rank").asc_nulls_last(), "item_rank", "ord").collect()
+    grouped = [json.loads(r.item) for r in rows if r.group_rank is not None]
+    rest = [json.loads(r.item) for r in rows if r.group_rank is None]
+    return json.dumps({"total": response.total, "items": grouped, "ungrouped": rest, "refined": response.refined, "warnings": response.warnings}, ensure_ascii=False)
+
+
+def answered(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None, store: Store | None = None, now: datetime | None = None) -> str:
+    """``search`` as JSON text by way of the cache: a refined entry answers any request, a fast one only a request for a fast answer."""
+    now = now or datetime.now()
+    key = lambda refined: cache_key(query.keyword, query.sources, query.prefer, query.limit, query.offset, refined)
+    for refined in (True,) if query.refine else (True, False):
+        if store is not None and (found := store.get(key(refined), now)) is not None:
+            return found
+    text = response_text(search(spark, query, loaders, refiner))
+    if store is not None:
+        store.put(key(query.refine), text, now)
+    return text
+
+
+def two_phases(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None, store: Store | None = None, now: datetime | None = None):
+    """The fast answer, then the refined one unless the first was refined already."""
+    first = answered(spark, replace(query, refine=False), loaders, refiner, store, now)
+    yield first
+    if not json.loads(first)["refined"]:
+        yield answered(spark, replace(query, refine=True), loaders, refiner, store, now)
+
+
 def search(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None) -> Response:
     """Runs a query. A source that fails gives a warning and no rows; the others go on."""
     parts, warnings = [], []

@@ -46,6 +46,7 @@ releases AS (
   SELECT ord, CAST(ord AS VARCHAR) AS id, title, ['nyaa', 'bangumi-moe', 'dmhy', 'acg-rip'][CAST(l_suppkey % 4 AS INT) + 1] AS source, l_shipdate AS published,
     CASE WHEN l_linestatus = 'O' THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || ' MB' END AS size,
     CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) END AS seeders, CASE WHEN l_linenumber % 3 <> 0 THEN h || left(h, 8) END AS info_hash,
+    CASE WHEN l_linenumber % 2 = 0 AND l_linenumber % 3 <> 0 THEN 'magnet:?xt=urn:btih:' || h || left(h, 8) END AS magnet_url, CASE WHEN l_partkey % 2 = 0 THEN 'https://files.example/' || ord END AS torrent_url,
     [p_brand, 't' || (l_suppkey % 3)] AS tags
   FROM (
     SELECT *, l_orderkey * 1000 + rn AS ord, md5(CAST(l_orderkey % 5000 AS VARCHAR)) AS h,
