@@ -10,8 +10,9 @@ probability, which scores all documents.
 What a classifier is fitted on is bounded: at most ``labelled`` rows with a label, and for
 each round, view and class ``passed`` pseudo-labelled ones, by the hash of their ids. The
 shares they come from are taken over all documents. Features are made on the executors; only
-those of the rows fitted on reach the driver. Each round, and the scoring at the end, reads
-every document once and moves none.
+those of the rows fitted on reach the driver. Training makes the features of all documents
+once and stages them packed, a fraction of the text's size; each round reads that table, the
+scoring at the end the documents, and neither moves any.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import blocks as B
 from marlstone.llm import words as W
 from marlstone.session import ship
 from marlstone.staging import Staged
@@ -39,6 +41,7 @@ EXCHANGED, SURE = 0.1, 0.9
 BINS = 10_000
 #: Rows whose features are made at a time.
 SLICE = 500
+_KEPT = ("i", "source", "lang", "chars")
 HELD_OUT = 4
 WORD_SLOTS = 1 << 17
 META_SLOTS = 1 << 12
@@ -49,7 +52,7 @@ _CLASSES = (rb"[A-Z]", rb"[0-9]", rb"\n", rb"[.,;:!?'\"()-]", rb"[^\x00-\x7f]")
 _SYMBOLS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum()]
 STATS = len(_CLASSES) + len(_SYMBOLS) + 5
 #: Which bytes are no ASCII white space, which are of each class, and each symbol.
-_INK = np.array([not bytes([c]).isspace() for c in range(256)], np.int64)
+_INK = np.array([not bytes([c]).isspace() for c in range(256)])
 _COUNTED = np.array([[bool(re.fullmatch(p, bytes([c]))) for c in range(256)] for p in (*_CLASSES, *map(re.escape, _SYMBOLS))], float)
 TEXT_SLOTS = WORD_SLOTS + STATS
 
@@ -69,19 +72,33 @@ class _Slots(dict):
 _slots = _Slots()
 
 
-def text_parts(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots and values of a text's distinct words, and its shares; a null text is an empty one."""
+def text_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and counts of a text's distinct words, and its shares; a null text is an empty one."""
     text = text or b""
     words = W.split(text, W.ALNUM)
     times = Counter(words)
     slots = np.fromiter(map(_slots.__getitem__, times), np.uint32, len(times))
-    values = 1 + np.log(np.fromiter(times.values(), np.float32, len(times)))
+    counts = np.fromiter(times.values(), np.float32, len(times))
+    data = np.frombuffer(text, "u1")
+    seen, ink = np.bincount(data, minlength=256), _INK[data]
+    chunks = int(np.count_nonzero(ink[1:] > ink[:-1])) + int(ink[:1].sum())
+    lines = text.split(b"\n")
+    more = (math.log1p(len(words)) / 5, len(times) / max(1, len(words)), len(set(lines)) / len(lines), int(np.count_nonzero(ink)) / max(1, chunks) / 10, 1.0)
+    return slots, counts, np.concatenate([np.sqrt(_COUNTED @ seen / max(1, len(text))) * 4, more])
+
+
+def word_values(counts: np.ndarray) -> np.ndarray:
+    """Values of words by their counts in a text, of one length for all texts."""
+    values = 1 + np.log(counts.astype(np.float32))
     if len(values):
         values *= 3 / math.sqrt(float(values @ values))
-    seen = np.bincount(np.frombuffer(text, "u1"), minlength=256)
-    lines = text.split(b"\n")
-    more = (math.log1p(len(words)) / 5, len(times) / max(1, len(words)), len(set(lines)) / len(lines), int(seen @ _INK) / max(1, len(text.split())) / 10, 1.0)
-    return slots, values, np.concatenate([np.sqrt(_COUNTED @ seen / max(1, len(text))) * 4, more])
+    return values
+
+
+def text_parts(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and values of a text's distinct words, and its shares."""
+    slots, counts, shares = text_counts(text)
+    return slots, word_values(counts), shares
 
 
 def text_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -212,11 +229,24 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays(cols, ["i", "ts", "tv", "ms", "mv"])
 
 
+def _packed(batches):
+    """Ids, metadata, and the text view's words and shares as bytes."""
+    for batch, rows in _slices(batches):
+        parts = [text_counts(t) for t, *_ in rows]
+        words, shares = [B.pack(s, n) for s, n, _ in parts], [x.tobytes() for _, _, x in parts]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEPT), pa.array(words, pa.binary()), pa.array(shares, pa.binary())], [*_KEPT, "words", "shares"])
+
+
+def _unpacked(words: bytes, shares: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slots, counts = B.unpack(words)
+    return slots, word_values(counts), np.frombuffer(shares, "<f8")
+
+
 def _view_margins(rows, text_weights: np.ndarray, meta_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of rows of (parts of the text view, source, language, length)."""
     text, meta = [], []
     known: dict[tuple, float] = {}
-    for t, source, lang, chars in rows:
-        slots, values, shares = text_parts(t)
+    for (slots, values, shares), source, lang, chars in rows:
         text.append(float(text_weights[slots] @ values + text_weights[WORD_SLOTS:] @ shares))
         if (key := (source, lang, size_class(chars))) not in known:
             ms, mv = meta_features(source, lang, chars)
@@ -229,7 +259,9 @@ def _sure(sent):
     """Ids with the steps of probability that the two views give them."""
 
     def run(batches):
-        for batch, rows in _slices(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("words", "shares", "source", "lang", "chars")]
+            rows = ((_unpacked(w, x), *more) for w, x, *more in zip(*cols, strict=True))
             p = [np.floor(BINS / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.int32).clip(0, BINS - 1) for z in _view_margins(rows, *sent.value)]
             yield pa.RecordBatch.from_arrays([batch.column("i"), *map(pa.array, p)], ["i", "b0", "b1"])
 
@@ -240,7 +272,8 @@ def _scored(sent):
     def run(batches):
         model = sent.value
         for batch, rows in _slices(batches):
-            cols = [batch.column("row"), *(pa.array(x, pa.float64()) for x in model.score(*_view_margins(rows, model.text, model.meta)))]
+            found = _view_margins(((text_parts(t), *more) for t, *more in rows), model.text, model.meta)
+            cols = [batch.column("row"), *(pa.array(x, pa.float64()) for x in model.score(*found))]
             yield pa.RecordBatch.from_arrays(cols, ["row", "p_text", "p_meta", "score"])
 
     return run
@@ -291,9 +324,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
         return None
     known = features(sorted(goals))
     ids = sorted(known)
+    packed = Staged(view.mapInArrow(_packed, "i long, source string, lang string, chars long, words binary, shares binary"), "op5-features") if rounds else None
 
     def ask(weights: list[np.ndarray]) -> list[dict]:
-        scored = Staged(view.mapInArrow(_sure(spark.sparkContext.broadcast(weights)), "i long, b0 int, b1 int"), "op5-round")
+        scored = Staged(packed.df.mapInArrow(_sure(spark.sparkContext.broadcast(weights)), "i long, b0 int, b1 int"), "op5-round")
         bins = Staged(scored.df.join(marked.select("i"), "i", "left_anti"), "op5-unlabelled")
         picked: list[dict[int, int]] = [{}, {}]
         for v in (0, 1):
@@ -306,7 +340,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
         return [{i: (goal, *made[i]) for i, goal in p.items()} for p in picked]
 
     rows = lambda v: Rows([known[i][v][0] for i in ids], [known[i][v][1] for i in ids])
-    return cotrain(rows(0), rows(1), np.array([goals[i] for i in ids]), ask, rounds)
+    model = cotrain(rows(0), rows(1), np.array([goals[i] for i in ids]), ask, rounds)
+    if packed is not None:
+        packed.drop()
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
