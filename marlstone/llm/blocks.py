@@ -13,6 +13,7 @@ frequent key costs its range depends on the number of blocks, not of documents.
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -123,24 +124,47 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Range:
-    """What the blocks sent to one range of the key space, with the counts over all of them."""
+    """What the blocks sent to one range of the key space, with the counts over all of them.
 
-    def __init__(self, payloads: list[bytes]):
-        self.parts = []
+    Payloads are taken one at a time; of each only what an answer needs is kept.
+    """
+
+    def __init__(self, payloads):
+        self.parts, keys = [], []
         for p in payloads:
             sk, sd, scm, mk, mh, total, inside = unpack(p)
-            self.parts.append((sums(sk), sd, scm >> U64(1), (scm & U64(1)).astype(bool), sums(mk), mh, total, inside))
-        keys = np.concatenate([x for p in self.parts for x in (p[0], p[4])] or [np.empty(0, U64)])
-        self.keys, at = np.unique(keys, return_inverse=True)
-        weight = lambda pick: np.bincount(at, np.concatenate([x for p in self.parts for x in pick(p)] or [np.empty(0)]).astype(float), len(self.keys))
-        #: By key: documents that hold it, occurrences, occurrences in marked documents.
-        self.documents = weight(lambda p: (np.ones(len(p[0])), p[5])).astype(np.int64)
-        self.total = weight(lambda p: (p[2], p[6]))
-        self.marked = weight(lambda p: (p[2] * p[3], p[7]))
-        ends = np.cumsum([len(x) for p in self.parts for x in (p[0], p[4])])
+            keys += [sums(sk), sums(mk)]
+            self.parts.append((sd.astype(np.uint32), (scm >> U64(1)).astype(np.uint32), (scm & U64(1)).astype(bool), mh, total, inside))
+        ends = np.cumsum([len(k) for k in keys])
+        whole = np.concatenate([*keys, np.empty(0, U64)])
+        del keys
+        self.keys, at = np.unique(whole, return_inverse=True)
         self.at = np.split(at, ends[:-1]) if len(ends) else []
 
+    def _weight(self, solo, many) -> np.ndarray:
+        """Sums by key of a weight of each solo key and of each shared key, block by block."""
+        out = np.zeros(len(self.keys))
+        for i, p in enumerate(self.parts):  # a block's keys are distinct
+            out[self.at[2 * i]] += solo(p)
+            out[self.at[2 * i + 1]] += many(p)
+        return out
+
+    @cached_property
+    def documents(self) -> np.ndarray:
+        """By key: documents that hold it."""
+        return self._weight(lambda p: 1, lambda p: p[3]).astype(np.int64)
+
+    @cached_property
+    def total(self) -> np.ndarray:
+        """By key: occurrences."""
+        return self._weight(lambda p: p[1], lambda p: p[4])
+
+    @cached_property
+    def marked(self) -> np.ndarray:
+        """By key: occurrences in marked documents."""
+        return self._weight(lambda p: p[1] * p[2], lambda p: p[5])
+
     def each(self):
         """For each block: its solo keys' places in ``keys``, documents and counts; its shared keys' places."""
         for i, p in enumerate(self.parts):
-            yield self.at[2 * i], p[1].astype(np.int64), p[2], self.at[2 * i + 1]
+            yield self.at[2 * i], p[0].astype(np.int64), p[1], self.at[2 * i + 1]

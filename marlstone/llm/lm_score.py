@@ -82,11 +82,12 @@ def _unfolded(x: np.ndarray) -> np.ndarray:
 
 def _answer(bits: int, k: float, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
-        kinds, blks, payloads = (table.column(c).to_pylist() for c in ("kind", "blk", "payload"))
+        kinds, blks = (table.column(c).to_pylist() for c in ("kind", "blk"))
+        payload = lambda i: table.column("payload")[i].as_py()
         bucket = table.column("bucket")[0].as_py()
         sent = [i for i, x in enumerate(kinds) if x == 1]
-        out = [(bucket, blks[i], kinds[i], payloads[i]) for i in range(len(kinds)) if kinds[i] != 1]
-        r = B.Range([payloads[i] for i in sent])
+        out = [(bucket, blks[i], kinds[i], payload(i)) for i in range(len(kinds)) if kinds[i] != 1]
+        r = B.Range(map(payload, sent))
         context = ((r.keys >> np.uint64(64 - bits)) & np.uint64(1)).astype(bool)
         term = lambda c: np.rint(np.where(context, np.log(c + k * vocabulary), -np.log(c + k)) / UNIT).astype(np.int64)
         target, back = term(r.marked), term(r.total)

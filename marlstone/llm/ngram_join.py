@@ -93,16 +93,17 @@ def _sent(ranges: int, words: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """One range: to each block the keys that more than one document holds, with how many do."""
-    kinds, blks, payloads = (table.column(k).to_pylist() for k in ("kind", "blk", "payload"))
+    kinds, blks = (table.column(k).to_pylist() for k in ("kind", "blk"))
+    payload = lambda i: table.column("payload")[i].as_py()
     sent = [i for i, k in enumerate(kinds) if k == 1]
-    out = [(table.column("bucket")[i].as_py(), blks[i], kinds[i], payloads[i]) for i in range(len(kinds)) if kinds[i] != 1]
-    r = B.Range([payloads[i] for i in sent])
+    out = [(table.column("bucket")[i].as_py(), blks[i], kinds[i], payload(i)) for i in range(len(kinds)) if kinds[i] != 1]
+    r = B.Range(map(payload, sent))
     bucket = table.column("bucket")[0].as_py()
     for i, (at, docs, _, many) in zip(sent, r.each(), strict=True):
         shared = r.documents[at] > 1
         out.append((bucket, blks[i], 1, B.pack(B.deltas(r.keys[at[shared]]), docs[shared], r.documents[at[shared]], B.deltas(r.keys[many]), r.documents[many])))
     found = pa.Table.from_batches([B.batch(out)])
-    del r, out, payloads
+    del r, out
     W.release()
     return found
 

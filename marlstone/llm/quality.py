@@ -264,6 +264,7 @@ def _sure(sent):
             rows = ((_unpacked(w, x), *more) for w, x, *more in zip(*cols, strict=True))
             p = [np.floor(BINS / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.int32).clip(0, BINS - 1) for z in _view_margins(rows, *sent.value)]
             yield pa.RecordBatch.from_arrays([batch.column("i"), *map(pa.array, p)], ["i", "b0", "b1"])
+        W.release()
 
     return run
 
