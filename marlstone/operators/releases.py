@@ -66,13 +66,8 @@ def _display() -> list[Column]:
     return [F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("passed"), F.col("place")]
 
 
-def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items of groups, ungrouped items).
-
-    Items of groups carry ``group_key, group_series, group_season, group_rank, item_rank``
-    (from 1) and ``n_items``; groups of one item are ungrouped, after the items without a
-    key. Ungrouped items carry ``item_rank``.
-    """
+def _with_groups(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with ``group_key``, one row for each key)."""
     season = F.when(F.coalesce("season", F.lit(0)) != 0, F.concat(F.lit("::s"), F.col("season").cast("string"))).otherwise("")
     rows = pruned.withColumn("group_key", F.when(F.col("series_key").isNotNull(), F.concat("canonical", season)))
     at = F.struct("passed", "place")
@@ -81,10 +76,30 @@ def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count("*").alias("n_items"), F.max("published").alias("fresh"), F.min(at).alias("first"),
         F.min_by(label, at).alias("group_series"), F.min_by(F.struct("season"), at)["season"].alias("group_season"),
     )
-    several = numbered(sums.where("n_items > 1"), F.desc("fresh"), F.col("first"), out="group_rank").withColumn("group_rank", F.col("group_rank") + 1)
+    return rows, sums
+
+
+def _several(sums: DataFrame) -> DataFrame:
+    ranked = numbered(sums.where("n_items > 1"), F.desc("fresh"), F.col("first"), out="group_rank")
+    return ranked.withColumn("group_rank", F.col("group_rank") + 1).drop("first", "fresh")
+
+
+def groups(pruned: DataFrame) -> DataFrame:
+    """``group_key, group_series, group_season, n_items, group_rank`` of the groups of several items, summed without a look at an item's rank."""
+    return _several(_with_groups(pruned)[1])
+
+
+def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items of groups, ungrouped items).
+
+    Items of groups carry ``group_key, group_series, group_season, group_rank, item_rank``
+    (from 1) and ``n_items``; groups of one item are ungrouped, after the items without a
+    key. Ungrouped items carry ``item_rank``.
+    """
+    rows, sums = _with_groups(pruned)
     inside = Window.partitionBy("group_key").orderBy(*_display())
-    groups = rows.join(several.drop("first", "fresh"), "group_key").withColumn("item_rank", F.row_number().over(inside).cast("long"))
+    items = rows.join(_several(sums), "group_key").withColumn("item_rank", F.row_number().over(inside).cast("long"))
     single = rows.join(sums.where("n_items = 1").select("group_key"), "group_key", "left_semi").withColumn("late", F.lit(1))
     rest = rows.where("group_key IS NULL").withColumn("late", F.lit(0)).unionByName(single)
     rest = numbered(rest, F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("late"), F.col("passed"), F.col("place"), out="item_rank")
-    return groups, rest.withColumn("item_rank", F.col("item_rank") + 1).drop("late")
+    return items, rest.withColumn("item_rank", F.col("item_rank") + 1).drop("late")
