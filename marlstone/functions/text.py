@@ -148,14 +148,19 @@ def number(c: Column) -> Column:
     return empty_as_null(trim(c)).try_cast("bigint")
 
 
-def bytes_text(c: Column) -> Column:
-    """A size with a unit: one decimal below 10, none above and for bytes."""
-    out = None
-    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        v = c.cast("double") / 1024**k
-        text = F.printf(F.lit(f"%.0f {unit}"), v) if k == 0 else F.when(v >= 10, F.printf(F.lit(f"%.0f {unit}"), v)).otherwise(F.printf(F.lit(f"%.1f {unit}"), v))
-        out = text if out is None else F.when(c.cast("double") < 1024.0 ** (k + 1), text).otherwise(out)
-    return out
+def bytes_text(c: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB"), even: bool = False) -> Column:
+    """A size with a unit: one decimal below 10, none above and for bytes; null for null.
+
+    A value midway between two texts takes the larger one, or with ``even`` the one with an even last digit.
+    """
+    # Such values are multiples of a quarter, so their doubles are exact.
+    fixed = lambda v, digits: F.format_string(f"%.{digits}f", F.bround(v, digits) if even else v)
+    out, size = None, c.cast("double")
+    for k, unit in reversed(list(enumerate(units))):
+        v = size / 1024**k
+        text = F.concat(fixed(v, 0) if k == 0 else F.when(v >= 10, fixed(v, 0)).otherwise(fixed(v, 1)), F.lit(f" {unit}"))
+        out = text if out is None else F.when(size < 1024.0 ** (k + 1), text).otherwise(out)
+    return F.when(c.isNotNull(), out)
 
 
 def episode_label(season: Column, episode: Column) -> Column:

@@ -3,11 +3,13 @@ import json
 import random
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from marlstone.operators import archive, cache, refine, releases, series
 from marlstone.operators.dedupe import ITEM, dedupe
 from marlstone.operators.graph import connected_components
+from marlstone.plans import registry
 from marlstone.plans.search import Query, page, search, union
 from marlstone.sources import feeds
 
@@ -170,3 +172,10 @@ def test_query_parameters():
     assert (q.cleaned, q.limit, q.offset, q.sources, q.prefer, q.refine) == ("a b", 100, 0, ("nyaa", "dmhy"), None, False)
     assert Query.of({"q": "a", "limit": "x"}).limit == 20
     assert F is not None
+
+
+def test_format_bytes_is_its_sql_on_ties_and_without_a_count(spark, tmp_path):
+    counts = [None, 0, 1, 512, 768, 1536, 2304, 2560, 10240, 10752, 1 << 20, 1 << 31, 1 << 33, 1 << 62]
+    spark.createDataFrame(list(enumerate(counts)), "doc_id long, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(registry.ORACLE_SQL["format_bytes"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["format_bytes"](spark, str(tmp_path)).collect())) == sorted(want)

@@ -58,6 +58,11 @@ def test_aliases(spark):
         (lambda: X.bytes_text(F.lit(1536)), "1.5 KB"),
         (lambda: X.bytes_text(F.lit(15 * 1024)), "15 KB"),
         (lambda: X.bytes_text(F.lit(1 << 50)), "1024 TB"),
+        (lambda: X.bytes_text(F.lit(12.5 * 1024)), "13 KB"),
+        (lambda: X.bytes_text(F.lit(12.5 * 1024), even=True), "12 KB"),
+        (lambda: X.bytes_text(F.lit(2.25 * 1024), even=True), "2.2 KB"),
+        (lambda: X.bytes_text(F.lit(1 << 40), ("B", "KB", "MB", "GB")), "1024 GB"),
+        (lambda: X.bytes_text(F.lit(None).cast("long")), None),
         (lambda: X.iso_date(F.lit("Tue, 01 Jul 2025 12:34:56 +0800")), "2025-07-01T04:34:56.000Z"),
         (lambda: X.iso_date(F.lit("2025-07-01T12:34:56Z")), "2025-07-01T12:34:56.000Z"),
         (lambda: X.iso_date(F.lit("never")), None),
