@@ -66,27 +66,47 @@ def _display() -> list[Column]:
     return [F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("passed"), F.col("place")]
 
 
-def _with_groups(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items with ``group_key``, one row for each key)."""
+def _keyed(pruned: DataFrame) -> DataFrame:
+    """The items with ``group_key``."""
     season = F.when(F.coalesce("season", F.lit(0)) != 0, F.concat(F.lit("::s"), F.col("season").cast("string"))).otherwise("")
-    rows = pruned.withColumn("group_key", F.when(F.col("series_key").isNotNull(), F.concat("canonical", season)))
+    return pruned.withColumn("group_key", F.when(F.col("series_key").isNotNull(), F.concat("canonical", season)))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``group_key, n_items`` of each key."""
+    return rows.where("group_key IS NOT NULL").groupBy("group_key").agg(F.count("*").alias("n_items"))
+
+
+def _ranked(items: DataFrame) -> DataFrame:
+    inside = Window.partitionBy("group_key").orderBy(*_display())
+    return items.withColumn("item_rank", F.row_number().over(inside).cast("long"))
+
+
+def groups(pruned: DataFrame) -> DataFrame:
+    """``group_key, group_series, group_season, n_items, group_rank`` of the groups of several items, summed without a look at an item's rank."""
     at = F.struct("passed", "place")
     label = F.coalesce(X.empty_as_null(F.col("parsed.series")), F.col("title"))
-    sums = rows.where("group_key IS NOT NULL").groupBy("group_key").agg(
+    sums = _keyed(pruned).where("group_key IS NOT NULL").groupBy("group_key").agg(
         F.count("*").alias("n_items"), F.max("published").alias("fresh"), F.min(at).alias("first"),
         F.min_by(label, at).alias("group_series"), F.min_by(F.struct("season"), at)["season"].alias("group_season"),
     )
-    return rows, sums
-
-
-def _several(sums: DataFrame) -> DataFrame:
     ranked = numbered(sums.where("n_items > 1"), F.desc("fresh"), F.col("first"), out="group_rank")
     return ranked.withColumn("group_rank", F.col("group_rank") + 1).drop("first", "fresh")
 
 
-def groups(pruned: DataFrame) -> DataFrame:
-    """``group_key, group_series, group_season, n_items, group_rank`` of the groups of several items, summed without a look at an item's rank."""
-    return _several(_with_groups(pruned)[1])
+def items_of_groups(pruned: DataFrame) -> DataFrame:
+    """The items of groups of several with ``group_key``, ``n_items`` and ``item_rank`` from 1, but without what orders the groups among each other."""
+    rows = _keyed(pruned)
+    return _ranked(rows.join(_counted(rows).where("n_items > 1"), "group_key"))
+
+
+def ungrouped(pruned: DataFrame) -> DataFrame:
+    """The items without a key, then those alone in their group, with ``item_rank`` from 1."""
+    rows = _keyed(pruned)
+    single = rows.join(_counted(rows).where("n_items = 1").select("group_key"), "group_key", "left_semi").withColumn("late", F.lit(1))
+    rest = rows.where("group_key IS NULL").withColumn("late", F.lit(0)).unionByName(single)
+    rest = numbered(rest, F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("late"), F.col("passed"), F.col("place"), out="item_rank")
+    return rest.withColumn("item_rank", F.col("item_rank") + 1).drop("late")
 
 
 def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,10 +116,4 @@ def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
     (from 1) and ``n_items``; groups of one item are ungrouped, after the items without a
     key. Ungrouped items carry ``item_rank``.
     """
-    rows, sums = _with_groups(pruned)
-    inside = Window.partitionBy("group_key").orderBy(*_display())
-    items = rows.join(_several(sums), "group_key").withColumn("item_rank", F.row_number().over(inside).cast("long"))
-    single = rows.join(sums.where("n_items = 1").select("group_key"), "group_key", "left_semi").withColumn("late", F.lit(1))
-    rest = rows.where("group_key IS NULL").withColumn("late", F.lit(0)).unionByName(single)
-    rest = numbered(rest, F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("late"), F.col("passed"), F.col("place"), out="item_rank")
-    return items, rest.withColumn("item_rank", F.col("item_rank") + 1).drop("late")
+    return _ranked(_keyed(pruned).join(groups(pruned), "group_key")), ungrouped(pruned)

@@ -179,3 +179,19 @@ def test_format_bytes_is_its_sql_on_ties_and_without_a_count(spark, tmp_path):
     spark.createDataFrame(list(enumerate(counts)), "doc_id long, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     want = duckdb.sql(registry.ORACLE_SQL["format_bytes"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, registry.QUERIES["format_bytes"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_group_queries_parse_a_title_once_and_are_their_sql(spark, monkeypatch):
+    data, plans, real = "/root/testdata/sf0.001", [], registry.stage
+    monkeypatch.setattr(registry, "stage", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, tag))
+    con = duckdb.connect()
+    for t in ("lineitem", "part", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name in ("group_items",):
+        plans.clear()
+        with monkeypatch.context() as m:
+            if name == "group_items":
+                m.setattr(releases, "numbered", None)  # the order of the other items is not its business
+            got = registry.QUERIES[name](spark, data).collect()
+        assert sum(p.count("Generate inline") for p in plans) == 2, name  # the parsed title and the fields from it
+        assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall()), name
