@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm import words as W
 from marlstone.session import ship
 from marlstone.staging import new_path
 
@@ -173,10 +174,11 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+W.memos.append(_encoders)
 
 
 def encoder(tokenizer: str) -> Encoder:
-    """One for each worker process and file."""
+    """One for each worker process and file, until a task of another operator releases it."""
     if tokenizer not in _encoders:
         _encoders[tokenizer] = Encoder(tokenizer)
     return _encoders[tokenizer]

@@ -48,6 +48,8 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+#: What a worker remembers from task to task; other modules add theirs.
+memos: list[dict] = [_hashes]
 
 
 try:
@@ -57,8 +59,9 @@ except (AttributeError, OSError):  # another C library
 
 
 def release() -> None:
-    """Empty the memo and hand freed memory back, as a worker goes on to tasks of other stages."""
-    _hashes.clear()
+    """Empty the memos and hand freed memory back, as a worker goes on to tasks of other stages."""
+    for memo in memos:
+        memo.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)

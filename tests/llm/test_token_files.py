@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from marlstone.llm import token_files as T
+from marlstone.llm import words
 
 NAME = "word_bpe_49k.json"
 
@@ -87,3 +88,10 @@ def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     T.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, NAME)
     assert T.digest(spark, path).collect() == []
+
+
+def test_another_operators_task_gives_the_encoder_back():
+    enc = T.encoder(NAME)
+    assert T.encoder(NAME) is enc
+    words.release()
+    assert not T._encoders and T.encoder(NAME) is not enc

@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import random
 import zipfile
 
@@ -12,6 +13,7 @@ from marlstone.operators.graph import connected_components
 from marlstone.plans import registry
 from marlstone.plans.search import Query, page, search, union
 from marlstone.sources import feeds
+from marlstone.staging import Staged
 
 NAMES = [p.split(" ")[0] for p in ITEM.split(", ") if " " in p and ":" not in p.split(" ")[0]]
 
@@ -195,3 +197,10 @@ def test_group_queries_parse_a_title_once_and_are_their_sql(spark, monkeypatch):
             got = registry.QUERIES[name](spark, data).collect()
         assert sum(p.count("Generate inline") for p in plans) == 2, name  # the parsed title and the fields from it
         assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall()), name
+
+
+def test_a_staged_table_is_written_without_files_beside_it(spark):
+    at = Staged(spark.range(10).repartition(3), "plain")
+    names = os.listdir(at.path.removeprefix("file://"))
+    assert at.df.count() == 10 and sorted(n for n in names if not n.startswith("part-")) == ["_SUCCESS"]
+    at.drop()
