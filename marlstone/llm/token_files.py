@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
 from marlstone.session import ship
-from marlstone.staging import new_path
+from marlstone.staging import PLAIN, new_path
 
 BLOCK_TOKENS = 65_536
 END_ID = 1
+#: Bytes of token files that a task reads back; their rows are few bytes, so smaller tasks only make more files.
+TASK_BYTES = 64 << 20
 #: Chunks of text whose ids a worker remembers, twice.
 MEMO_CHUNKS = 300_000
 
@@ -239,11 +241,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ship(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(_blocks(tokenizer, end_id), _DATA).write.parquet(f"{path}/data")
+    rows.mapInArrow(_blocks(tokenizer, end_id), _DATA).write.options(**PLAIN).parquet(f"{path}/data")
     totals = spark.read.schema(_DATA).parquet(f"{path}/data").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each task of the sort, whatever the number of documents.
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    totals.select("part", F.coalesce(before, F.lit(0)).cast("long").alias("start")).coalesce(1).write.parquet(f"{path}/parts")
+    totals.select("part", F.coalesce(before, F.lit(0)).cast("long").alias("start")).coalesce(1).write.options(**PLAIN).parquet(f"{path}/parts")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -281,6 +283,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     """From the files: ``doc_id, start, n_tokens, ids_crc32`` of each document."""
     ship(spark)
     blocks = read_blocks(spark, path).select("start", "n_tokens", "bits", "docs", "lens", "payload")
+    size = int(spark.read.schema(_DATA).parquet(f"{path}/data")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    blocks = blocks.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
     return blocks.mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -18,7 +18,7 @@ _local_roots: dict[str, str] = {}
 
 #: Staged files on a local path get no checksum file beside them: to set the mode of each, a process would be started
 #: from the executor's JVM, whose memory is counted twice meanwhile. Other file systems are not touched by this.
-_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,7 +54,7 @@ class Staged:
     def __init__(self, df: DataFrame, tag: str, **write_options):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, tag)
-        df.write.options(**_PLAIN | write_options).parquet(self.path)
+        df.write.options(**PLAIN | write_options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

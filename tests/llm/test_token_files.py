@@ -84,6 +84,22 @@ def test_round_trip_through_files(spark, tmp_path, whole):
         assert zlib.crc32(every[start : start + n].tobytes()) == crc
 
 
+def test_few_files_and_tasks(spark, tmp_path):
+    """No checksum files beside the token files; blocks of many small files are read by few tasks."""
+    path = f"file://{tmp_path}/tokens"
+    docs = spark.range(0, 400, 1, 8).selectExpr("id AS doc_id", "'some words' AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        T.write_tokens(docs, path, NAME)
+        found = T.digest(spark, path)
+        assert found.count() == 400 and found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list(tmp_path.rglob("*.parquet"))) > 4 and not list(tmp_path.rglob("*.crc"))
+
+
 def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     T.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, NAME)
