@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,18 +71,32 @@ def resolve(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def _rows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows one after the other, and how many each has."""
+    return np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+
+
+def _gathered(ids: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows one after the other those at the places ``at``, and where each begins and the last ends."""
+    each = lens[at]
+    ends = np.r_[0, np.cumsum(each)]
+    first = (np.cumsum(lens) - lens)[at] - ends[:-1]
+    return ids[np.repeat(first, each) + np.arange(ends[-1])], ends
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library, special tokens not added.
 
     Where the file's pre-tokenizer keeps only matches that hold no white space, and a
     word's last piece is marked, a text's ids are those of its chunks between blanks one
-    after the other. Then the ids of chunks are remembered, and new words are encoded many
-    at a time. Other files encode text by text.
+    after the other. Then distinct chunks alone are encoded, words many at a time, and the ids of
+    chunks that are no word of ASCII letters are remembered. Other files encode text by text.
     """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         path = resolve(tokenizer)
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,9 +111,19 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (max(self.size - 1, END_ID)).bit_length())
         self.ends = np.zeros(self.size, bool)
+        #: Marks that end a word of letters and, in a row, are one piece of their own.
+        self.marks = ""
+        #: For ASCII words in lower case: the same model, without patterns and normal forms that leave them as they are.
+        self.plain: Tokenizer | None = None
         if self.chunked:
             for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
                 self.ends[i] = piece.endswith(suffix)
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.marks = "".join(m for m in string.punctuation if cut(f"ab{m}{m}") == [("ab", (0, 2)), (m + m, (2, 4))])
+            low, every = string.ascii_lowercase, string.ascii_lowercase + string.ascii_uppercase + string.ascii_lowercase
+            if self.small and cut(every) == [(every, (0, len(every)))] and self.tokenizer.normalizer.normalize_str(every) == low * 3:
+                self.plain = Tokenizer(self.tokenizer.model)
+                self.plain.pre_tokenizer = WhitespaceSplit()
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         #: Letters whose normal form is letters to the file too, and the others that were met.
@@ -120,20 +146,25 @@ class Encoder:
     def _raw(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _joined(self, tokenizer: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, and how many each has: encoded as texts of many words and cut at the marked ends."""
+        out, lens = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        parts = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for part, found in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            if len(sizes) != len(part) or sizes.sum() != len(ids):
+                ids, sizes = _rows(self._raw(part))
+            out.append(ids)
+            lens.append(sizes)
+        return np.concatenate(out), np.concatenate(lens)
+
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: encoded as one text and cut at the marked ends."""
-        out: list[bytes] = []
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                out += [ids[a:b].tobytes() for a, b in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True)]
-            else:
-                out += self._raw(part)
-        return out
+        ids, lens = self._joined(self.tokenizer, words)
+        data, at = ids.tobytes(), (4 * np.cumsum(lens)).tolist()
+        return [data[a:b] for a, b in zip([0, *at], at, strict=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         young, old = self.young, self.old
         if len(young) > MEMO_CHUNKS:
             self.old = old = young
@@ -141,38 +172,68 @@ class Encoder:
         cores: dict[str, None] = {}
         tails: list[tuple[str, str, str]] = []
         whole: list[str] = []
-        for c in chunks.difference(young):
+        for c in chunks:
+            if c in young:
+                continue
             if (known := old.get(c)) is not None:
                 young[c] = known
                 continue
-            core = c.rstrip(".,;:!?")
+            core = c.rstrip(self.marks)
             if core.isalpha() and self._stable(core):
-                tails.append((c, core, c[len(core) :]))
+                if core is not c:
+                    tails.append((c, core, c[len(core) :]))
                 if core not in young:
                     cores[core] = None
             else:
                 whole.append(c)
         young.update(zip(cores, self._words(list(cores)), strict=True))
-        marks = [t for t in {t for _, _, t in tails if t} if t not in young]
+        marks = [t for t in {t for _, _, t in tails} if t not in young]
         young.update(zip(marks, self._raw(marks), strict=True))
         for c, core, tail in tails:
-            if tail:
-                young[c] = young[core] + young[tail]
+            young[c] = young[core] + young[tail]
         young.update(zip(whole, self._raw(whole), strict=True))
 
-    def _split(self, text: str) -> list[str]:
-        """Chunks between blanks; capitals that the file makes small anyway are so at once, for fewer chunks."""
+    def _spaced(self, text: str) -> str:
+        """A text with blanks alone between chunks; capitals that the file makes small anyway are so at once, for fewer chunks."""
         if self.small and text.isascii() and "<|" not in text:
             text = text.lower()
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+    def _known(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self._learn(chunks)
+        return _rows([self.young[c] for c in chunks])
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after the other, and how many each has.
+
+        Most distinct words are rare: those of ASCII letters are encoded again for each slice, which
+        takes less than a memo of them.
+        """
+        if self.plain is None:
+            return self._known(chunks.to_pylist())
+        words = pc.ascii_rtrim(chunks, characters=self.marks)
+        plain = pc.ascii_is_alpha(words)
+        cores = pc.ascii_lower(words.filter(plain)).dictionary_encode()
+        tails = pc.ascii_ltrim(chunks.filter(plain), characters=string.ascii_letters).dictionary_encode()
+        others = chunks.filter(pc.invert(plain)).to_pylist()
+        sets = self._joined(self.plain, cores.dictionary.to_pylist()), self._known(tails.dictionary.to_pylist()), self._known(others), _rows([b""])
+        starts = np.cumsum([0, *(len(lens) for _, lens in sets)])
+        at, mask = np.empty((len(chunks), 2), np.int64), plain.to_numpy(zero_copy_only=False)
+        at[mask, 0], at[mask, 1] = cores.indices.to_numpy(), starts[1] + tails.indices.to_numpy()
+        at[~mask, 0], at[~mask, 1] = starts[2] + np.arange(len(others)), starts[3]
+        ids, ends = _gathered(*map(np.concatenate, zip(*sets, strict=True)), at.ravel())
+        return ids, np.diff(ends[::2])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.chunked:
             return [np.frombuffer(b, "<u4") for b in self._raw([t or "" for t in texts])]
-        parts = [self._split(t or "") for t in texts]
-        self._learn(set().union(*parts))
-        get = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array([self._spaced(t or "") for t in texts], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids, ends = _gathered(*self._chunks(coded.dictionary), coded.indices.to_numpy())
+        cuts = ends[parts.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -84,6 +84,25 @@ def test_round_trip_through_files(spark, tmp_path, whole):
         assert zlib.crc32(every[start : start + n].tobytes()) == crc
 
 
+def test_words_and_marks_are_learned_once_for_all_chunks(whole, monkeypatch):
+    """Words of ASCII letters skip the file's patterns, a chunk of word and marks is not encoded as such."""
+    enc, raw = T.Encoder(NAME), []
+    monkeypatch.setattr(enc, "_raw", lambda words, real=enc._raw: raw.extend(words) or real(words))
+    texts = ["word%%% WORD&&& word's Word, x2## (word) é.*** dogs' <|endoftext|>\n\n ta_ a<|", "Word%%% été&&& été", "", None, " "]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode(texts)] == want and [x.tolist() for x in enc.encode(texts[::-1])] == want[::-1]
+    assert enc.plain is not None and enc.encode([]) == []
+    assert not {"word%%%", "word&&&", "Word%%%", "été&&&", "ta_"} & set(raw) and {"%%%", "x2##"} <= set(raw)
+
+
+def test_every_mark_after_a_word(whole):
+    enc = T.Encoder(NAME)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    for m in marks:
+        text = " ".join(f"word{m} s{m}{n} é{n}{m} word{m}s{n} it{m}s" for n in marks)
+        assert enc.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_few_files_and_tasks(spark, tmp_path):
     """No checksum files beside the token files; blocks of many small files are read by few tasks."""
     path = f"file://{tmp_path}/tokens"
