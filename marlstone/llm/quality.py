@@ -39,6 +39,8 @@ ROUNDS = 3
 EXCHANGED, SURE = 0.1, 0.9
 #: Steps of probability in which that share is found.
 BINS = 10_000
+#: Rows of 16 bytes, a round's steps of documents, in a file.
+FILE_ROWS = 2_000_000
 #: Rows whose features are made at a time.
 SLICE = 500
 _KEPT = ("i", "source", "lang", "chars")
@@ -326,16 +328,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
     known = features(sorted(goals))
     ids = sorted(known)
     packed = Staged(view.mapInArrow(_packed, "i long, source string, lang string, chars long, words binary, shares binary"), "op5-features") if rounds else None
+    files = 1 + packed.df.count() // FILE_ROWS if rounds else 0
 
     def ask(weights: list[np.ndarray]) -> list[dict]:
-        scored = Staged(packed.df.mapInArrow(_sure(spark.sparkContext.broadcast(weights)), "i long, b0 int, b1 int"), "op5-round")
-        bins = Staged(scored.df.join(marked.select("i"), "i", "left_anti"), "op5-unlabelled")
+        scored = packed.df.mapInArrow(_sure(spark.sparkContext.broadcast(weights)), "i long, b0 int, b1 int")
+        bins = Staged(scored.join(marked.select("i"), "i", "left_anti").repartition(files), "op5-unlabelled")
         picked: list[dict[int, int]] = [{}, {}]
         for v in (0, 1):
             low, high = _bounds(bins.df, v)
             for goal, sure in ((1, F.col(f"b{v}") >= high), (0, F.col(f"b{v}") <= low)):
                 picked[v] |= {r[0]: goal for r in bins.df.where(sure).select("i").distinct().orderBy(order, "i").limit(passed).collect()}
-        scored.drop()
         bins.drop()
         made = features(sorted({i for p in picked for i in p}))
         return [{i: (goal, *made[i]) for i, goal in p.items()} for p in picked]

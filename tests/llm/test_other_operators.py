@@ -286,6 +286,22 @@ def test_pseudo_labels_are_the_surest_of_all_unlabelled_documents(spark, monkeyp
             assert {i: f[0] for i, f in found[v].items()} == want
 
 
+def test_a_round_of_the_classifier_writes_one_table_of_few_files(spark, monkeypatch):
+    written = []
+
+    class Recorded(quality.Staged):
+        def __init__(self, df, tag):
+            super().__init__(df, tag)
+            written.append((tag, len(list(Path(self.path.removeprefix("file:")).glob("part-*")))))
+
+    monkeypatch.setattr(quality, "Staged", Recorded)
+    docs = [(k, ("good words here " if k % 3 else "%% bad !! ") * 5, "en", "s", 10) for k in range(120)]
+    d = spark.createDataFrame(docs, DOCS).repartition(7)
+    quality.train(d, spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int"))
+    assert [t for t, _ in written] == ["op5-features", *["op5-unlabelled"] * quality.ROUNDS]
+    assert all(n == 1 for t, n in written if t == "op5-unlabelled")
+
+
 def test_classifier_on_empty_tables_clashing_columns_and_a_long_text(spark):
     docs = [(k, ("good words here " if k % 2 else "%% bad !! ") * 5, "en", "s", 10, 1, 2) for k in range(60)] + [(60, "good words here " * 100_000, "en", "s", 10, 1, 2), (None,) * 7, (3, None, None, None, None, None, None)]
     df = spark.createDataFrame(docs, f"{DOCS}, row int, score int")
