@@ -81,7 +81,9 @@ def _gathered(ids: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.nda
     each = lens[at]
     ends = np.r_[0, np.cumsum(each)]
     first = (np.cumsum(lens) - lens)[at] - ends[:-1]
-    return ids[np.repeat(first, each) + np.arange(ends[-1])], ends
+    places = np.repeat(first, each)
+    places += np.arange(ends[-1])
+    return ids[places], ends
 
 
 class Encoder:
@@ -150,8 +152,8 @@ class Encoder:
         """Ids of words of letters, and how many each has: encoded as texts of many words and cut at the marked ends."""
         out, lens = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
         parts = [words[k : k + 500] for k in range(0, len(words), 500)]
-        for part, found in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
+        for part in parts:
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
             if len(sizes) != len(part) or sizes.sum() != len(ids):
                 ids, sizes = _rows(self._raw(part))
@@ -287,6 +289,7 @@ def _blocks(tokenizer: str, end_id: int):
                         block, start, held, size = block + 1, start + n, [], 0
         if held:
             yield made()[0]
+        W.trim()
 
     return run
 

@@ -58,13 +58,18 @@ except (AttributeError, OSError):  # another C library
     _trim = None
 
 
+def trim() -> None:
+    """Hand freed memory back."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def release() -> None:
     """Empty the memos and hand freed memory back, as a worker goes on to tasks of other stages."""
     for memo in memos:
         memo.clear()
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
+    trim()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
