@@ -1,7 +1,9 @@
-"""Numbers in a global order without one task that holds all rows."""
+"""Numbers and running sums in a global order, or inside groups, without one task that holds all rows or a whole group."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,3 +19,48 @@ def numbered(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = at.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return at.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_start")
+
+
+def scanned(df: DataFrame, by: list[str], order: list[Column], rank: str | None = None, sums: dict[str, str] | None = None, xors: dict[str, str] | None = None) -> DataFrame:
+    """Adds each row's number from 1 inside its group (``rank``), and running sums and exclusive ors of columns (new name: column).
+
+    One range sort by group and order deals a large group over as many tasks as its rows take.
+    Each task numbers and sums the stretch of a group that it holds. A stretch that begins in an
+    earlier task then gets what that group had before it: at most one row for each task of the
+    sort, so that table is broadcast. ``order`` must leave no ties for reruns to agree. Null keys
+    are a group.
+    """
+    sums, xors = sums or {}, xors or {}
+    dealt = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    upto = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = {"_rank": F.count(F.lit(1)).over(upto)} | {k: F.sum(c).over(upto) for k, c in sums.items()} | {k: F.bit_xor(c).over(upto) for k, c in xors.items()}
+    rows = stage(dealt.withColumns(local), "scanned")
+    held = rows.groupBy("_part", *by).agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{k}") for k, c in sums.items()), *(F.bit_xor(c).alias(f"_{k}") for k, c in xors.items()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = {"_n": F.sum("_n").over(before)} | {f"_{k}": F.sum(f"_{k}").over(before) for k in sums} | {f"_{k}": F.bit_xor(f"_{k}").over(before) for k in xors}
+    carry = held.withColumns(carried).where("_n IS NOT NULL").select(F.col("_part").alias("_at"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), *carried)
+    same = [rows[c].eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    whole = rows.join(F.broadcast(carry), reduce(Column.__and__, same, F.col("_part") == F.col("_at")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = {k: zero(F.col(k)) + zero(F.col(f"_{k}")) for k in sums} | {k: zero(F.col(k)).bitwiseXOR(zero(F.col(f"_{k}"))) for k in xors}
+    if rank:
+        out[rank] = (F.col("_rank") + zero(F.col("_n"))).cast("long")
+    return whole.withColumns(out).select(*(c for c in df.columns if c not in out), *out)
+
+
+#: Parts that a group's rows are dealt over before its best are chosen.
+TOP_PARTS = 64
+
+
+def top(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group with their number from 1.
+
+    A task sends at most ``k`` rows of a group to each of ``TOP_PARTS`` parts, and these as many to the
+    group's own task, so that what one task receives depends on ``k`` and not on the group. ``k`` is a
+    bound of the answer; all rows take part. ``order`` must leave no ties for reruns to agree.
+    """
+    part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant")) and "map<" not in t)), F.lit(TOP_PARTS))
+    n = F.row_number()
+    first = df.withColumn("_top", part).withColumn(out, n.over(Window.partitionBy(*by, "_top").orderBy(*order))).where(F.col(out) <= k).drop("_top", out)
+    last = first.withColumn(out, n.over(Window.partitionBy(*by).orderBy(*order))).where(F.col(out) <= k)
+    return last.withColumn(out, F.col(out).cast("long"))
