@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, licenses, lm_score, mixing, quality, sharding, token_counts, token_files
+from marlstone.llm import decontaminate, licenses, lm_score, mixing, phrases, quality, sharding, token_counts, token_files
 from marlstone.llm.embedding_dedup import near_duplicates
 from marlstone.llm.ngram_join import jaccard_components
 from marlstone.staging import new_path, stage
@@ -139,11 +139,30 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, len, unnest(list_transform(range(1, len(w) - len + 2), lambda i: array_to_string(w[i:i + len - 1], ' '))) AS phrase FROM p, (SELECT unnest(range(1, 6)) AS len) WHERE len(w) >= len),
+f AS (SELECT lang, len, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, len, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len >= 2),
+k AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.lang = c.lang AND d.len > c.len AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+s AS (SELECT k.lang, k.phrase, k.a, x.f AS l, y.f AS r, t.n, i, (1000 * CAST(k.a AS HUGEINT) * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len)) AS i FROM k) k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[:i], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[i + 1:], ' ') JOIN t ON t.lang = k.lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_id_output, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_quality_classifier,
-        op6_balanced_shards, op7_cross_entropy_difference, op8_token_count_rollup, op9_license_scan, op10_source_mixing,
+        op6_balanced_shards, op7_cross_entropy_difference, op8_token_count_rollup, op9_license_scan, op10_source_mixing, op13_phrase_collocation,
     )
 }
 ORACLE_SQL = {
@@ -152,4 +171,5 @@ ORACLE_SQL = {
     "op4_embedding_near_dedup": OP4_SQL,
     "op8_token_count_rollup": OP8_SQL,
     "op9_license_scan": _op9_sql(),
+    "op13_phrase_collocation": OP13_SQL,
 }
