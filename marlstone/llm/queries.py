@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, licenses, lm_score, mixing, phrases, quality, sharding, token_counts, token_files
+from marlstone.llm import decontaminate, licenses, lm_score, mixing, packing, phrases, quality, sharding, token_counts, token_files
 from marlstone.llm.embedding_dedup import near_duplicates
 from marlstone.llm.ngram_join import jaccard_components
 from marlstone.staging import new_path, stage
@@ -139,6 +139,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(spark, packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -162,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_id_output, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_quality_classifier,
-        op6_balanced_shards, op7_cross_entropy_difference, op8_token_count_rollup, op9_license_scan, op10_source_mixing, op13_phrase_collocation,
+        op6_balanced_shards, op7_cross_entropy_difference, op8_token_count_rollup, op9_license_scan, op10_source_mixing, op12_best_fit_packing, op13_phrase_collocation,
     )
 }
 ORACLE_SQL = {
