@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, licenses, lm_score, mixing, packing, phrases, quality, sharding, token_counts, token_files
+from marlstone.llm import decontaminate, licenses, lm_score, mixing, packing, phrases, prefix_trie, quality, sharding, token_counts, token_files
 from marlstone.llm.embedding_dedup import near_duplicates
 from marlstone.llm.ngram_join import jaccard_components
 from marlstone.staging import new_path, stage
@@ -139,6 +139,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: SQL has no crc32 there, so its bits are folded one by one; a node's name is its turns with their lengths.
+OP11_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS head, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.*, least(h, coalesce(n, 0)) AS lent FROM c LEFT JOIN (SELECT conv_id AS head, count(*) AS n FROM t GROUP BY conv_id) USING (head)),
+r AS (SELECT k.conv_id, p AS d, role, text FROM k JOIN t ON t.conv_id = k.head AND p <= h UNION ALL SELECT k.conv_id, p - h + lent, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND p > h),
+s AS (SELECT conv_id, d, strlen(text) AS bytes, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) AS node FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM s GROUP BY node, d),
+e AS (SELECT node, d, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM s QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY node, d),
+u AS (SELECT n.*, m.conv_id AS parent_conv_id, m.node AS up FROM n LEFT JOIN s ON s.conv_id = n.conv_id AND s.d = n.d - 1 LEFT JOIN n m ON m.node = s.node AND m.d = s.d),
+ch AS (SELECT up AS node, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN ch USING (node, d)),
+b AS (SELECT s.node, s.d, count_if(v.n_children = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.bytes) AS BIGINT) AS saved_tokens FROM v JOIN s ON s.conv_id = v.conv_id AND s.d <= v.d GROUP BY s.node, s.d)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM v JOIN b USING (node, d) LEFT JOIN e USING (node, d)
+"""
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(spark, packing.pack(table(spark, sf_dir, "documents")))
 
@@ -166,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_id_output, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_quality_classifier,
-        op6_balanced_shards, op7_cross_entropy_difference, op8_token_count_rollup, op9_license_scan, op10_source_mixing, op12_best_fit_packing, op13_phrase_collocation,
+        op6_balanced_shards, op7_cross_entropy_difference, op8_token_count_rollup, op9_license_scan, op10_source_mixing, op11_conversation_trie, op12_best_fit_packing, op13_phrase_collocation,
     )
 }
 ORACLE_SQL = {
@@ -175,5 +198,6 @@ ORACLE_SQL = {
     "op4_embedding_near_dedup": OP4_SQL,
     "op8_token_count_rollup": OP8_SQL,
     "op9_license_scan": _op9_sql(),
+    "op11_conversation_trie": OP11_SQL,
     "op13_phrase_collocation": OP13_SQL,
 }
