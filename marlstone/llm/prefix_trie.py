@@ -41,7 +41,7 @@ def _turns(rows: DataFrame) -> DataFrame:
     digest = F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text))
     narrow = rows.where(rows["conv_id"].isNotNull()).select(rows["conv_id"].cast("long").alias("conv_id"), rows["turn"].alias("turn"), digest.alias("digest"), F.octet_length(text).cast("long").alias("bytes"))
     # Turns with the same number are ordered by their digest; equal ones are the same in any order.
-    return scanned(narrow, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("digest"), F.monotonically_increasing_id()], "place").select("conv_id", "place", "digest", "bytes")
+    return scanned(narrow, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("digest")], "place").select("conv_id", "place", "digest", "bytes")
 
 
 def _half(digest: Column, at: int) -> Column:
