@@ -6,8 +6,9 @@ merge is not associative, but it has a closed form. A record's richness is a set
 flags, and what has been merged so far has the union of all flags before; so who wins follows
 from the first record of each (flags, source), at most a few dozen for a key. Gaps are then
 filled by the last winner, the winners before it backwards, and the losers in order. Each
-field is a minimum by that precedence, which Spark sums up before the shuffle: a key that
-holds a third of all rows never meets in one task.
+field is a minimum by that precedence, which Spark sums up before the shuffle. Lookups by title
+and by key deal out the keys that are frequent (``skew``): one that holds a third of all rows
+never meets in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.functions.fixed import SOURCE_PRIORITY
+from marlstone.operators.skew import heavy_keys, looked_up
 from marlstone.staging import stage
 
 MIRROR = "struct<source:string,magnet_url:string,torrent_url:string,detail_url:string>"
@@ -32,13 +34,20 @@ def _has(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
-def keyed(items: DataFrame) -> DataFrame:
-    """Adds ``title_key``, ``hash`` (own or by title) and ``bucket``."""
+def with_keys(items: DataFrame) -> DataFrame:
+    """Adds ``title_key`` and ``own_hash``, worked out once for each item."""
     own = X.normal_hash(F.coalesce(X.empty_as_null(F.col("info_hash")), X.magnet_hash(F.col("magnet_url"))))
-    items = X.once(items, title_key=X.title_key(F.col("title")), own_hash=own)
-    known = items.where(_has("own_hash") & (F.col("title_key") != "")).groupBy("title_key").agg(F.min_by("own_hash", "ord").alias("alias_hash"))
-    items = items.join(known, "title_key", "left").withColumn("hash", F.coalesce("own_hash", "alias_hash"))
-    return items.withColumn("bucket", F.when(_has("hash"), F.concat(F.lit("hash:"), "hash")).otherwise(F.concat(F.lit("title:"), F.coalesce("title_key", F.lit("")))))
+    return X.once(items, title_key=X.title_key(F.col("title")), own_hash=own)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Adds ``hash`` (own or by title) and ``bucket`` to rows with ``ord`` and ``with_keys``'s columns.
+
+    ``rows`` is read more than once. A title that a third of all rows bear is dealt over tasks.
+    """
+    known = rows.where(_has("own_hash") & (F.col("title_key") != "")).groupBy("title_key").agg(F.min_by("own_hash", "ord").alias("alias_hash"))
+    rows = looked_up(rows, known, ["title_key"], F.col("ord")).withColumn("hash", F.coalesce("own_hash", "alias_hash"))
+    return rows.withColumn("bucket", F.when(_has("hash"), F.concat(F.lit("hash:"), "hash")).otherwise(F.concat(F.lit("title:"), F.coalesce("title_key", F.lit("")))))
 
 
 def _winners(cands: Column) -> Column:
@@ -60,17 +69,23 @@ def dedupe(items: DataFrame) -> DataFrame:
 
     Columns as in ``ITEM``; ``sources``, ``mirrors`` and ``tags`` are sets in order of precedence.
     """
-    rows = stage(keyed(items), "keyed")
-    rows = rows.join(rows.groupBy("bucket").agg(F.min("ord").alias("first_ord")), "bucket")
-    rows = rows.withColumn("info_hash", F.when(F.col("ord") == F.col("first_ord"), F.col("own_hash")).otherwise(F.col("info_hash")))
-    flags = F.when(F.col("seeders").isNotNull(), 4).otherwise(0) + F.when(_has("size"), 2).otherwise(0) + F.when(_has("info_hash"), 1).otherwise(0)
+    whole = stage(X.once(with_keys(items), time=X.timestamp(F.col("published_at"))), "items")
     priority = F.array_position(F.array(*map(F.lit, SOURCE_PRIORITY)), F.col("source")).cast("int") - 1
-    rows = rows.withColumns({"flags": flags, "priority": priority})
+    rich = F.when(F.col("seeders").isNotNull(), 4).otherwise(0) + F.when(_has("size"), 2).otherwise(0)
+    # Who wins is found on narrow rows; the items themselves are shuffled once, by their place.
+    narrow = whole.select("ord", "title_key", "own_hash", rich.alias("rich"), _has("info_hash").alias("raw"), priority.alias("priority"))
+    rows = stage(keyed(narrow).select("ord", "bucket", "rich", "raw", _has("own_hash").alias("own"), "priority"), "keyed")
+    heavy = stage(heavy_keys(rows, ["bucket"]), "heavy")
+    rows = looked_up(rows, rows.groupBy("bucket").agg(F.min("ord").alias("first_ord")), ["bucket"], F.col("ord"), "inner", heavy)
+    is_first = F.col("ord") == F.col("first_ord")
+    flags = F.col("rich") + F.when(F.when(is_first, F.col("own")).otherwise(F.col("raw")), 1).otherwise(0)
+    rows = stage(rows.select("ord", "bucket", is_first.alias("is_first"), flags.alias("flags"), "priority"), "flags")
     cands = rows.groupBy("bucket", "flags", "priority").agg(F.min("ord").alias("ord")).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("ord", "flags", "priority"))).alias("c"))
-    rows = rows.join(cands.select("bucket", _winners(F.col("c")).alias("won")), "bucket")
+    rows = looked_up(rows, cands.select("bucket", _winners(F.col("c")).alias("won")), ["bucket"], F.col("ord"), "inner", heavy)
     won = F.array_contains("won", F.col("ord"))
-    rows = rows.withColumn("turn", F.struct(F.when(won, 0).otherwise(1).alias("lost"), F.when(won, -F.col("ord")).otherwise(F.col("ord")).alias("at")))
-    rows = stage(X.once(rows, time=X.timestamp(F.col("published_at"))), "turns")
+    turn = F.struct(F.when(won, 0).otherwise(1).alias("lost"), F.when(won, -F.col("ord")).otherwise(F.col("ord")).alias("at"))
+    rows = whole.join(rows.select("ord", "bucket", "is_first", turn.alias("turn")), "ord")
+    rows = stage(rows.withColumn("info_hash", F.when(F.col("is_first"), F.col("own_hash")).otherwise(F.col("info_hash"))), "turns")
     time = F.col("time")
     late = F.struct(F.unix_micros(time).alias("t"), (-F.col("turn.lost")).alias("a"), (-F.col("turn.at")).alias("b"))
     first = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("turn"))).alias(c)

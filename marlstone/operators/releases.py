@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as X
 from marlstone.functions.fixed import RESOLUTION_SCORE
 from marlstone.functions.titles import with_parsed
-from marlstone.operators.ranking import numbered
+from marlstone.operators.ranking import numbered, scanned
+from marlstone.operators.skew import looked_up
 
 _ANNOTATED = ("series", "season", "episode", "episode_range", "version", "resolution", "group")
 
@@ -77,9 +78,10 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.where("group_key IS NOT NULL").groupBy("group_key").agg(F.count("*").alias("n_items"))
 
 
-def _ranked(items: DataFrame) -> DataFrame:
-    inside = Window.partitionBy("group_key").orderBy(*_display())
-    return items.withColumn("item_rank", F.row_number().over(inside).cast("long"))
+def _in_groups(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The keyed items joined with a table of groups, with ``item_rank`` from 1 inside each; a group of any size goes over as many tasks as it takes."""
+    joined = looked_up(rows.where("group_key IS NOT NULL"), table, ["group_key"], F.col("place"), "inner")
+    return scanned(joined, ["group_key"], _display(), "item_rank")
 
 
 def groups(pruned: DataFrame) -> DataFrame:
@@ -97,13 +99,16 @@ def groups(pruned: DataFrame) -> DataFrame:
 def items_of_groups(pruned: DataFrame) -> DataFrame:
     """The items of groups of several with ``group_key``, ``n_items`` and ``item_rank`` from 1, but without what orders the groups among each other."""
     rows = _keyed(pruned)
-    return _ranked(rows.join(_counted(rows).where("n_items > 1"), "group_key"))
+    return _in_groups(rows, _counted(rows).where("n_items > 1"))
 
 
 def ungrouped(pruned: DataFrame) -> DataFrame:
     """The items without a key, then those alone in their group, with ``item_rank`` from 1."""
     rows = _keyed(pruned)
-    single = rows.join(_counted(rows).where("n_items = 1").select("group_key"), "group_key", "left_semi").withColumn("late", F.lit(1))
+    # A group of one item gives that item back from its sums, so no item is looked up by its group.
+    cols = [c for c in rows.columns if c != "group_key"]
+    single = rows.where("group_key IS NOT NULL").groupBy("group_key").agg(F.count("*").alias("_n"), F.min_by(F.struct(*(F.col(f"`{c}`") for c in cols)), "place").alias("_row")).where("_n = 1")
+    single = single.select("group_key", "_row.*").select(*(F.col(f"`{c}`") for c in rows.columns)).withColumn("late", F.lit(1))
     rest = rows.where("group_key IS NULL").withColumn("late", F.lit(0)).unionByName(single)
     rest = numbered(rest, F.col("episode").desc_nulls_last(), F.col("published").desc(), F.col("late"), F.col("passed"), F.col("place"), out="item_rank")
     return rest.withColumn("item_rank", F.col("item_rank") + 1).drop("late")
@@ -116,4 +121,4 @@ def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
     (from 1) and ``n_items``; groups of one item are ungrouped, after the items without a
     key. Ungrouped items carry ``item_rank``.
     """
-    return _ranked(_keyed(pruned).join(groups(pruned), "group_key")), ungrouped(pruned)
+    return _in_groups(_keyed(pruned), groups(pruned)), ungrouped(pruned)

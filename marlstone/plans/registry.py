@@ -10,7 +10,7 @@ from marlstone.functions import titles
 from marlstone.functions.fixed import CODECS, GROUP_REPUTATION, METADATA, NOISE_SUFFIXES
 from marlstone.operators import archive, cache, refine, series
 from marlstone.operators import releases as R
-from marlstone.operators.dedupe import dedupe, keyed
+from marlstone.operators.dedupe import dedupe, keyed, with_keys
 from marlstone.operators.graph import connected_components
 from marlstone.plans import search as S
 from marlstone.sources import feeds
@@ -139,7 +139,7 @@ bk AS (SELECT tk.*, CASE WHEN coalesce(info_hash, alias) IS NOT NULL THEN 'hash:
 
 @query(f"WITH {_BUCKETS} SELECT bucket, count(*) AS n, min(ord) AS ord, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM bk GROUP BY bucket")
 def dedupe_buckets(spark, sf_dir):
-    rows = keyed(releases(spark, sf_dir))
+    rows = keyed(stage(with_keys(releases(spark, sf_dir)).select("ord", "source", "title_key", "own_hash"), "keys"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
@@ -298,9 +298,8 @@ def group_ranking(spark, sf_dir):
 )
 def source_page(spark, sf_dir):
     """A page of each source: the limit is the feature."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("ord", (F.row_number().over(w) - 1).cast("long"))
-    return S.page(rows, 20, 10).select("event_type", "event_id", F.col("ord").alias("place"))
+    rows = S.pages(table(spark, sf_dir, "events").select("event_type", "event_id", "ts"), "event_type", [F.col("ts"), F.col("event_id")], 20, 10)
+    return rows.select("event_type", "event_id", F.col("ord").alias("place"))
 
 
 @query(r"SELECT page_id, unnest(range(0, len(b))) AS pos, unnest(b) AS block FROM (SELECT page_id, regexp_extract_all(html, '<li\b[^>]*>([\s\S]*?)</li>', 1) AS b FROM pages)")

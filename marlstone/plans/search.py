@@ -17,6 +17,7 @@ from marlstone.operators import releases, series
 from marlstone.operators.cache import Store, normal_keyword
 from marlstone.operators.cache import key as cache_key
 from marlstone.operators.dedupe import dedupe
+from marlstone.operators.ranking import top
 from marlstone.operators.refine import Refiner
 from marlstone.staging import stage
 
@@ -75,6 +76,12 @@ def page(items: DataFrame, limit: int, offset: int) -> DataFrame:
     return items.where((F.col("ord") >= offset) & (F.col("ord") < offset + limit))
 
 
+def pages(items: DataFrame, source: str, order: list, limit: int, offset: int) -> DataFrame:
+    """A page of each source of one table, with ``ord`` from 0 in the source's order; a task sends at most ``offset + limit`` rows of a source."""
+    first = top(items, [source], order, offset + limit, "ord").withColumn("ord", F.col("ord") - 1)
+    return page(first, limit, offset)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """Items of all sources; ``ord`` goes by source, then by place."""
     return reduce(DataFrame.unionByName, [p.withColumn("ord", F.col("ord") + F.lit(k << 40)) for k, p in enumerate(parts)])
