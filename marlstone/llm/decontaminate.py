@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
+from marlstone.llm.whole_rows import packed
 from marlstone.session import ship
 from marlstone.staging import Staged
 
@@ -175,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text")).dropna()
-    out = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].cast("string").alias("text")).withColumns(
+    out = docs.select(packed(docs), docs[text_col].cast("string").alias("text")).withColumns(
         {"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")}
     )
     narrow = docs.select(docs[text_col].cast("string").alias("text"))

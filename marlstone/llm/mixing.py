@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.whole_rows import digest, packed
 from marlstone.session import ship
 from marlstone.staging import Staged, stage
 
@@ -120,7 +121,7 @@ def _copies(docs: DataFrame, weights: tuple, share: float, cap: float, tilt: str
     text, source = docs[text_col].cast("string"), docs[source_col].cast("string")
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(1), *docs.columns).alias("h1"), F.xxhash64(F.lit(2), *docs.columns).alias("h2"),
+        digest(docs, 1).alias("h1"), digest(docs, 2).alias("h2"),
     )
     base = Staged(rows.groupBy("doc_id", "source", "size", "h1", "h2").agg(F.count("*").alias("k")), "op10-rows").df
     cells = Staged(base.groupBy("source", "size").agg(F.sum("k").alias("n"), F.count("*").alias("m")).coalesce(16), "op10-cells").df
@@ -155,6 +156,6 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: fl
 def mixed(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, tilt: str = "tokens", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; edge cases as in ``mix``."""
     taken = stage(_copies(docs, weights, share, cap, tilt, id_col, text_col, source_col).where("copies > 0").select("h1", "h2", "copies"), "op10-copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.lit(1), *docs.columns).alias("h1"), F.xxhash64(F.lit(2), *docs.columns).alias("h2"))
+    rows = docs.select(packed(docs), digest(docs, 1).alias("h1"), digest(docs, 2).alias("h2"))
     rows = rows.dropDuplicates(["h1", "h2"]).join(taken, ["h1", "h2"])
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_k")).select("row.*")

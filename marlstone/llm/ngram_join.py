@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import blocks as B
 from marlstone.llm import words as W
+from marlstone.llm.whole_rows import packed
 from marlstone.operators.graph import connected_components
 from marlstone.session import ship
 from marlstone.staging import Staged, stage
@@ -305,11 +306,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag", "k")).alias("r")
     linked = rows.where("c IS NOT NULL").groupBy("c").agg(first).select("r.doc_id", "r.tag", (F.col("r.k") > 1).alias("again"))
     alone = rows.where("c IS NULL").select("doc_id", "tag", F.expr("k > 1 AND doc_id IS NOT NULL").alias("again"))
-    kept = stage(linked.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("again").alias("_again")), "op2-kept")
-    full = docs.withColumn("_key", digest)
-    same = full[id_col].cast("long").eqNullSafe(kept["_id"]) & (full["_key"] == kept["_tag"])
-    if kept.where("_again").isEmpty():
-        return full.join(kept, same, "left_semi").drop("_key")
+    kept = stage(linked.unionByName(alone).select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag"), "again"), "op2-kept")
+    full = docs.select(packed(docs), docs[id_col].cast("long").alias("id"), digest.alias("tag"))  # no name of the table can clash
+    same = full["id"].eqNullSafe(kept["kept_id"]) & (full["tag"] == kept["kept_tag"])
+    if kept.where("again").isEmpty():
+        return full.join(kept, same, "left_semi").select("row.*")
     found = full.join(kept, same)
-    once = found.where("_again").dropDuplicates(["_id", "_tag"])
-    return found.where("NOT _again").select(docs.columns).unionByName(once.select(docs.columns))
+    once = found.where("again").dropDuplicates(["kept_id", "kept_tag"])
+    return found.where("NOT again").select("row").unionByName(once.select("row")).select("row.*")

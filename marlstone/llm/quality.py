@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import blocks as B
 from marlstone.llm import words as W
+from marlstone.llm.whole_rows import packed
 from marlstone.session import ship
 from marlstone.staging import Staged
 
@@ -356,7 +357,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> Data
     repeats; missing metadata columns count as null, long texts whole. Without a model the
     scores are null and every row is kept. An empty table gives no rows.
     """
-    rows = _view(docs, F.struct(*docs.columns).alias("row"))
+    rows = _view(docs, packed(docs))
     if model is None:
         none = F.lit(None).cast("double")
         return rows.select("row", none.alias("p_text"), none.alias("p_meta"), none.alias("score"), F.lit(True).alias("keep"))
