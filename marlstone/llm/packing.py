@@ -36,6 +36,10 @@ END_ID = 0
 TASK_IDS = 4_000_000
 #: Counts of (task, length) of pieces left over that are broadcast; more are joined by a shuffle of those pieces.
 BROADCAST_COUNTS = 200_000
+#: Bytes of input that a task takes at least where there are more tasks than cores, and tasks beyond which that is left alone.
+LEAST_BYTES, MOST_TASKS = 8 << 20, 1 << 20
+#: Files of small tables, and ids of a file of the pieces left over.
+FILES, FILE_IDS = 8, 1 << 24
 #: Sequences of a task are numbered from its own number times 2^32, those of the pieces left over from here.
 REST = 1 << 62
 
@@ -195,12 +199,15 @@ def pack(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_49
     ship(spark)
     path = path or new_path(spark, "packed")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    # Tasks of a few rows have little to choose from and leave small files.
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, min(-(-size // LEAST_BYTES), MOST_TASKS)))
     rows.mapInArrow(_packed(tokenizer, end_id, capacity, task_ids), WRITTEN).write.parquet(f"{path}/full")
     left = spark.read.schema(WRITTEN).parquet(f"{path}/full").where("sequence_id IS NULL").drop("sequence_id", "offset")
-    counts = Staged(left.groupBy("part", "length").agg(F.count("*").alias("n")), "pack-counts")
+    counts = Staged(left.groupBy("part", "length").agg(F.count("*").alias("n")).coalesce(FILES), "pack-counts")
     # At most ``capacity`` rows, and a plan of at most as many kinds of sequences as their lengths can be used up.
-    entries = _entries(plan(dict(counts.df.groupBy("length").agg(F.sum("n")).collect()), capacity))
-    places = spark.createDataFrame(entries, "_length int, low long, high long, each long, first long, at long")
+    patterns = plan(dict(counts.df.groupBy("length").agg(F.sum("n")).collect()), capacity)
+    places = spark.createDataFrame(_entries(patterns), "_length int, low long, high long, each long, first long, at long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.df.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     bases = F.broadcast(bases) if counts.df.count() <= BROADCAST_COUNTS else bases
@@ -208,7 +215,8 @@ def pack(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_49
     put = numbered.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("slot") >= F.col("low")) & (F.col("slot") < F.col("high")))
     sequence, offset = F.expr("first + (slot - low) div each") + REST, F.col("at") + (F.col("slot") - F.col("low")) % F.col("each") * F.col("length")
     out = put.select(sequence.alias("sequence_id"), offset.alias("offset"), "doc_id", "piece", "start", "length", "ids")
-    out.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").write.parquet(f"{path}/rest")
+    ids = sum(n * k * times for used, times in patterns for n, k in used.items())
+    out.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").coalesce(max(FILES, ids // FILE_IDS)).write.parquet(f"{path}/rest")
     counts.drop()
     return path
 
