@@ -58,6 +58,9 @@ GROUP_REPUTATION = {
 LIMIT_DEFAULT, LIMIT_MOST = 20, 100
 CACHE_SECONDS = 900
 
+# How many of the writes to the cache sweep it.
+SWEEP_CHANCE = 0.02
+
 # What stands for a time that is not known; limits of a model call.
 UNKNOWN_TIME = "未知时间"
 MODEL_SECONDS, MODEL_TOKENS = 45, 2048

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
@@ -15,7 +17,7 @@ from marlstone.operators.graph import connected_components
 from marlstone.plans import search as S
 from marlstone.sources import feeds
 from marlstone.sources.releases import RELEASES_SQL, releases
-from marlstone.staging import stage
+from marlstone.staging import new_path, stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -400,6 +402,19 @@ def cache_sweep(spark, sf_dir):
     return cache.expired(cache.upsert(_writes(spark, sf_dir), "ts", "event_id"), now)
 
 
+@query(f"WITH {_LAST} SELECT key, payload, expires_at FROM l WHERE expires_at > {_NOW}")
+def cache_store(spark, sf_dir):
+    """The stored cache after two batches of writes and a sweep: what the files then hold."""
+    store = cache.Store(spark, new_path(spark, "cache"))
+    writes = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at")).agg(F.max_by("props", "event_id").alias("payload"))
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(first + (last - first) / 2)
+    store.put_all(writes.where(F.col("at") > middle))
+    store.put_all(writes.where(F.col("at") <= middle))
+    store.sweep(last - timedelta(days=1))
+    return store.entries()
+
+
 @query(
     """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS query, event_type = 'purchase' AS refined, max(props) AS payload FROM events GROUP BY ALL)
     SELECT query, arg_max(refined, CAST(refined AS INT)) AS refined, arg_max(payload, CAST(refined AS INT)) AS payload FROM e GROUP BY query"""
@@ -410,12 +425,15 @@ def cache_precedence(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, '{"k":"' || lower(c_name) || ' x","s":["dmhy","nyaa"],"p":' || CASE WHEN c_custkey % 2 = 0 THEN '"simplified"' ELSE 'null' END || ',"l":20,"o":null,"llm":' || CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END || '}' AS key FROM customer"""
+    """SELECT c_custkey, '{"k":"' || lower(c_name) || ' ' || chr(12460) || ' x 5","s":["dmhy","nyaa"],"p":' || CASE WHEN c_custkey % 2 = 0 THEN '"simplified"' ELSE 'null' END || ',"l":20,"o":null,"llm":' || CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END || '}' AS key FROM customer"""
 )
 def cache_key(spark, sf_dir):
+    """Names in full-width letters, with other spellings that Unicode holds for the same."""
     c = table(spark, sf_dir, "customer")
+    ascii_ = "".join(map(chr, range(0x21, 0x7F)))
+    wide = F.translate(F.upper("c_name"), ascii_, "".join(chr(ord(x) + 0xFEE0) for x in ascii_))
     key = cache.key_column(
-        F.concat(F.lit("  "), F.upper("c_name"), F.lit("\t  X ")), F.array(F.lit("nyaa"), F.lit("dmhy")), F.when(F.col("c_custkey") % 2 == 0, "simplified"),
+        F.concat(F.lit("  "), wide, F.lit("\u3000ｶﾞ\t  Ｘ ⑤ ")), F.array(F.lit("nyaa"), F.lit("dmhy")), F.when(F.col("c_custkey") % 2 == 0, "simplified"),
         F.lit(20), F.lit(None).cast("int"), F.col("c_custkey") % 3 == 0,
     )
     return c.select("c_custkey", key.alias("key"))

@@ -58,3 +58,43 @@ def test_lookup_of_a_key_with_a_third_of_all_rows(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(where) > 1 and "hashpartitioning(k" in text and "_piece" in text
+
+
+def test_one_group_of_a_million_items(spark):
+    """Its rank comes without a window over the group and in parts of like size."""
+    from marlstone.operators import releases
+
+    rows = spark.range(1_000_000).select(F.col("id").alias("place"), F.lit("g").alias("group_key"), (F.col("id") % 1000).cast("int").alias("episode"), (F.col("id") % 7).alias("published"), F.lit(False).alias("passed"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = releases._in_groups(rows, rows.groupBy("group_key").agg(F.count("*").alias("n_items")))
+        top_row = out.where("item_rank = 1").first()
+        n = out.agg(F.count("*"), F.max("item_rank"), F.countDistinct("item_rank")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # 999 is the last episode; of its items those of the greatest time come first, and of these the first place.
+    assert tuple(n) == (1_000_000,) * 3 and (top_row.episode, top_row.published) == (999, 6) and top_row.place == min(i for i in range(999, 60_000, 1000) if i % 7 == 6)
+    sizes = [r["count"] for r in spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles()}).groupBy("_part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+def test_entities_with_one_key_of_a_third_of_all_rows(spark, monkeypatch):
+    """The same entities whether frequent keys are dealt out or not."""
+    from marlstone.operators import dedupe as D
+    from marlstone.operators import skew
+
+    rows = spark.range(600).select(
+        F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "[g] Hot - 01").otherwise(F.concat(F.lit("[g] T"), (F.col("id") % 40).cast("string"))).alias("title"), F.lit(None).cast("string").alias("subtitle"),
+        F.get(F.array(*map(F.lit, ("nyaa", "dmhy", "acg-rip"))), (F.col("id") % 3).cast("int")).alias("source"), F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast(f"array<{D.MIRROR}>").alias("mirrors"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("2025-01-0"), F.col("id") % 9 + 1)).alias("published_at"), F.when(F.col("id") % 4 == 1, "3 MB").alias("size"), F.when(F.col("id") % 7 == 2, F.col("id")).alias("seeders"), F.lit(None).cast("long").alias("leechers"),
+        F.when(F.col("id") % 11 == 6, F.md5((F.col("id") % 2).cast("string"))).alias("info_hash"), F.lit(None).cast("string").alias("magnet_url"), F.concat(F.lit("u"), "id").alias("torrent_url"), F.lit(None).cast("string").alias("detail_url"), F.array(F.concat(F.lit("t"), F.col("id") % 6)).alias("tags"),
+    )
+    plain = sorted(map(str, D.dedupe(rows).collect()))
+    seen = []
+
+    def dealt(rows, on, share=1000, least=10):
+        seen.append(skew.heavy_keys(rows, on, 50, 10))
+        return seen[-1]
+
+    monkeypatch.setattr(D, "heavy_keys", dealt)
+    assert sorted(map(str, D.dedupe(rows).collect())) == plain and max(r["_pieces"] for r in seen[0].collect()) > 5
