@@ -28,23 +28,23 @@ def scanned(df: DataFrame, by: list[str], order: list[Column], rank: str | None
     Each task numbers and sums the stretch of a group that it holds. A stretch that begins in an
     earlier task then gets what that group had before it: at most one row for each task of the
     sort, so that table is broadcast. ``order`` must leave no ties for reruns to agree. Null keys
-    are a group.
+    are a group. Names that begin with ``_scan_`` are taken.
     """
     sums, xors = sums or {}, xors or {}
-    dealt = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
-    upto = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = {"_rank": F.count(F.lit(1)).over(upto)} | {k: F.sum(c).over(upto) for k, c in sums.items()} | {k: F.bit_xor(c).over(upto) for k, c in xors.items()}
+    dealt = df.repartitionByRange(*by, *order).withColumn("_scan_part", F.spark_partition_id())
+    upto = Window.partitionBy("_scan_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = {"_scan_rank": F.count(F.lit(1)).over(upto)} | {k: F.sum(c).over(upto) for k, c in sums.items()} | {k: F.bit_xor(c).over(upto) for k, c in xors.items()}
     rows = stage(dealt.withColumns(local), "scanned")
-    held = rows.groupBy("_part", *by).agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{k}") for k, c in sums.items()), *(F.bit_xor(c).alias(f"_{k}") for k, c in xors.items()))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = {"_n": F.sum("_n").over(before)} | {f"_{k}": F.sum(f"_{k}").over(before) for k in sums} | {f"_{k}": F.bit_xor(f"_{k}").over(before) for k in xors}
-    carry = held.withColumns(carried).where("_n IS NOT NULL").select(F.col("_part").alias("_at"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), *carried)
-    same = [rows[c].eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
-    whole = rows.join(F.broadcast(carry), reduce(Column.__and__, same, F.col("_part") == F.col("_at")), "left")
+    held = rows.groupBy("_scan_part", *by).agg(F.count("*").alias("_scan_n"), *(F.sum(c).alias(f"_scan_{k}") for k, c in sums.items()), *(F.bit_xor(c).alias(f"_scan_{k}") for k, c in xors.items()))
+    before = Window.partitionBy(*by).orderBy("_scan_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = {"_scan_n": F.sum("_scan_n").over(before)} | {f"_scan_{k}": F.sum(f"_scan_{k}").over(before) for k in sums} | {f"_scan_{k}": F.bit_xor(f"_scan_{k}").over(before) for k in xors}
+    carry = held.withColumns(carried).where("_scan_n IS NOT NULL").select(F.col("_scan_part").alias("_scan_at"), *(F.col(c).alias(f"_scan_by{i}") for i, c in enumerate(by)), *carried)
+    same = [rows[c].eqNullSafe(F.col(f"_scan_by{i}")) for i, c in enumerate(by)]
+    whole = rows.join(F.broadcast(carry), reduce(Column.__and__, same, F.col("_scan_part") == F.col("_scan_at")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = {k: zero(F.col(k)) + zero(F.col(f"_{k}")) for k in sums} | {k: zero(F.col(k)).bitwiseXOR(zero(F.col(f"_{k}"))) for k in xors}
+    out = {k: zero(F.col(k)) + zero(F.col(f"_scan_{k}")) for k in sums} | {k: zero(F.col(k)).bitwiseXOR(zero(F.col(f"_scan_{k}"))) for k in xors}
     if rank:
-        out[rank] = (F.col("_rank") + zero(F.col("_n"))).cast("long")
+        out[rank] = (F.col("_scan_rank") + zero(F.col("_scan_n"))).cast("long")
     return whole.withColumns(out).select(*(c for c in df.columns if c not in out), *out)
 
 

@@ -167,10 +167,24 @@ class Refiner:
                 json.loads(_bare(text))
         except Exception:  # the refinement is optional: whatever fails in the model leaves the rules' result
             return []
+        self._remember(key, found)
+        return found
+
+    def ask_together(self, requests: list[tuple[list[str], list[str]]]) -> list[list[str]]:
+        """Answers to requests (names, groups) of one window: the union is asked for once, every caller gets that answer, and it is remembered for each request by itself."""
+        held = [self.memo.get(memo_key(*r)) for r in requests]
+        open_ = [r for r, h in zip(requests, held, strict=True) if h is None and (len(r[0]) >= 2 or len(r[1]) >= 2)]
+        names, crews = (list(dict.fromkeys(x for r in open_ for x in r[k])) for k in (0, 1))
+        found = self.ask(names, crews) if open_ else []
+        for r in open_ if found else []:
+            self._remember(memo_key(*r), found)
+        return [h if h is not None else found if r in open_ else [] for r, h in zip(requests, held, strict=True)]
+
+    def _remember(self, key: str, found: list[str]) -> None:
         self.memo[key] = found
-        if len(self.memo) > self.size:
+        self.memo.move_to_end(key)
+        while len(self.memo) > self.size:
             self.memo.popitem(last=False)
-        return found
 
     def _called(self, names: list[str], crews: list[str]) -> str:
         """One call; one that takes too long counts as failed, and is left to itself."""

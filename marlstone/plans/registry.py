@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as X
 from marlstone.functions import titles
 from marlstone.functions.fixed import CODECS, GROUP_REPUTATION, METADATA, NOISE_SUFFIXES
-from marlstone.operators import archive, cache, refine, series
+from marlstone.operators import archive, cache, gathering, refine, series
 from marlstone.operators import releases as R
 from marlstone.operators.dedupe import dedupe, keyed, with_keys
 from marlstone.operators.graph import connected_components
@@ -556,6 +556,22 @@ def latest_request(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("props", "event_id").alias("props"), F.max("event_id").alias("seq"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT user_id, n, ts AS start FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.n, CASE WHEN e.ts < w.start + INTERVAL 6 HOUR THEN w.start ELSE e.ts END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1),
+    r AS (SELECT e.*, start FROM e JOIN w USING (user_id, n)),
+    l AS (SELECT user_id, start, event_type, arg_min(props, (ts, event_id)) AS props FROM r GROUP BY ALL),
+    u AS (SELECT user_id, start, string_agg(event_type || '=' || props, ',' ORDER BY event_type) AS labels FROM l GROUP BY ALL),
+    c AS (SELECT user_id, start, count(*) AS n_requests FROM r GROUP BY ALL)
+    SELECT user_id, event_id, start AS "window", n_requests, labels FROM r JOIN u USING (user_id, start) JOIN c USING (user_id, start)"""
+)
+def gathered_requests(spark, sf_dir):
+    """Each event is a request of its user for its type's properties; those within six hours are answered together."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "props")
+    return gathering.gathered(rows, "user_id", "event_id", "ts", F.col("event_type"), F.col("props"), 6 * 3600 * 1000)
+
+
 @query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) END AS label FROM nation")
 def tag_labels(spark, sf_dir):
     n = F.col("n_name")

@@ -28,7 +28,7 @@ def test_the_rows_of_a_large_group_go_to_many_tasks(spark):
         assert sorted(r.n for r in plan.collect()) == list(range(1, 40_001))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    parts = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in plan.inputFiles()}).groupBy("_part").count().collect()
+    parts = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in plan.inputFiles()}).groupBy("_scan_part").count().collect()
     assert len(parts) >= 4 and max(r["count"] for r in parts) < 20_000
 
 
@@ -74,7 +74,7 @@ def test_one_group_of_a_million_items(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     # 999 is the last episode; of its items those of the greatest time come first, and of these the first place.
     assert tuple(n) == (1_000_000,) * 3 and (top_row.episode, top_row.published) == (999, 6) and top_row.place == min(i for i in range(999, 60_000, 1000) if i % 7 == 6)
-    sizes = [r["count"] for r in spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles()}).groupBy("_part").count().collect()]
+    sizes = [r["count"] for r in spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles()}).groupBy("_scan_part").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
 
 
