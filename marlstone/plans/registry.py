@@ -15,7 +15,7 @@ from marlstone.operators import releases as R
 from marlstone.operators.dedupe import dedupe, keyed, with_keys
 from marlstone.operators.graph import connected_components
 from marlstone.plans import search as S
-from marlstone.sources import feeds
+from marlstone.sources import answers, feeds, files
 from marlstone.sources.releases import RELEASES_SQL, releases
 from marlstone.staging import new_path, stage
 
@@ -572,6 +572,59 @@ def gathered_requests(spark, sf_dir):
     return gathering.gathered(rows, "user_id", "event_id", "ts", F.col("event_type"), F.col("props"), 6 * 3600 * 1000)
 
 
+@query(
+    """SELECT doc_id, CASE WHEN page_id IS NULL THEN 404 WHEN strlen(html) + 1 > 8000 THEN 413 ELSE 200 END AS status, CAST(strlen(html) + 1 AS BIGINT) AS n_bytes,
+      CASE WHEN strlen(html) + 1 <= 8000 THEN md5(html || chr(10)) END AS digest FROM documents LEFT JOIN pages ON page_id = doc_id"""
+)
+def fetched_files(spark, sf_dir):
+    """Pages written as files, and asked for by the numbers of the documents: some are missing, some are too large."""
+    root = new_path(spark, "pages")
+    table(spark, sf_dir, "pages").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(root)
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("page"))
+    found = files.fetched(asked, [root], F.col("doc_id"), "page", lambda path: F.regexp_extract(path, r"/page_id=(\d+)/", 1), most=8000)
+    return found.select("doc_id", "status", "n_bytes", F.md5("data").alias("digest"))
+
+
+def _saved_answers(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as saved answers, their turns being the results, and pages as lines that are none; the folder."""
+    root, c, lit = new_path(spark, "answers"), F.col, F.lit
+    place = F.concat(c("conv_id").cast("string"), lit("-"), c("turn").cast("string"))
+    digest = F.concat(F.md5("text"), F.left(F.md5("text"), lit(8)))
+    fields = F.struct(
+        "turn", F.when(c("turn") % 2 == 0, place).alias("_id"), c("text").alias("title"), F.when(c("turn") % 3 == 0, digest).alias("infoHash"), F.when(c("role") == "user", "3 MB").alias("size"),
+        F.struct(c("role").alias("name")).alias("team"), F.array(F.concat(lit("t"), (c("turn") % 4).cast("string"))).alias("tags"), lit("2025-07-01T12:34:56Z").alias("publish_time"), c("conv_id").alias("seeders"),
+        F.when(c("turn") % 2 == 1, F.concat(lit("https://files.example/"), place)).alias("download"),
+    )
+    good = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(fields)).alias("torrents")).select(F.to_json(F.struct("torrents")).alias("value"))
+    bad = table(spark, sf_dir, "pages").select(F.regexp_replace("html", "[\r\n]", " ").alias("value"))
+    good.unionByName(bad).write.text(root)
+    return root
+
+
+@query(
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, conv_id || '-' || turn AS place, md5(text) || left(md5(text), 8) AS hash FROM conversations)
+    SELECT pos AS ord, CASE WHEN turn % 2 = 0 THEN place WHEN turn % 3 = 0 THEN 'bangumi-' || hash ELSE 'bangumi-' || text END AS id, md5(text) AS title, CASE WHEN role = 'user' THEN '3 MB' END AS size,
+      conv_id AS seeders, role || ',t' || (turn % 4) AS tags, '2025-07-01T12:34:56.000Z' AS published_at, CASE WHEN turn % 3 = 0 THEN 'magnet:?xt=urn:btih:' || hash END AS magnet,
+      CASE WHEN turn % 2 = 1 THEN 'https://files.example/' || place END AS torrent_url, CASE WHEN turn % 2 = 0 THEN 'https://b.example/torrent/' || place END AS detail_url
+    FROM t WHERE pos >= 1 AND pos < 5"""
+)
+def answer_items(spark, sf_dir):
+    """A page of each saved answer, as items; the page's bounds are pushed to the reader."""
+    answers.register(spark)
+    rows = spark.read.format("answers").option("path", _saved_answers(spark, sf_dir)).load().where("pos >= 1 AND pos < 5")
+    items = feeds.json_items(answers.results(rows), "bangumi-moe", "https://b.example")
+    magnet = F.regexp_replace("magnet_url", "&dn=.*", "")
+    return items.select("ord", "id", F.md5("title").alias("title"), "size", "seeders", F.array_join("tags", ",").alias("tags"), "published_at", magnet.alias("magnet"), "torrent_url", "detail_url")
+
+
+@query("SELECT 'warning' AS kind, (SELECT count(*) FROM pages) AS n UNION ALL SELECT 'result', (SELECT count(*) FROM conversations)")
+def answer_warnings(spark, sf_dir):
+    """Lines that are no answer are rows with a warning, and the others are read."""
+    answers.register(spark)
+    rows = spark.read.format("answers").option("path", _saved_answers(spark, sf_dir)).load()
+    return rows.groupBy(F.when(F.col("warning").isNull(), "result").otherwise("warning").alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) END AS label FROM nation")
 def tag_labels(spark, sf_dir):
     n = F.col("n_name")
