@@ -41,10 +41,12 @@ def with_keys(items: DataFrame) -> DataFrame:
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """Adds ``hash`` (own or by title) and ``bucket`` to rows with ``ord`` and ``with_keys``'s columns.
+    """Adds ``hash`` (own or by title) and ``bucket`` to items, or to rows with ``ord`` and ``with_keys``'s columns that are cheap to read more than once.
 
-    ``rows`` is read more than once. A title that a third of all rows bear is dealt over tasks.
+    A title that a third of all rows bear is dealt over tasks.
     """
+    if "own_hash" not in rows.columns:
+        rows = stage(with_keys(rows), "items")
     known = rows.where(_has("own_hash") & (F.col("title_key") != "")).groupBy("title_key").agg(F.min_by("own_hash", "ord").alias("alias_hash"))
     rows = looked_up(rows, known, ["title_key"], F.col("ord")).withColumn("hash", F.coalesce("own_hash", "alias_hash"))
     return rows.withColumn("bucket", F.when(_has("hash"), F.concat(F.lit("hash:"), "hash")).otherwise(F.concat(F.lit("title:"), F.coalesce("title_key", F.lit("")))))

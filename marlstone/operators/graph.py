@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.skew import looked_up
 from marlstone.session import ship
 from marlstone.staging import Staged
 
@@ -67,6 +68,20 @@ def _contracted(limit: int):
     return run
 
 
+def large_star(edges: DataFrame) -> DataFrame:
+    """Each greater neighbour of a node, linked with the least of the node and its neighbours. A node with a share of all edges is dealt over tasks."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return looked_up(both, least, ["u"], F.col("v"), "inner").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours, linked with the least of these; edges lead from the greater node ``u``."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = looked_up(edges, low, ["u"], F.col("v"), "inner").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v")))
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1]
@@ -78,8 +93,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, stored: bool = Fa
     Nodes may have any type that orders; only whole numbers, strings, bytes and dates are
     contracted. Null ends and loops are left out. ``stored`` says that the edges are a table
     that is cheap to read twice. A round of star steps is two groupings with map-side minima
-    and two equi-joins; its edge table is staged, so lineage stays short, and the table never
-    grows beyond the number of edges.
+    and two lookups of the nodes' minima, in which a hub's edges are dealt over tasks; its edge tables are
+    staged, so lineage stays short, and they never grow beyond the number of edges.
     """
     a, b = F.col(src), F.col(dst)
     pairs = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -107,14 +122,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, stored: bool = Fa
     if n and not (local and parts(n) == 1):
         mark = _mark(held)
         for _ in range(MAX_ROUNDS):
-            e = at.df
-            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            low = large.groupBy("u").agg(F.min("v").alias("m"))
-            moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            after = Staged(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+            large = Staged(large_star(at.df).distinct(), "cc")
+            after = Staged(small_star(large.df).distinct(), "cc")
             at.drop()
+            large.drop()
             at, before, mark = after, mark, _mark(after.df)
             if mark == before:
                 break

@@ -545,6 +545,23 @@ def response_rows(spark, sf_dir):
     return found.select("ord", F.regexp_replace("item", r'"(ord|group_rank|item_rank)":\d+,', "").alias("item"))
 
 
+@query(
+    f"""WITH {PARSED_SQL}, i AS (SELECT k.*, s.fresh, s.first_at, s.group_series, s.group_season, row_number() OVER (PARTITION BY k.group_key ORDER BY episode DESC NULLS LAST, published DESC, passed, place) AS item_rank
+      FROM keyed k JOIN sums s ON s.group_key = k.group_key WHERE n_items > 1)
+    SELECT row_number() OVER (ORDER BY fresh DESC, first_at) AS group_rank, group_key AS key, group_series AS series, group_season AS season, count(*) AS n_items, string_agg(id || coalesce(':' || seeders, ''), ',' ORDER BY item_rank) AS items
+    FROM i GROUP BY group_key, fresh, first_at, group_series, group_season"""
+)
+def response_nested(spark, sf_dir):
+    """Groups as a response has them, read back from their JSON: the group's fields and its items in order."""
+    pruned = stage(R.best_per_episode(stage(_annotated(spark, sf_dir).drop("subtitle", "mirrors", "sources", "tags"), "annotated")), "best")
+    groups, rest = R.grouped(pruned)
+    found = S.response_groups(S.Response(0, groups, rest, False))
+    g = F.from_json("group", "key string, series string, season int, items array<struct<id:string,seeders:long>>")
+    rows = found.select("group_rank", g.alias("g")).select("group_rank", "g.*")
+    items = F.transform("items", lambda x: F.concat(x["id"], F.coalesce(F.concat(F.lit(":"), x["seeders"].cast("string")), F.lit(""))))
+    return rows.select("group_rank", "key", "series", "season", F.size("items").cast("long").alias("n_items"), F.array_join(items, ",").alias("items"))
+
+
 @query(f"{_SEL} SELECT count(*) AS total, count(DISTINCT group_key) AS n_groups, count_if(chosen) AS n_selected FROM s")
 def result_summary(spark, sf_dir):
     rows, _ = _selected(spark, sf_dir)

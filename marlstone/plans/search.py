@@ -16,7 +16,7 @@ from marlstone.functions.fixed import LIMIT_DEFAULT, LIMIT_MOST, SOURCES, SPACE
 from marlstone.operators import releases, series
 from marlstone.operators.cache import Store, normal_keyword
 from marlstone.operators.cache import key as cache_key
-from marlstone.operators.dedupe import dedupe
+from marlstone.operators.dedupe import ITEM, dedupe
 from marlstone.operators.ranking import top
 from marlstone.operators.refine import Refiner
 from marlstone.staging import stage
@@ -87,55 +87,135 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.withColumn("ord", F.col("ord") + F.lit(k << 40)) for k, p in enumerate(parts)])
 
 
-def arranged(items: DataFrame, prefer: str | None = None, refiner: Refiner | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, items of groups, ungrouped items) of a relation of items."""
+@dataclass
+class Prepared:
+    """What the fast and the refined answer have in common, staged: entities with parsed titles, and the rules' lookups."""
+
+    entities: DataFrame
+    annotated: DataFrame
+    remap: DataFrame
+    ranking: DataFrame
+    warnings: list[str] = field(default_factory=list)
+
+
+def prepared(items: DataFrame, warnings: list[str] | None = None) -> Prepared:
     entities = stage(dedupe(items), "entities")
     annotated = stage(releases.annotate(entities), "annotated")
     remap, ranking = series.remap(series.entries(annotated)), series.group_ranking(annotated)
+    return Prepared(entities, annotated, stage(remap, "remap"), stage(ranking, "ranking"), warnings or [])
+
+
+def finished(ready: Prepared, prefer: str | None = None, refiner: Refiner | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items of groups, ungrouped items), with what a refiner's answer says laid over the rules."""
+    remap, ranking = ready.remap, ready.ranking
     if refiner is not None:
-        more, scores = refiner.lookups(annotated)
+        more, scores = refiner.lookups(ready.annotated)
         remap, ranking = series.overlay(remap, more, "key", "canonical"), series.overlay(ranking, scores, "name", "score")
-    best = stage(releases.best_per_episode(annotated, remap, ranking, prefer), "best")
-    return entities, *releases.grouped(best)
+    best = stage(releases.best_per_episode(ready.annotated, remap, ranking, prefer), "best")
+    return releases.grouped(best)
+
+
+def arranged(items: DataFrame, prefer: str | None = None, refiner: Refiner | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, items of groups, ungrouped items) of a relation of items."""
+    ready = prepared(items)
+    return ready.entities, *finished(ready, prefer, refiner)
+
+
+#: Columns of a response's item that order it or belong to its group.
+_PLACES = ("ord", "group_key", "group_series", "group_season", "group_rank", "item_rank", "n_items", "place", "passed", "parsed")
 
 
 def response_json(response: Response) -> DataFrame:
-    """A row of JSON for each item of a response, groups first; keys without a value are left out."""
+    """``group_rank, item_rank, ord, item``: a row of JSON for each item, groups first; keys without a value are left out."""
     items = response.groups.unionByName(response.ungrouped, allowMissingColumns=True)
     return items.select("group_rank", "item_rank", "ord", F.to_json(F.struct(*items.columns)).alias("item"))
 
 
-def response_text(response: Response) -> str:
-    """The answer to a request as one JSON text; a response has at most the items of its pages."""
-    rows = response_json(response).orderBy(F.col("group_rank").asc_nulls_last(), "item_rank", "ord").collect()
-    grouped = [json.loads(r.item) for r in rows if r.group_rank is not None]
-    rest = [json.loads(r.item) for r in rows if r.group_rank is None]
-    return json.dumps({"total": response.total, "items": grouped, "ungrouped": rest, "refined": response.refined, "warnings": response.warnings}, ensure_ascii=False)
+def response_groups(response: Response) -> DataFrame:
+    """``group_rank, group``: JSON of each group with ``key``, ``series``, ``season`` and its ``items`` in order.
 
+    A group of a response has at most the items of its pages.
+    """
+    cols = [c for c in response.groups.columns if c not in _PLACES]
+    item = F.struct("item_rank", F.struct(*cols).alias("item"))
+    keys = ["group_rank", "group_key", *(c for c in ("group_series", "group_season") if c in response.groups.columns)]
+    held = response.groups.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("items"))
+    shown = F.struct(F.col("group_key").alias("key"), *(F.col(c).alias(c.removeprefix("group_")) for c in keys[2:]), "items")
+    return held.select("group_rank", F.to_json(shown).alias("group"))
 
-def answered(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None, store: Store | None = None, now: datetime | None = None) -> str:
-    """``search`` as JSON text by way of the cache: a refined entry answers any request, a fast one only a request for a fast answer."""
-    now = now or datetime.now()
-    key = lambda refined: cache_key(query.keyword, query.sources, query.prefer, query.limit, query.offset, refined)
+
+def response_text(response: Response, query: Query | None = None) -> str:
+    """The answer to a request as one JSON text: ``query, total, warnings, groups, ungrouped, refined``."""
+    groups = [json.loads(r.group) for r in response_groups(response).orderBy("group_rank").collect()]
+    cols = [c for c in response.ungrouped.columns if c not in _PLACES]
+    rest = [json.loads(r.item) for r in response.ungrouped.select("item_rank", F.to_json(F.struct(*cols)).alias("item")).orderBy("item_rank").collect()]
+    asked = {"query": {"keyword": query.cleaned, "limit": query.limit, "offset": query.offset, "sources": list(query.sources), "prefer": query.prefer}} if query else {}
+    return json.dumps(asked | {"total": response.total, "warnings": response.warnings, "groups": groups, "ungrouped": rest, "refined": response.refined}, ensure_ascii=False)
+
+
+class Sequence:
+    """Numbers of requests: an answer counts only while its request is the last one."""
+
+    def __init__(self):
+        self.last = 0
+
+    def begin(self) -> int:
+        self.last += 1
+        return self.last
+
+    def is_last(self, number: int) -> bool:
+        return number == self.last
+
+
+def _key(query: Query, refined: bool) -> str:
+    return cache_key(query.keyword, query.sources, query.prefer, query.limit, query.offset, refined)
+
+
+def _held(query: Query, store: Store | None, now: datetime) -> str | None:
+    """The cached answer: a refined entry answers any request, a fast one only a request for a fast answer."""
     for refined in (True,) if query.refine else (True, False):
-        if store is not None and (found := store.get(key(refined), now)) is not None:
+        if store is not None and (found := store.get(_key(query, refined), now)) is not None:
             return found
-    text = response_text(search(spark, query, loaders, refiner))
-    if store is not None:
-        store.put(key(query.refine), text, now)
-    return text
+    return None
 
 
-def two_phases(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None, store: Store | None = None, now: datetime | None = None):
-    """The fast answer, then the refined one unless the first was refined already."""
-    first = answered(spark, replace(query, refine=False), loaders, refiner, store, now)
-    yield first
-    if not json.loads(first)["refined"]:
-        yield answered(spark, replace(query, refine=True), loaders, refiner, store, now)
+def answered(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None, store: Store | None = None, now: datetime | None = None) -> str:
+    """``search`` as JSON text by way of the cache."""
+    now = now or datetime.now()
+    if (found := _held(query, store, now)) is not None:
+        return found
+    text = response_text(search(spark, query, loaders, refiner), query)
+    if store is not None:
+        store.put(_key(query, query.refine), text, now)
+    return text
 
 
-def search(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None) -> Response:
-    """Runs a query. A source that fails gives a warning and no rows; the others go on."""
+def two_phases(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None, store: Store | None = None, now: datetime | None = None, sequence: Sequence | None = None):
+    """The fast answer, then the refined one unless the first was refined already.
+
+    Both come from one prepared table, so sources are read and entities resolved once. With a ``sequence``, what a
+    later request has overtaken is not yielded, and its refined phase is not begun.
+    """
+    now, sequence = now or datetime.now(), sequence or Sequence()
+    number, ready = sequence.begin(), None
+    for refine in (False, True):
+        asked = replace(query, refine=refine)
+        text = _held(asked, store, now)
+        if text is None:
+            ready = ready or prepared(*_read(spark, query, loaders))
+            groups, rest = finished(ready, query.prefer, refiner if refine else None)
+            text = response_text(Response(ready.entities.count(), groups, rest, refine, ready.warnings), query)
+            if store is not None:
+                store.put(_key(query, refine), text, now)
+        if not sequence.is_last(number):
+            return
+        yield text
+        if json.loads(text)["refined"] or not sequence.is_last(number):
+            return
+
+
+def _read(spark: SparkSession, query: Query, loaders: dict[str, Loader]) -> tuple[DataFrame, list[str]]:
+    """(items of all sources, warnings). A source that fails gives a warning and no rows; the others go on."""
     parts, warnings = [], []
     if normal_keyword(query.keyword):
         for name in chosen(loaders, query.sources):
@@ -143,9 +223,11 @@ def search(spark: SparkSession, query: Query, loaders: dict[str, Loader], refine
                 parts.append(stage(page(loaders[name](spark, query), query.limit, query.offset), "source"))
             except Exception as e:  # one source's failure must not end the search
                 warnings.append(f"{name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
-    if not parts:
-        from marlstone.operators.dedupe import ITEM
+    return union(parts or [spark.createDataFrame([], ITEM)]), warnings
 
-        parts = [spark.createDataFrame([], ITEM)]
-    entities, groups, rest = arranged(union(parts), query.prefer, refiner if query.refine else None)
-    return Response(entities.count(), groups, rest, query.refine, warnings)
+
+def search(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None) -> Response:
+    """Runs a query."""
+    ready = prepared(*_read(spark, query, loaders))
+    groups, rest = finished(ready, query.prefer, refiner if query.refine else None)
+    return Response(ready.entities.count(), groups, rest, query.refine, ready.warnings)

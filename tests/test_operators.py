@@ -204,3 +204,24 @@ def test_a_staged_table_is_written_without_files_beside_it(spark):
     names = os.listdir(at.path.removeprefix("file://"))
     assert at.df.count() == 10 and sorted(n for n in names if not n.startswith("part-")) == ["_SUCCESS"]
     at.drop()
+
+
+def test_components_of_a_hub_beyond_one_task(spark, monkeypatch):
+    """A hub's edges are dealt over tasks in the star steps, and the result is as it was."""
+    from marlstone.operators import graph
+
+    edges = spark.range(60_000).selectExpr("CAST(7 AS BIGINT) AS a", "id + 100 AS b").unionByName(spark.range(500).selectExpr("id * 2 + 1000000 AS a", "id * 2 + 1000001 AS b")).unionByName(spark.range(499).selectExpr("id * 2 + 1000001 AS a", "id * 2 + 1000002 AS b"))
+    got = connected_components(edges, "a", "b", limit=2000)
+    rows = {r["component"]: r["count"] for r in got.groupBy("component").count().collect()}
+    assert rows == {7: 60_001, 1_000_000: 1000}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        star = graph.large_star(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v"))
+        sizes = [r["count"] for r in star.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) > 4 and max(sizes) < 0.6 * sum(sizes)
