@@ -145,7 +145,10 @@ def short_date(ts: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return empty_as_null(trim(c)).try_cast("bigint")
+    """A decimal number, with a fraction or an exponent as it may be; null for any other text and beyond all bounds."""
+    plain = trim(c)
+    n = F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), plain).try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def bytes_text(c: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB"), even: bool = False) -> Column:

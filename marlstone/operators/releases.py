@@ -122,3 +122,10 @@ def grouped(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
     key. Ungrouped items carry ``item_rank``.
     """
     return _in_groups(_keyed(pruned), groups(pruned)), ungrouped(pruned)
+
+
+def all_items(items: DataFrame, rest: DataFrame) -> DataFrame:
+    """All items of a response as one list, by ``place_in_list`` from 1: those of the groups in their order, then the ungrouped ones."""
+    cols = [c for c in rest.columns if c in items.columns and c != "item_rank"]
+    both = items.select(*cols, "group_rank", "item_rank").unionByName(rest.select(*cols, F.lit(None).cast("long").alias("group_rank"), "item_rank"))
+    return numbered(both, F.col("group_rank").asc_nulls_last(), F.col("item_rank"), out="place_in_list").withColumn("place_in_list", F.col("place_in_list") + 1)

@@ -9,6 +9,8 @@ from marlstone.functions import text as X
 from marlstone.functions.fixed import CONTAINED_RATIO, GROUP_REPUTATION, LOOSE_LENGTH, NOISE_SUFFIXES
 from marlstone.functions.titles import aliases
 from marlstone.operators.graph import connected_components
+from marlstone.operators.skew import looked_up
+from marlstone.staging import stage
 
 
 def entries(annotated: DataFrame) -> DataFrame:
@@ -67,9 +69,9 @@ def edges(series: DataFrame) -> DataFrame:
 def remap(series: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``(key, canonical)`` of all keys that are not their component's shortest (then first) one."""
     comps = connected_components(edges(series) if links is None else links, "a", "b")
-    rows = comps.join(series.select(F.col("series_key").alias("node"), "ord"), "node")
+    rows = stage(comps.join(series.select(F.col("series_key").alias("node"), "ord"), "node"), "members")
     best = rows.groupBy("component").agg(F.min_by("node", F.struct(X.utf16_length(F.col("node")), "ord")).alias("canonical"))
-    return rows.join(best, "component").where("node <> canonical").select(F.col("node").alias("key"), "canonical")
+    return looked_up(rows, best, ["component"], F.col("node"), "inner").where("node <> canonical").select(F.col("node").alias("key"), "canonical")
 
 
 def overlay(base: DataFrame, over: DataFrame, key: str, value: str) -> DataFrame:

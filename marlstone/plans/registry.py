@@ -109,6 +109,43 @@ def best_release(spark, sf_dir):
     return R.best_per_episode(_annotated(spark, sf_dir)).where("NOT passed").select(*_BEST.split(", "))
 
 
+_MARKED = "CASE source WHEN 'dmhy' THEN ' 機動' WHEN 'acg-rip' THEN ' 机动' ELSE '' END"
+
+
+@query(
+    f"""WITH {PARSED_SQL}, m AS (SELECT *, CASE WHEN length(series_key) % 2 = 0 THEN split_part(series_key, ' ', 1) ELSE series_key END AS canonical FROM slots),
+    r AS (SELECT m.*, coalesce(s_suppkey % 5, 0) AS score FROM m LEFT JOIN supplier ON lower(s_name) = lower(grp) AND s_suppkey % 7 <> 0)
+    SELECT ord, canonical, season, episode, score, source FROM r WHERE slot IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY canonical, coalesce(season, 0), slot ORDER BY coalesce(version, 1) DESC, source = 'acg-rip' DESC, coalesce(seeders, -1) DESC, score DESC, res DESC, published DESC, ord) = 1"""
+)
+def best_release_ranked(spark, sf_dir):
+    """The best releases where keys are remapped, groups have a standing, and titles in simplified script are preferred."""
+    rows = releases(spark, sf_dir).withColumn("title", F.concat("title", F.when(F.col("source") == "dmhy", " 機動").when(F.col("source") == "acg-rip", " 机动").otherwise("")))
+    rows = stage(R.annotate(rows).drop("mirrors", "sources", "tags", "subtitle"), "annotated")
+    keys = rows.select(F.col("series_key").alias("key")).dropna().distinct().where(F.length("key") % 2 == 0)
+    remap = keys.select("key", F.split_part("key", F.lit(" "), F.lit(1)).alias("canonical"))
+    ranking = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(F.lower("s_name").alias("name"), (F.col("s_suppkey") % 5).alias("score"))
+    best = R.best_per_episode(rows, remap, ranking, "simplified").where("NOT passed")
+    return best.select("ord", "canonical", "season", "episode", F.col("group_score").alias("score"), "source")
+
+
+@query(f"WITH {PARSED_SQL} SELECT series AS label, arg_min(series_key, ord) AS series_key, min(ord) AS ord FROM parsed WHERE series_key IS NOT NULL AND series <> '' GROUP BY series")
+def refine_labels(spark, sf_dir):
+    """Names of series that a model is asked about, with the key that each had first."""
+    return refine.labels(stage(_annotated(spark, sf_dir).select("ord", "parsed", "series_key"), "annotated"))
+
+
+@query(
+    f"""WITH {PARSED_SQL}, g AS (SELECT group_key, row_number() OVER (ORDER BY fresh DESC, first_at) AS group_rank FROM sums WHERE n_items > 1),
+    i AS (SELECT ord, group_rank, episode, published, k.group_key IS NOT NULL AS late, passed, place FROM keyed k LEFT JOIN g ON g.group_key = k.group_key)
+    SELECT ord, row_number() OVER (ORDER BY group_rank NULLS LAST, episode DESC NULLS LAST, published DESC, CASE WHEN group_rank IS NULL THEN late END, passed, place) AS place_in_list FROM i"""
+)
+def all_items(spark, sf_dir):
+    """All items of the response as one list."""
+    pruned = stage(R.best_per_episode(stage(_annotated(spark, sf_dir).drop("subtitle", "mirrors", "sources", "tags"), "annotated")), "best")
+    return R.all_items(*R.grouped(pruned)).select("ord", "place_in_list")
+
+
 @query(
     f"""WITH {PARSED_SQL} SELECT s.group_key, group_series, group_season, n_items, row_number() OVER (ORDER BY fresh DESC, first_at) AS group_rank FROM sums s WHERE n_items > 1"""
 )
@@ -172,6 +209,36 @@ def dedupe_fold(spark, sf_dir):
     return d.select("bucket", "n_merged", "ord", "id", "source", "size", "seeders", "info_hash", "published_at", F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources"))
 
 
+_FILL = "list_transform({a}, lambda x: {{'s': x.s, 'm': coalesce(x.m, list_filter({b}, lambda y: y.s = x.s)[1].m), 't': coalesce(x.t, list_filter({b}, lambda y: y.s = x.s)[1].t)}})"
+_REST = "list_filter({b}, lambda y: NOT list_contains(list_transform({a}, lambda x: x.s), y.s))"
+_UNITED = f"list_concat({_FILL}, {_REST})"
+
+
+@query(
+    f"""WITH RECURSIVE {_BUCKETS},
+    rk AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY ord) AS rn, CASE WHEN seeders IS NULL THEN 0 ELSE 4 END + CASE WHEN size IS NULL THEN 0 ELSE 2 END + CASE WHEN info_hash IS NULL THEN 0 ELSE 1 END AS score,
+      [{{'s': source, 'm': magnet_url, 't': torrent_url}}] AS own FROM bk),
+    f AS (
+      SELECT bucket, rn, source, score, own AS mirrors FROM rk WHERE rn = 1
+      UNION ALL
+      SELECT bucket, nrn, CASE WHEN w THEN nsource ELSE source END, score | nscore, CASE WHEN w THEN {_UNITED.format(a="nown", b="mirrors")} ELSE {_UNITED.format(a="mirrors", b="nown")} END
+      FROM (SELECT f.*, n.rn AS nrn, n.source AS nsource, n.score AS nscore, n.own AS nown, n.score > f.score OR (n.score = f.score AND {_PRIORITY.format("n.source")} < {_PRIORITY.format("f.source")}) AS w
+        FROM f JOIN rk n ON n.bucket = f.bucket AND n.rn = f.rn + 1)
+    ), l AS (SELECT bucket, mirrors FROM f QUALIFY rn = max(rn) OVER (PARTITION BY bucket)),
+    x AS (SELECT bucket, unnest(range(0, len(mirrors))) AS place, unnest(mirrors) AS m FROM l)
+    SELECT bucket, place, m.s AS source, m.m AS magnet_url, m.t AS torrent_url FROM x"""
+)
+def dedupe_mirrors(spark, sf_dir):
+    """Each entity's links by source, in order."""
+    links = dedupe(releases(spark, sf_dir)).select("bucket", F.posexplode("mirrors").alias("place", "m"))
+    return links.select("bucket", F.col("place").cast("long").alias("place"), "m.source", "m.magnet_url", "m.torrent_url")
+
+
+@query(r"SELECT ord, nullif(regexp_extract(magnet_url, 'xt=urn:btih:([a-zA-Z0-9]+)', 1), '') AS hash FROM releases".join((f"WITH {RELEASES_SQL} ", "")))
+def magnet_hashes(spark, sf_dir):
+    return releases(spark, sf_dir).select("ord", X.magnet_hash(F.col("magnet_url")).alias("hash"))
+
+
 @query(
     """WITH t AS (SELECT c_custkey, translate(left(upper(md5(CAST(c_custkey AS VARCHAR))), 32), '0189', 'WXYZ') AS b FROM customer)
     SELECT c_custkey, lower(list_reduce(list_prepend('', list_transform(range(0, 8), lambda g:
@@ -294,6 +361,23 @@ def group_ranking(spark, sf_dir):
     return series.group_ranking(titles.with_parsed(rows))
 
 
+@query(
+    f"""WITH RECURSIVE {SERIES_SQL}, v AS (SELECT series_key AS key, ord FROM se), {_NOISE},
+    e0 AS (SELECT a, b FROM ae UNION {_CONTAINED} UNION SELECT first, key FROM (SELECT key, arg_min(key, ord) OVER (PARTITION BY name) AS first FROM nz WHERE length(name) >= 6) WHERE key <> first),
+    e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+    reach(x, y) AS (SELECT a, a FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y),
+    c AS (SELECT x AS key, min(y) AS comp FROM reach GROUP BY x),
+    m AS (SELECT c.key, first_value(c.key) OVER (PARTITION BY comp ORDER BY length(c.key), v.ord) AS canonical FROM c JOIN v ON v.key = c.key)
+    SELECT 'key' AS kind, key AS name, canonical AS value FROM m WHERE key <> canonical
+    UNION ALL SELECT DISTINCT 'group', n, CAST(score AS VARCHAR) FROM parsed JOIN (VALUES {_SCORES}) AS r(n, score) ON n = lower(grp)"""
+)
+def rule_pair(spark, sf_dir):
+    """What the rules give for all releases: keys with their canonical key, groups with their standing."""
+    rows = stage(_annotated(spark, sf_dir).select("ord", "title", "parsed", "series_key", "group"), "annotated")
+    remap, ranking = series.remap(series.entries(rows)), series.group_ranking(rows)
+    return remap.select(F.lit("key").alias("kind"), F.col("key").alias("name"), F.col("canonical").alias("value")).unionByName(ranking.select(F.lit("group").alias("kind"), "name", F.col("score").cast("string").alias("value")))
+
+
 @query(
     """SELECT event_type, event_id, rn - 1 AS place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)
     WHERE rn > 10 AND rn <= 30"""
@@ -310,6 +394,38 @@ def feed_items(spark, sf_dir):
     return p.select("page_id", F.col("pos").cast("long").alias("pos"), "block")
 
 
+_FEED_ID = "conv_id || '-' || turn"
+
+
+@query(
+    f"""WITH t AS (SELECT *, {_FEED_ID} AS place, md5(text) || left(md5(text), 8) AS hash, trim(text) AS title, turn % 3 = 0 AS rich, turn % 2 = 0 AS even, turn % 4 AS q FROM conversations)
+    SELECT 'rich' AS kind, CASE WHEN even THEN 'g' || place WHEN rich THEN hash ELSE 'nyaa-' || title END AS id, md5(title) AS title, role AS subtitle, '2025-07-01T12:34:56.000Z' AS published_at, q || '.5 MiB' AS size,
+      CASE q WHEN 0 THEN conv_id WHEN 1 THEN 3 WHEN 2 THEN 1000 END AS seeders, CASE WHEN rich THEN hash END AS info_hash, CASE WHEN rich THEN 'magnet:?xt=urn:btih:' || hash END AS magnet, 'https://x.example/' || place || '?a=1&b=2' AS torrent_url, CASE WHEN even THEN 'g' || place END AS detail_url, role AS tags FROM t
+    UNION ALL SELECT 'magnet', 'https://x.example/' || place || '?a=1&b=2', md5(title), NULL, '2025-07-01T12:34:56.000Z', NULL, NULL, NULL, CASE WHEN rich THEN 'magnet:?xt=urn:btih:' || hash END, NULL, 'https://x.example/' || place || '?a=1&b=2', '' FROM t
+    UNION ALL SELECT 'file', 'https://x.example/' || place || '?a=1&b=2', md5(title), NULL, '2025-07-01T12:34:56.000Z', NULL, NULL, NULL, NULL, CASE WHEN rich THEN 'magnet:?xt=urn:btih:' || hash ELSE 'https://f.example/' || place END, 'https://x.example/' || place || '?a=1&b=2', '' FROM t"""
+)
+def rss_items(spark, sf_dir):
+    """Conversations as feeds, a turn an item, read by each of the three kinds of feeds."""
+    c, lit = F.col, F.lit
+    place = F.concat(c("conv_id").cast("string"), lit("-"), c("turn").cast("string"))
+    digest = F.concat(F.md5("text"), F.left(F.md5("text"), lit(8)))
+    element = lambda name, body: F.concat(lit(f"<{name}>"), body, lit(f"</{name}>"))
+    title = F.when(c("turn") % 2 == 0, F.concat(lit(" <![CDATA["), "text", lit("]]> "))).otherwise(c("text"))
+    rich, url = c("turn") % 3 == 0, F.concat(lit("https://f.example/"), place)
+    count = F.get(F.array(c("conv_id").cast("string"), lit(" 3.9 "), lit("1e3"), lit("many")), (c("turn") % 4).cast("int"))
+    item = F.concat(
+        lit("<item>"), element("title", title), element("link", F.concat(lit("https://x.example/"), place, lit("?a=1&amp;b=2"))), F.when(c("turn") % 2 == 0, element("guid", F.concat(lit("g"), place))).otherwise(""),
+        lit("<pubDate>Tue, 01 Jul 2025 12:34:56 +0000</pubDate>"), element("nyaa:category", c("role")), element("nyaa:size", F.concat((c("turn") % 4).cast("string"), lit(".5 MiB"))), element("nyaa:seeders", count),
+        F.when(rich, element("nyaa:infoHash", digest)).otherwise(""), lit('<enclosure type="x" url="'), F.when(rich, F.concat(lit("magnet:?xt=urn:btih:"), digest)).otherwise(url), lit('"/></item>\n'),
+    )
+    feed = table(spark, sf_dir, "conversations").select("conv_id", "turn", item.alias("item")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "item"))).alias("i"))
+    rows = feeds.items_of(feed.select(F.concat(lit("<rss>"), F.array_join(c("i.item"), ""), lit("</rss>")).alias("xml")))
+    out = []
+    for kind, read in (("rich", feeds.rich_feed), ("magnet", feeds.magnet_feed), ("file", feeds.file_feed)):
+        out.append(read(rows).select(lit(kind).alias("kind"), "id", F.md5("title").alias("title"), "subtitle", "published_at", "size", "seeders", "info_hash", F.regexp_replace("magnet_url", "&dn=.*", "").alias("magnet"), "torrent_url", "detail_url", F.array_join("tags", ",").alias("tags")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 _DECODE = "replace(replace(replace(replace(replace({}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')"
 
 
@@ -367,12 +483,35 @@ def episode_label(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", X.episode_label(s, e).alias("label"))
 
 
+_SCRIPTS = ("機動戰士 ", "机动战士 ", "plain ", "アニメ ")
+
+
 @query(
-    """SELECT * FROM (VALUES ('機動戰士', 'traditional', '机动战士'), ('机动战士', 'simplified', '机动战士'), ('plain text', NULL, 'plain text'), ('アニメ', NULL, 'アニメ')) AS t(text, script, folded)"""
+    f"""SELECT c_custkey, t || c_name AS text, CASE c_custkey % 4 WHEN 0 THEN 'traditional' WHEN 1 THEN 'simplified' END AS script, CASE WHEN c_custkey % 4 = 0 THEN '{_SCRIPTS[1]}' ELSE t END || c_name AS folded
+    FROM (SELECT *, [{", ".join(f"'{t}'" for t in _SCRIPTS)}][CAST(c_custkey % 4 AS INT) + 1] AS t FROM customer)"""
 )
 def script_detect(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("機動戰士", "机动战士", "plain text", "アニメ")], "text string")
-    return rows.select("text", X.script(F.col("text")).alias("script"), X.simplified(F.col("text")).alias("folded"))
+    text = F.concat(F.get(F.array(*map(F.lit, _SCRIPTS)), (F.col("c_custkey") % 4).cast("int")), F.col("c_name"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return rows.select("c_custkey", "text", X.script(F.col("text")).alias("script"), X.simplified(F.col("text")).alias("folded"))
+
+
+_NUMERALS = "一二三四五六七八九十"
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN p_partkey % 14 = 13 THEN NULL WHEN k BETWEEN 1 AND 10 THEN k END AS season, CASE WHEN p_partkey % 14 < 13 THEN 5 END AS episode, CASE WHEN p_partkey % 14 < 13 THEN p_name END AS series,
+      CASE WHEN p_partkey % 14 < 13 THEN 'G' || p_partkey END AS grp FROM (SELECT *, p_partkey % 14 AS k FROM part)"""
+)
+def season_titles(spark, sf_dir):
+    """Seasons by numerals of either script (one, eleven and nought are none), and titles that are empty or null."""
+    k = (F.col("p_partkey") % 14).cast("int")
+    many = F.when(k.between(1, 10), F.substr(F.lit(_NUMERALS), k, F.lit(1))).when(k == 11, "十一").otherwise("0")
+    numeral = F.when((F.col("p_partkey") % 3 == 0) & (k <= 10), k.cast("string")).otherwise(many)
+    marked = F.concat(F.lit("["), F.lit("G"), F.col("p_partkey").cast("string"), F.lit("] "), "p_name", F.lit(" 第"), numeral, F.when(F.col("p_partkey") % 2 == 0, "季").otherwise("期"), F.lit(" - 05"))
+    title = F.when(k < 13, marked).when(F.col("p_partkey") % 2 == 0, "")
+    p = titles.with_parsed(table(spark, sf_dir, "part").select("p_partkey", title.alias("title")))
+    return p.select("p_partkey", "parsed.season", "parsed.episode", "parsed.series", F.col("parsed.group").alias("grp"))
 
 
 def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,6 +641,15 @@ def zip_archives(spark, sf_dir):
     return built.select("archive", "n_files", "n_errors", "error", archive.crc(F.col("data")).alias("crc"), F.octet_length("data").alias("n_bytes"))
 
 
+@query(
+    """WITH g AS (SELECT doc_id // 100 AS archive, doc_id % 17 = 3 OR doc_id % 19 = 5 AS bad FROM documents), c AS (SELECT archive, count_if(NOT bad) AS good, count_if(bad) AS n_errors FROM g GROUP BY archive)
+    SELECT archive, good + CASE WHEN good > 0 AND n_errors > 0 THEN 1 ELSE 0 END AS n_files, n_errors, CASE WHEN good = 0 THEN 'no file could be archived' END AS error FROM c"""
+)
+def zip_counts(spark, sf_dir):
+    """Files and errors of each archive, the list of errors being a file; archives without a good file have an error themselves."""
+    return archive.archives(_files(spark, sf_dir)).select("archive", "n_files", "n_errors", "error")
+
+
 def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = releases(spark, sf_dir).select("ord", "title", "magnet_url", "torrent_url", F.substring_index("title", "]", 1).alias("group_key"))
     return rows, rows.where("ord % 7 = 0").select("ord")  # the user's selection

@@ -64,13 +64,13 @@ def items_of(feed: DataFrame, tag: str = "item") -> DataFrame:
 
 
 def rich_feed(rows: DataFrame, source: str = "nyaa") -> DataFrame:
-    """Feed whose items carry hash, category, counts and size in elements of its own namespace."""
+    """Feed whose items carry hash, category, counts and size in elements of its own namespace; a count with a fraction is cut to a whole one."""
     b = F.col("block")
     own = lambda name: text_of(b, f"{source}:{name}")
     title, link, guid, digest, category = _title(b), text_of(b, "link"), text_of(b, "guid"), own("infoHash"), own("category")
     return _item(
         rows, source, id=F.coalesce(guid, digest, F.concat(F.lit(f"{source}-"), title)), title=title, subtitle=category, published_at=X.iso_date(text_of(b, "pubDate")),
-        size=own("size"), seeders=X.number(own("seeders")), leechers=X.number(own("leechers")), info_hash=digest, magnet_url=X.magnet(digest, title), torrent_url=link,
+        size=own("size"), seeders=X.number(own("seeders")).try_cast("long"), leechers=X.number(own("leechers")).try_cast("long"), info_hash=digest, magnet_url=X.magnet(digest, title), torrent_url=link,
         detail_url=guid, tags=F.when(category.isNotNull(), F.array(category)).otherwise(F.array().cast("array<string>")),
     )
 

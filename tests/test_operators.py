@@ -7,6 +7,7 @@ import zipfile
 import duckdb
 from pyspark.sql import functions as F
 
+from marlstone.functions import text
 from marlstone.operators import archive, cache, refine, releases, series
 from marlstone.operators.dedupe import ITEM, dedupe
 from marlstone.operators.graph import connected_components
@@ -225,3 +226,9 @@ def test_components_of_a_hub_beyond_one_task(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(sizes) > 4 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_numbers_of_feeds(spark):
+    texts = ["7", " 3.5 ", "1e3", ".5", "-2", "0x1F", "1d", "NaN", "Infinity", "1e999", "", None, "12a"]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.number(F.col("t")).alias("n")).collect()]
+    assert got == [7.0, 3.5, 1000.0, 0.5, -2.0, None, None, None, None, None, None, None, None]
