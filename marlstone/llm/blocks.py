@@ -1,7 +1,7 @@
 """Counts of keys over all documents, brought back to the documents that hold them.
 
 Joining (document, key) rows with a table of key counts would shuffle each row twice. Here
-documents are taken in blocks of about half a million entries. A block sends each range of the
+documents are taken in blocks of half a million entries or more. A block sends each range of the
 hashed key space one byte string of its sorted keys (differences of neighbours, by byte
 planes, which the shuffle's compression shrinks to the bytes that carry information). The
 task of a range counts its keys over all blocks and answers each block, and the answers of a
@@ -13,16 +13,23 @@ frequent key costs its range depends on the number of blocks, not of documents.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BLOCK_ENTRIES = 500_000
-BLOCK_DOCS = 30_000
-#: Entries that a range holds on average.
-RANGE_ENTRIES = 2_000_000
+#: Entries of a block and of a range on average, for small tables and at most.
+BLOCK_ENTRIES, MOST_BLOCK = 500_000, 2_000_000
+RANGE_ENTRIES, MOST_RANGE = 2_000_000, 4_000_000
+#: Entries that a block should send to a range: blocks and then ranges grow with the data until their bounds for it.
+SENT_ENTRIES = 2000
+#: Entries of a block for each document that it may hold.
+DOC_ENTRIES = 16
 
 SCHEMA = "bucket long, blk binary, kind int, payload binary"
 U64 = np.uint64
@@ -58,9 +65,31 @@ def sums(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=U64)
 
 
-def ranges_for(entries: int) -> int:
-    """Ranges of the key space for a number of entries: a power of two."""
-    return 1 << max(4, int(max(1, entries // RANGE_ENTRIES) - 1).bit_length())
+class Layout(NamedTuple):
+    """How a number of entries is dealt out: ranges of the key space, a power of two, and entries of a block."""
+
+    ranges: int
+    block: int
+
+
+def layout(entries: int) -> Layout:
+    size = RANGE_ENTRIES
+    while True:
+        ranges = 1 << max(4, int(max(1, entries // size) - 1).bit_length())
+        if ranges * SENT_ENTRIES <= MOST_BLOCK or size >= MOST_RANGE:
+            return Layout(ranges, min(max(BLOCK_ENTRIES, ranges * SENT_ENTRIES), MOST_BLOCK))
+        size *= 2
+
+
+def by_range(sent: DataFrame, ranges: int, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``answer`` of all rows of each range. A range is a task of its own, dealt by number, so no task gets two where another gets none."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from answer(pa.Table.from_batches(held)).to_batches()
+
+    return sent.repartitionById(ranges, F.col("bucket").cast("int")).mapInArrow(run, schema)
 
 
 class Block:
@@ -70,10 +99,10 @@ class Block:
     the same blocks again.
     """
 
-    def __init__(self, ranges: int, number: int):
+    def __init__(self, at: Layout, number: int):
         self.blk = struct.pack(">QQ", TaskContext.get().partitionId(), number)
-        self.shift = U64(64 - (ranges.bit_length() - 1))
-        self.ranges = ranges
+        self.ranges, self.most = at
+        self.shift = U64(64 - (self.ranges.bit_length() - 1))
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.marked: list[bool] = []
@@ -90,7 +119,7 @@ class Block:
 
     @property
     def full(self) -> bool:
-        return self.size >= BLOCK_ENTRIES or len(self.info) >= BLOCK_DOCS
+        return self.size >= self.most or len(self.info) >= self.most // DOC_ENTRIES
 
     def rows(self) -> tuple[list[tuple], bytes]:
         """Rows (bucket, blk, 1, payload) for the ranges, and the lists of this block's shared keys."""

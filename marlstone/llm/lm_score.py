@@ -43,17 +43,17 @@ def pair_keys(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
-def _sent(ranges: int, bits: int):
+def _sent(at: B.Layout, bits: int):
     def info(block: B.Block):
         rows, lists = block.rows()
-        home = xxhash.xxh3_64_intdigest(block.blk) % ranges
+        home = xxhash.xxh3_64_intdigest(block.blk) % at.ranges
         ids = [x[0] for x in block.info]
         known = np.array([x is not None for x in ids], np.uint64)
         head = B.pack(known, np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([x[1] for x in block.info], np.uint64))
         return B.batch([*rows, (home, block.blk, 0, lists), (home, block.blk, 2, head)])
 
     def run(batches):
-        block, made = B.Block(ranges, 0), 0
+        block, made = B.Block(at, 0), 0
         for batch in batches:
             for doc, marked, text in zip(batch.column("doc_id").to_pylist(), batch.column("marked").to_pylist(), W.texts(batch.column("text")), strict=True):
                 words = W.split(text)
@@ -62,7 +62,7 @@ def _sent(ranges: int, bits: int):
                 if block.full:
                     yield info(block)
                     made += 1
-                    block = B.Block(ranges, made)
+                    block = B.Block(at, made)
         if block.info:
             yield info(block)
         del block
@@ -156,8 +156,9 @@ def _number(table: pa.Table) -> pa.Table:
 def vocabulary_size(docs: DataFrame) -> int:
     """Distinct words of all documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = docs.select("text").mapInArrow(_distinct(B.ranges_for(size // 24)), B.SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(_number, "n long").agg(F.sum("n")).first()[0] or 0
+    ranges = B.layout(size // 24).ranges
+    sent = docs.select("text").mapInArrow(_distinct(ranges), B.SCHEMA)
+    return B.by_range(sent, ranges, _number, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def entropy_difference(docs: DataFrame, targets: DataFrame, k: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,12 +175,12 @@ def entropy_difference(docs: DataFrame, targets: DataFrame, k: float = SMOOTHING
     ship(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits, ranges = KEY_BITS, B.ranges_for(size // 12)
+    bits, at = KEY_BITS, B.layout(size // 12)
     marks = targets.select(targets[id_col].cast("long").alias("doc_id")).dropna().distinct().withColumn("marked", F.lit(True))
     if marks.count() <= BROADCAST_IDS:
         marks = F.broadcast(marks)
     both = docs.join(marks, "doc_id", "left").select("doc_id", "marked", "text")
-    sent = both.mapInArrow(_sent(ranges, bits), B.SCHEMA)
-    answers = sent.groupBy("bucket").applyInArrow(_answer(bits, k, max(1, vocabulary_size(docs))), B.SCHEMA)
+    sent = both.mapInArrow(_sent(at, bits), B.SCHEMA)
+    answers = B.by_range(sent, at.ranges, _answer(bits, k, max(1, vocabulary_size(docs))), B.SCHEMA)
     out = answers.groupBy("blk").applyInArrow(_losses, _OUT)
     return out.withColumn("score", F.when(F.col("n_tokens") > 0, (F.col("loss_target") - F.col("loss_background")) / F.col("n_tokens")))

@@ -60,13 +60,13 @@ def shared_at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return low.sum(1, dtype=np.int64) if not low.size or low.max() <= 128 else _FINE[low].sum(1)
 
 
-def _sent(ranges: int, words: int):
+def _sent(at: B.Layout, words: int):
     cut = np.uint64(((1 << TOKEN_BITS) - 1) << (64 - TOKEN_BITS))
 
     def info(block: B.Block):
         rows, lists = block.rows()
         ids = [x[0] for x in block.info]
-        home = xxhash.xxh3_64_intdigest(block.blk) % ranges
+        home = xxhash.xxh3_64_intdigest(block.blk) % at.ranges
         rows.append((home, block.blk, 0, lists))
         known = np.array([x is not None for x in ids], np.uint64)
         head = B.pack(known, np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([x[1] for x in block.info], np.uint64))
@@ -74,7 +74,7 @@ def _sent(ranges: int, words: int):
         return B.batch(rows)
 
     def run(batches):
-        block, made = B.Block(ranges, 0), 0
+        block, made = B.Block(at, 0), 0
         for batch in batches:
             tags = batch.column(2).to_pylist() if batch.num_columns > 2 else [b""] * batch.num_rows
             for doc, text, tag in zip(batch.column(0).to_pylist(), W.texts(batch.column(1)), tags, strict=True):
@@ -83,7 +83,7 @@ def _sent(ranges: int, words: int):
                 if block.full:
                     yield info(block)
                     made += 1
-                    block = B.Block(ranges, made)
+                    block = B.Block(at, made)
         if block.info:
             yield info(block)
         del block
@@ -264,9 +264,8 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, tag, c) of each row (doc_id, text, and a tag of ``TAG`` bytes if there is one); texts of equal c are linked if n > 0."""
     ship(docs.sparkSession)
     entries = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = B.ranges_for(entries // 6)
-    sent = docs.mapInArrow(_sent(ranges, words), B.SCHEMA)
-    answers = sent.groupBy("bucket").applyInArrow(_answer, B.SCHEMA)
+    at = B.layout(entries // 6)
+    answers = B.by_range(docs.mapInArrow(_sent(at, words), B.SCHEMA), at.ranges, _answer, B.SCHEMA)
     found = stage(answers.groupBy("blk").applyInArrow(_prefixes(num, den, "tag" in docs.columns), _DONE), "op2-docs")
     alive = found.where("prefix IS NOT NULL")
     posts, size = alive.agg(F.sum(F.size("prefix")), F.sum(F.length("tokens") + 8 * F.size("prefix") + SUFFIX_PARTS)).first()
