@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
-from marlstone.llm.token_files import encoder, slices
+from marlstone.llm.token_files import SUMMED, VERIFIED, encoder, slices
 from marlstone.session import ship
 from marlstone.staging import Staged, new_path
 
@@ -37,7 +37,7 @@ TASK_IDS = 4_000_000
 #: Counts of (task, length) of pieces left over that are broadcast; more are joined by a shuffle of those pieces.
 BROADCAST_COUNTS = 200_000
 #: Bytes of input that a task takes at least where there are more tasks than cores, and tasks beyond which that is left alone.
-LEAST_BYTES, MOST_TASKS = 8 << 20, 1 << 20
+LEAST_BYTES, MOST_TASKS = 4 << 20, 1 << 20
 #: Files of small tables, and ids of a file of the pieces left over.
 FILES, FILE_IDS = 8, 1 << 24
 #: Sequences of a task are numbered from its own number times 2^32, those of the pieces left over from here.
@@ -202,7 +202,7 @@ def pack(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_49
     # Tasks of a few rows have little to choose from and leave small files.
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, min(-(-size // LEAST_BYTES), MOST_TASKS)))
-    rows.mapInArrow(_packed(tokenizer, end_id, capacity, task_ids), WRITTEN).write.parquet(f"{path}/full")
+    rows.mapInArrow(_packed(tokenizer, end_id, capacity, task_ids), WRITTEN).write.options(**SUMMED).parquet(f"{path}/full")
     left = spark.read.schema(WRITTEN).parquet(f"{path}/full").where("sequence_id IS NULL").drop("sequence_id", "offset")
     counts = Staged(left.groupBy("part", "length").agg(F.count("*").alias("n")).coalesce(FILES), "pack-counts")
     # At most ``capacity`` rows, and a plan of at most as many kinds of sequences as their lengths can be used up.
@@ -216,13 +216,13 @@ def pack(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_49
     sequence, offset = F.expr("first + (slot - low) div each") + REST, F.col("at") + (F.col("slot") - F.col("low")) % F.col("each") * F.col("length")
     out = put.select(sequence.alias("sequence_id"), offset.alias("offset"), "doc_id", "piece", "start", "length", "ids")
     ids = sum(n * k * times for used, times in patterns for n, k in used.items())
-    out.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").coalesce(max(FILES, ids // FILE_IDS)).write.parquet(f"{path}/rest")
+    out.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").coalesce(max(FILES, ids // FILE_IDS)).write.options(**SUMMED).parquet(f"{path}/rest")
     counts.drop()
     return path
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
-    full, rest = (spark.read.schema(PACKED).parquet(f"{path}/{k}") for k in ("full", "rest"))
+    full, rest = (spark.read.options(**VERIFIED).schema(PACKED).parquet(f"{path}/{k}") for k in ("full", "rest"))
     return full.where("sequence_id IS NOT NULL").unionByName(rest)
 
 

@@ -24,7 +24,7 @@ KEYS = ("source", "lang", "tokenizer")
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 #: Tokenizer versions that count with a pattern.
-PATTERNS = {"spaced-1": r"[^\x20\x09-\x0D]+", "alnum-1": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
+PATTERNS = {"spaced-1": r"[^\x20\x09-\x0D]+", "alnum-1": r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"}
 
 
 def _encoded(tokenizer: str):

@@ -11,7 +11,7 @@ Format: a Parquet data set whose rows are blocks, in ascending order of the docu
 A block unpacks with numpy at once, or from any id on without the ids before it. The table
 ``parts`` beside it holds ``(part, start)``: all ids before a part.
 
-Each task of the sorted documents packs its own blocks and Spark's committer puts its file in
+Each page of a file has a checksum, and a read that meets a page of another content fails. Each task of the sorted documents packs its own blocks and Spark's committer puts its file in
 place, so a lost executor costs a task. A document is never cut: one longer than a block is a
 block of its own.
 """
@@ -42,6 +42,9 @@ TASK_BYTES = 64 << 20
 #: Chunks of text whose ids a worker remembers, twice.
 MEMO_CHUNKS = 300_000
 
+#: Pages carry a checksum of their own, which readers of the format verify, on whatever store the files are.
+SUMMED, VERIFIED = {"parquet.page.write-checksum.enabled": "true"}, {"parquet.page.verify-checksum.enabled": "true"}
+
 _DATA = "part int, block int, local_start long, bits int, n_tokens long, docs array<long>, lens array<int>, payload binary"
 
 
@@ -305,17 +308,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ship(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(_blocks(tokenizer, end_id), _DATA).write.options(**PLAIN).parquet(f"{path}/data")
+    rows.mapInArrow(_blocks(tokenizer, end_id), _DATA).write.options(**PLAIN | SUMMED).parquet(f"{path}/data")
     totals = spark.read.schema(_DATA).parquet(f"{path}/data").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each task of the sort, whatever the number of documents.
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    totals.select("part", F.coalesce(before, F.lit(0)).cast("long").alias("start")).coalesce(1).write.options(**PLAIN).parquet(f"{path}/parts")
+    totals.select("part", F.coalesce(before, F.lit(0)).cast("long").alias("start")).coalesce(1).write.options(**PLAIN | SUMMED).parquet(f"{path}/parts")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with ``start``: all ids of the data set before the block."""
-    parts = spark.read.schema("part int, start long").parquet(f"{path}/parts")
-    data = spark.read.schema(_DATA).parquet(f"{path}/data")
+    parts = spark.read.options(**VERIFIED).schema("part int, start long").parquet(f"{path}/parts")
+    data = spark.read.options(**VERIFIED).schema(_DATA).parquet(f"{path}/data")
     return data.join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("local_start"))
 
 

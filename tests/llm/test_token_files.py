@@ -130,3 +130,25 @@ def test_another_operators_task_gives_the_encoder_back():
     assert T.encoder(NAME) is enc
     words.release()
     assert not T._encoders and T.encoder(NAME) is not enc
+
+
+def test_a_changed_byte_fails_the_read(spark, tmp_path):
+    """Files carry checksums of their pages, without checksum files beside them."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, f"the text number {k} " * 50) for k in range(40)], "doc_id long, text string").coalesce(1)
+    T.write_tokens(docs, f"file://{tmp_path}/t", "word_bpe_49k.json")
+    whole = T.digest(spark, f"file://{tmp_path}/t").count()
+    name = max((os.path.join(d, f) for d, _, fs in os.walk(f"{tmp_path}/t/data") for f in fs if f.endswith(".parquet")), key=os.path.getsize)
+    row = pq.ParquetFile(name).metadata.row_group(0)
+    payload = row.column(row.num_columns - 1)
+    with open(name, "r+b") as f:
+        f.seek(payload.data_page_offset + payload.total_compressed_size // 2)
+        byte = f.read(1)[0]
+        f.seek(-1, os.SEEK_CUR)
+        f.write(bytes([byte ^ 1]))
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        T.digest(spark, f"file://{tmp_path}/t").collect()
+    assert whole == 40
