@@ -25,15 +25,16 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` of the session wins. Where it is unset, a single-machine
-    session gets a temporary folder and a cluster the warehouse folder.
+    session gets a temporary folder; on a cluster no folder is known to be shared, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         app = spark.sparkContext.applicationId
         if app not in _local_roots:
             master = spark.sparkContext.master
-            single = master == "local" or master.startswith("local[")
-            _local_roots[app] = f"file://{tempfile.mkdtemp(prefix='marlstone-')}" if single else spark.conf.get("spark.sql.warehouse.dir")
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _local_roots[app] = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         root = _local_roots[app]
     return f"{root.rstrip('/')}/marlstone/{spark.sparkContext.applicationId}"
 
