@@ -48,19 +48,18 @@ def scanned(df: DataFrame, by: list[str], order: list[Column], rank: str | None
     return whole.withColumns(out).select(*(c for c in df.columns if c not in out), *out)
 
 
-#: Parts that a group's rows are dealt over before its best are chosen.
+#: Parts over which tasks are dealt when a group's best are chosen.
 TOP_PARTS = 64
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their number from 1.
 
-    A task sends at most ``k`` rows of a group to each of ``TOP_PARTS`` parts, and these as many to the
-    group's own task, so that what one task receives depends on ``k`` and not on the group. ``k`` is a
-    bound of the answer; all rows take part. ``order`` must leave no ties for reruns to agree.
+    A task sends at most ``k`` rows of a group to one of ``TOP_PARTS`` parts, and each of these as many to the
+    group's own task, so that what a task sends or receives depends on ``k`` and the tasks, and not on the group's size.
+    ``k`` is a bound of the answer; all rows take part. ``order`` must leave no ties for reruns to agree.
     """
-    part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant")) and "map<" not in t)), F.lit(TOP_PARTS))
-    n = F.row_number()
+    n, part = F.row_number(), F.pmod(F.spark_partition_id(), F.lit(TOP_PARTS))
     first = df.withColumn("_top", part).withColumn(out, n.over(Window.partitionBy(*by, "_top").orderBy(*order))).where(F.col(out) <= k).drop("_top", out)
     last = first.withColumn(out, n.over(Window.partitionBy(*by).orderBy(*order))).where(F.col(out) <= k)
     return last.withColumn(out, F.col(out).cast("long"))
