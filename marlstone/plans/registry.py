@@ -14,6 +14,7 @@ from marlstone.operators import archive, cache, gathering, refine, series
 from marlstone.operators import releases as R
 from marlstone.operators.dedupe import dedupe, keyed, with_keys
 from marlstone.operators.graph import connected_components
+from marlstone.operators.ranking import numbered
 from marlstone.plans import search as S
 from marlstone.sources import answers, feeds, files
 from marlstone.sources.releases import RELEASES_SQL, releases
@@ -797,7 +798,78 @@ def tag_labels(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", feeds.tag_label(F.parse_json(json)).alias("label"))
 
 
-@query()
+_TEXTS = ("5", "500", "-3", "abc", "", "7.9")
+
+
+@query(
+    f"""WITH r AS (SELECT *, c_custkey % 6 AS k, [{", ".join(f"'{t}'" for t in _TEXTS)}] AS t FROM customer),
+    n AS (SELECT *, CASE k WHEN 0 THEN 5 WHEN 1 THEN 100 WHEN 2 THEN 1 WHEN 5 THEN 7 ELSE 20 END AS n_limit, CASE k WHEN 0 THEN 500 WHEN 4 THEN 7 WHEN 5 THEN 5 ELSE 0 END AS n_offset FROM r)
+    SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN lower(c_name) || ' X y' END AS keyword, CAST(n_limit AS BIGINT) AS n_limit, CAST(n_offset AS BIGINT) AS n_offset, CASE c_custkey % 3 WHEN 0 THEN 'nyaa,dmhy' ELSE '' END AS named,
+      CASE c_custkey % 4 WHEN 0 THEN 'simplified' WHEN 1 THEN 'traditional' END AS script, c_custkey % 7 <> 0 AS refined FROM n"""
+)
+def request_arguments(spark, sf_dir):
+    """Parameters of requests: the keyword cleaned, numbers within their bounds, known sources and scripts alone."""
+    c, lit = F.col("c_custkey"), F.lit
+    pick = lambda k: F.get(F.array(*map(lit, _TEXTS)), (k % 6).cast("int"))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(c % 5 > 0, F.concat(lit("\u3000 "), F.lower("c_name"), lit(" \t X\u00a0\n y "))).when(c % 2 == 0, "  ").alias("q"), pick(c).alias("limit"), pick(c + 1).alias("offset"),
+        F.when(c % 3 == 0, " nyaa ,bad,dmhy").when(c % 3 == 1, "none,").alias("sources"), F.when(c % 4 == 0, "simplified").when(c % 4 == 1, "traditional").when(c % 4 == 2, "Simplified").alias("prefer"),
+        F.when(c % 7 == 0, "0").when(c % 7 == 1, "no").alias("refine"),
+    )
+    return S.arguments(rows).select("c_custkey", "keyword", "n_limit", "n_offset", F.array_join("named", ",").alias("named"), "script", "refined")
+
+
+@query(
+    f"""WITH {RELEASES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS place FROM releases)
+    SELECT CASE source WHEN 'bangumi-moe' THEN 0 ELSE 1 END * 1099511627776 + place AS ord, id FROM r WHERE source IN ('bangumi-moe', 'nyaa') AND place >= 7 AND place < 107"""
+)
+def search_sources(spark, sf_dir):
+    """Pages of the sources that a query names, in the order of the registry; one of them fails and one is not named."""
+    rows = stage(releases(spark, sf_dir), "releases")
+
+    def load(name: str):
+        return lambda spark, query: numbered(rows.where(F.col("source") == name).withColumn("_o", F.col("ord")).drop("ord"), F.col("_o"), out="ord").drop("_o")
+
+    def broken(spark, query):
+        raise OSError("no route")
+
+    loaders = {"bangumi-moe": load("bangumi-moe"), "acg-rip": load("acg-rip"), "dmhy": broken, "nyaa": load("nyaa")}
+    items, warnings = S.read_sources(spark, S.Query("x", limit=100, offset=7, sources=("nyaa", "dmhy", "bangumi-moe")), loaders)
+    if warnings != ["dmhy: no route"]:
+        raise RuntimeError(warnings)
+    return items.select("ord", "id")
+
+
+#: crc32 of a text of ASCII, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+
+
+@query(f"SELECT c_custkey, {_CRC.format('c_name')} AS crc FROM customer")
+def zip_crc(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", archive.crc(F.encode("c_name", "UTF-8")).alias("crc"))
+
+
+def _response_sql() -> str:
+    """The whole search: records folded to entities, their titles parsed, series joined by the rules, best releases, groups and the rest."""
+    fold = ORACLE_SQL["dedupe_fold"]
+    raw = fold[: fold.rindex("SELECT bucket, rn AS n_merged")].replace("releases AS (", "raw_items AS (", 1).replace("FROM releases)", "FROM raw_items)")
+    rules = ORACLE_SQL["rule_pair"]
+    rules = rules[: rules.rindex("SELECT 'key' AS kind")].split("WITH RECURSIVE ", 1)[1].replace(RELEASES_SQL.strip() + ",", "", 1)
+    return f"""{raw},
+    last AS (SELECT * FROM f QUALIFY rn = max(rn) OVER (PARTITION BY bucket)),
+    releases AS (SELECT l.first_ord AS ord, l.id, r.title, l.source, l.published, l.size, l.seeders FROM last l JOIN raw_items r ON r.id = l.id),
+    {rules},
+    canon AS (SELECT slots.*, coalesce(m.canonical, series_key) AS canonical FROM slots LEFT JOIN (SELECT * FROM m WHERE key <> canonical) m ON m.key = series_key),
+    best AS (SELECT *, CASE WHEN slot IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY canonical, coalesce(season, 0), slot) END AS spot FROM canon
+      QUALIFY slot IS NULL OR row_number() OVER (PARTITION BY canonical, coalesce(season, 0), slot ORDER BY coalesce(version, 1) DESC, coalesce(seeders, -1) DESC, res DESC, published DESC, ord) = 1),
+    kb AS (SELECT *, slot IS NULL AS late, canonical || CASE WHEN season IS NULL THEN '' ELSE '::s' || season END AS gk FROM best),
+    gs AS (SELECT gk, count(*) AS n, max(published) AS fresh, min((late, spot)) AS first_at FROM kb WHERE gk IS NOT NULL GROUP BY gk),
+    gr AS (SELECT *, row_number() OVER (ORDER BY fresh DESC, first_at) AS group_rank FROM gs WHERE n > 1)
+    SELECT ord, id, source, canonical, season, episode, row_number() OVER (PARTITION BY gk ORDER BY episode DESC NULLS LAST, published DESC, late, spot) AS item_rank, gk AS group_key, group_rank FROM kb JOIN gr USING (gk)
+    UNION ALL SELECT ord, id, source, canonical, season, episode, row_number() OVER (ORDER BY episode DESC NULLS LAST, published DESC, gk IS NOT NULL, late, spot), NULL, NULL FROM kb LEFT JOIN gs USING (gk) WHERE gk IS NULL OR n = 1"""
+
+
+@query(_response_sql())
 def search_response(spark, sf_dir):
     """The whole search over all releases: entities, rules, best releases, groups and the rest."""
     _, groups, rest = S.arranged(releases(spark, sf_dir))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as X
 from marlstone.functions.fixed import LIMIT_DEFAULT, LIMIT_MOST, SOURCES, SPACE
 from marlstone.operators import releases, series
 from marlstone.operators.cache import Store, normal_keyword
@@ -57,6 +58,22 @@ class Query:
         return re.sub(f"[{SPACE}]+", " ", self.keyword).strip(" ")
 
 
+def arguments(requests: DataFrame) -> DataFrame:
+    """``Query.of`` over a table of request parameters as texts (``q, limit, offset, sources, prefer, refine``), such as a log of requests.
+
+    Adds ``keyword`` (null where a request is refused for want of one), ``n_limit``, ``n_offset``, ``named`` (sources), ``script`` and ``refined``.
+    """
+    number = lambda c: F.floor(X.number(F.col(c)))
+    cut = lambda c, default, least, most: F.least(F.greatest(F.coalesce(F.when(number(c) < 0, F.ceil(X.number(F.col(c)))).otherwise(number(c)), F.lit(default)), F.lit(least)), F.lit(most)).cast("long")
+    known = F.filter(F.transform(F.split(F.coalesce("sources", F.lit("")), ","), X.trim), lambda x: x.isin(*SOURCES))
+    return requests.withColumns(
+        {
+            "keyword": X.empty_as_null(X.collapse(F.col("q"))), "n_limit": cut("limit", LIMIT_DEFAULT, 1, LIMIT_MOST), "n_offset": cut("offset", 0, 0, (1 << 53) - 1), "named": known,
+            "script": F.when(F.col("prefer").isin("simplified", "traditional"), F.col("prefer")), "refined": F.coalesce(F.col("refine") != "0", F.lit(True)),
+        }
+    )
+
+
 @dataclass
 class Response:
     total: int
@@ -202,7 +219,7 @@ def two_phases(spark: SparkSession, query: Query, loaders: dict[str, Loader], re
         asked = replace(query, refine=refine)
         text = _held(asked, store, now)
         if text is None:
-            ready = ready or prepared(*_read(spark, query, loaders))
+            ready = ready or prepared(*read_sources(spark, query, loaders))
             groups, rest = finished(ready, query.prefer, refiner if refine else None)
             text = response_text(Response(ready.entities.count(), groups, rest, refine, ready.warnings), query)
             if store is not None:
@@ -214,7 +231,7 @@ def two_phases(spark: SparkSession, query: Query, loaders: dict[str, Loader], re
             return
 
 
-def _read(spark: SparkSession, query: Query, loaders: dict[str, Loader]) -> tuple[DataFrame, list[str]]:
+def read_sources(spark: SparkSession, query: Query, loaders: dict[str, Loader]) -> tuple[DataFrame, list[str]]:
     """(items of all sources, warnings). A source that fails gives a warning and no rows; the others go on."""
     parts, warnings = [], []
     if normal_keyword(query.keyword):
@@ -228,6 +245,6 @@ def _read(spark: SparkSession, query: Query, loaders: dict[str, Loader]) -> tupl
 
 def search(spark: SparkSession, query: Query, loaders: dict[str, Loader], refiner: Refiner | None = None) -> Response:
     """Runs a query."""
-    ready = prepared(*_read(spark, query, loaders))
+    ready = prepared(*read_sources(spark, query, loaders))
     groups, rest = finished(ready, query.prefer, refiner if query.refine else None)
     return Response(ready.entities.count(), groups, rest, query.refine, ready.warnings)

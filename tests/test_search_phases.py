@@ -56,3 +56,17 @@ def test_groups_are_nested(spark):
     assert {g["key"]: [i["episode"] for i in g["items"]] for g in got["groups"]} == {"show": [2, 1], "other": [3, 2, 1]}
     assert got["groups"][0]["series"] in ("Show", "Other") and [i["title"] for i in got["ungrouped"]] == ["[d] Lone"] and got["total"] == 6
     assert set(got) == {"query", "total", "warnings", "groups", "ungrouped", "refined"} and "season" not in got["groups"][0]
+
+
+def test_arguments_of_many_requests_are_those_of_one(spark):
+    rows = [("a  B", "5", "2", "nyaa, dmhy", "simplified", "0"), ("x", "1e9", "-1", "bad", "other", "1"), ("x", "abc", "abc", None, None, None), ("　", None, None, "", "", ""), (None, "0", "7.9", "acg-rip,acg-rip", "traditional", "no"), ("y", "-0.5", "", ",", None, "0")]
+    names = ("q", "limit", "offset", "sources", "prefer", "refine")
+    got = S.arguments(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))).collect()
+    for row, r in zip(rows, got, strict=True):
+        params = {n: v for n, v in zip(names, row, strict=True) if v is not None}
+        try:
+            q = S.Query.of(params)
+        except ValueError:
+            assert r.keyword is None
+            continue
+        assert (r.keyword, r.n_limit, r.n_offset, tuple(r.named), r.script, r.refined) == (q.cleaned, q.limit, q.offset, q.sources, q.prefer, q.refine)
