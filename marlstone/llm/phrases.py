@@ -2,11 +2,10 @@
 
 Texts are cut into pieces and words. Each task takes a few million characters at a time, numbers
 their words, and explodes their n-grams into rows (lang, phrase, count), equal ones of the slice
-as one row; Spark's hash aggregate sums them up by language and phrase. Three rounds go from short
-to long, as an n-gram cannot be more frequent than its parts: after the words, only pairs of
-words that are frequent enough are exploded, and after the pairs only longer ones of which every
-pair is. A bitmap of fixed size says which words and pairs those are. It holds all of them and,
-by its hashes, some others, which are counted exactly like all and dropped for their count. So the
+as one row; Spark's hash aggregate sums them up by language and phrase. Words and pairs come first, then
+longer n-grams: as an n-gram cannot be more frequent than its parts, only those are exploded of which every
+pair is frequent enough. A bitmap of fixed size says which pairs those are. It holds all of them and,
+by its hashes, some others, whose n-grams are counted exactly like all and dropped for their count. So the
 result does not depend on it; where the data outgrow it, more rows are exploded.
 
 Counts of the parts come by joins with the table of frequent n-grams, whose frequent keys are dealt
@@ -21,7 +20,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
@@ -30,7 +29,7 @@ from marlstone.operators.skew import looked_up
 from marlstone.session import ship
 from marlstone.staging import Staged, stage
 
-#: Bits of the bitmaps: 8 MB, whatever the data.
+#: Bits of the bitmap: 8 MB, whatever the data.
 FILTER_BITS = 1 << 26
 #: Characters of text that are exploded at a time.
 SLICE_CHARS = 4_000_000
@@ -43,25 +42,17 @@ _PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _MULTIPLIERS = 40_503, 2_654_435, 65_599
 
 
-def _slot(lang: int, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    """Bit of a word or pair from the crc32 of its language and words."""
-    x = lang * _MULTIPLIERS[1] + first.astype(np.int64) * _MULTIPLIERS[0]
-    return (x if second is None else x + second.astype(np.int64) * _MULTIPLIERS[2]) % FILTER_BITS
+def _slot(lang: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bit of a pair from the crc32 of its language and words."""
+    return (lang * _MULTIPLIERS[1] + first * _MULTIPLIERS[0] + second * _MULTIPLIERS[2]) % FILTER_BITS
 
 
-def _slot_column(lang: Column, *words: Column) -> Column:
-    """``_slot`` in Spark."""
-    x = F.crc32(lang) * _MULTIPLIERS[1] + F.crc32(words[0]) * _MULTIPLIERS[0]
-    return (x if len(words) == 1 else x + F.crc32(words[1]) * _MULTIPLIERS[2]) % FILTER_BITS
-
-
-def _bitmap(frequent: DataFrame, n: int) -> bytes:
-    """The bits of the frequent words (``n`` 1) or pairs: at most ``FILTER_BITS`` / 8 bytes on the driver."""
-    parts = F.split("phrase", " ")
-    slot = _slot_column(F.col("lang"), *(parts[k] for k in range(n)))
-    at = frequent.where(F.col("n") == n).select(slot.alias("slot"))
+def _bitmap(pairs: DataFrame) -> bytes:
+    """The bits of the frequent pairs (lang, phrase), by the rule of ``_slot`` in Spark: ``FILTER_BITS`` / 8 bytes on the driver."""
+    word = F.split("phrase", " ")
+    slot = (F.crc32("lang") * _MULTIPLIERS[1] + F.crc32(word[0]) * _MULTIPLIERS[0] + F.crc32(word[1]) * _MULTIPLIERS[2]) % FILTER_BITS
     one = F.col("slot") + 1  # the functions count from 1
-    rows = at.groupBy(F.bitmap_bucket_number(one).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+    rows = pairs.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number(one).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
     out = np.zeros((-(-FILTER_BITS // 32768), 4096), "u1")
     for r in rows.toLocalIterator():
         out[r.b - 1] = np.frombuffer(r.bits, "u1")
@@ -103,15 +94,10 @@ def _ngrams(texts: list[bytes], lang: str, lengths: range, bits: np.ndarray | No
     ids, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     if 1 in lengths:
         yield vocabulary, np.bincount(ids)
-    if lengths[-1] == 1:
-        return
-    crc, tongue = np.fromiter(map(zlib.crc32, vocabulary.to_pylist()), np.int64, len(vocabulary)), zlib.crc32(lang.encode())
-    a, b = ids[:-1], ids[1:]
-    if 2 in lengths:
-        word = _has(bits, _slot(tongue, crc))
-        good = word[a] & word[b] & ~begins[1:]
-    else:
-        good = _has(bits, _slot(tongue, crc[a], crc[b])) & ~begins[1:]
+    good = ~begins[1:]  # pairs that an n-gram may hold
+    if bits is not None:
+        crc = np.fromiter(map(zlib.crc32, vocabulary.to_pylist()), np.int64, len(vocabulary))
+        good &= _has(bits, _slot(zlib.crc32(lang.encode()), crc[ids[:-1]], crc[ids[1:]]))
     at = np.flatnonzero(good)
     key, size = ids, len(vocabulary)
     for n in range(2, lengths[-1] + 1):
@@ -165,15 +151,18 @@ def frequent_ngrams(docs: DataFrame, least: int, max_n: int, text_col: str = "te
     def counted(lengths: range, bits) -> DataFrame:
         return rows.mapInArrow(_exploded(lengths, bits), schema).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
-    words = Staged(counted(range(1, 2), None), "phrases-words")
-    totals = words.df.groupBy("lang").agg(F.sum("f").alias("total"))
-    many = words.df.where(F.col("f") >= least).withColumn("n", F.lit(1))
-    for low, high in ((2, 2), (3, max_n)):
-        if low <= high:
-            bits = spark.sparkContext.broadcast(_bitmap(many, low - 1))
-            more = counted(range(low, high + 1), bits).where(F.col("f") >= least)
-            many = many.unionByName(stage(more.withColumn("n", F.size(F.split("phrase", " "))), "phrases"))
-            bits.unpersist()
+    sized = lambda df: df.withColumn("n", F.size(F.split("phrase", " ")))
+    short = sized(counted(range(1, 3) if max_n > 1 else range(1, 2), None))
+    # Rare n-grams end here, but for the words' sum.
+    kept = F.when(F.col("f") >= least, F.col("phrase"))
+    short = Staged(short.where((F.col("f") >= least) | (F.col("n") == 1)).groupBy("lang", kept.alias("phrase"), "n").agg(F.sum("f").alias("f")), "phrases-short")
+    totals = short.df.where("n = 1").groupBy("lang").agg(F.sum("f").alias("total"))
+    many = short.df.where("phrase IS NOT NULL").select("lang", "phrase", "f", "n")
+    if max_n > 2:
+        bits = spark.sparkContext.broadcast(_bitmap(many.where("n = 2")))
+        longer = stage(sized(counted(range(3, max_n + 1), bits).where(F.col("f") >= least)), "phrases-long")
+        bits.unpersist()
+        many = many.unionByName(longer)
     return many, totals
 
 

@@ -75,7 +75,7 @@ def test_slices_and_long_texts_change_nothing(spark, monkeypatch):
 
 def test_a_full_bitmap_costs_work_and_no_row(spark, monkeypatch):
     rows = list(texts(3, 80))
-    monkeypatch.setattr(phrases, "_bitmap", lambda frequent, n: b"\xff" * (phrases.FILTER_BITS // 8))
+    monkeypatch.setattr(phrases, "_bitmap", lambda pairs: b"\xff" * (phrases.FILTER_BITS // 8))
     assert found(spark.createDataFrame(rows, SCHEMA), least=5) == brute(rows, 5)
 
 
