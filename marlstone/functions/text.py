@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from marlstone.functions.fixed import SPACE, UNKNOWN_TIME
 
 WS = f"[{SPACE}]"
+#: The same characters as a text.
+BLANKS = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+#: Runs of punctuation and white space; the first look, of one step, passes over the letters and digits that make up most of a name.
+MARKS = rf"(?![abcdefghijklmnopqrstuvwxyz0123456789])[\p{{P}}\p{{S}}{SPACE}]+"
 #: Word boundaries of ASCII words, which Java's own boundary is not.
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
@@ -28,7 +32,7 @@ def empty_as_null(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
@@ -68,11 +72,16 @@ def _tables() -> tuple[str, str, str, str]:
 
 def simplified(c: Column) -> Column:
     """Traditional characters as simplified ones, character by character."""
-    return F.translate(c, *_tables()[:2])
+    return _in_script(c, *_tables()[:2])
 
 
 def traditional(c: Column) -> Column:
-    return F.translate(c, *_tables()[2:])
+    return _in_script(c, *_tables()[2:])
+
+
+def _in_script(c: Column, chars: str, done: str) -> Column:
+    """Characters exchanged; a text of ASCII has none of them and is left as it is."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, chars, done))
 
 
 def script(c: Column) -> Column:
@@ -83,12 +92,12 @@ def script(c: Column) -> Column:
 
 def series_key(c: Column) -> Column:
     """Name as a key: one script, lower case, punctuation as blanks."""
-    return collapse(F.regexp_replace(F.lower(simplified(c)), r"[\p{P}\p{S}]", " "))
+    return trim(F.regexp_replace(F.lower(simplified(c)), MARKS, " "))
 
 
 def title_key(c: Column) -> Column:
     """Title up to the first slash as a key: one script, lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(simplified(F.substring_index(c, "/", 1))), rf"[\p{{P}}\p{{S}}{SPACE}]+", "")
+    return F.regexp_replace(F.lower(simplified(F.substring_index(c, "/", 1))), MARKS, "")
 
 
 def magnet_hash(c: Column) -> Column:
@@ -124,9 +133,17 @@ def magnet(info_hash: Column, title: Column) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    """A time from ISO or mail-style text; null for others."""
-    bare = F.regexp_replace(trim(c), r"^[A-Za-z]{3},\s*", "")
+    """A time from ISO or mail-style text; null for others.
+
+    What begins like an ISO date is no mail-style text, so it is not tried as one: each try that fails is an exception.
+    """
+    whole = trim(c)
+    bare = F.regexp_replace(whole, r"^[A-Za-z]{3},\s*", "")
     zone = F.regexp_replace(bare, r"\s(?:GMT|UTC|UT|Z)\z", " +0000")
+    return F.when(whole.rlike(r"^\d{4}-\d\d"), F.try_to_timestamp(whole)).otherwise(_any_time(bare, zone))
+
+
+def _any_time(bare: Column, zone: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(zone, F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(F.when(bare.rlike(r"^\d{4}-\d\d"), bare)), F.try_to_timestamp(zone, F.lit("d MMM yyyy HH:mm xx")))
 
 
