@@ -105,10 +105,12 @@ def magnet_hash(c: Column) -> Column:
 
 
 def base32_hex(c: Column) -> Column:
-    """40 hex digits of a 32-character base32 text in upper case."""
-    value = lambda ch: F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ch) - 1
-    four = lambda g: reduce(lambda acc, k: acc * 32 + value(F.substring(c, g * 4 + 1 + k, F.lit(1))), range(4), F.lit(0).cast("long"))
-    return F.lower(F.concat(*(F.lpad(F.hex(four(F.lit(g))), 5, "0") for g in range(8))))
+    """40 hex digits of a 32-character base32 text in upper case.
+
+    Its digits as Spark's digits of base 32 are read 12, 12 and 8 at a time, each in a number of 60 bits at most.
+    """
+    digits = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV")
+    return F.lower(F.concat(*(F.lpad(F.conv(F.substring(digits, at, n), 32, 16), n * 5 // 4, "0") for at, n in ((1, 12), (13, 12), (25, 8)))))
 
 
 def normal_hash(c: Column) -> Column:
