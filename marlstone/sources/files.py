@@ -50,9 +50,9 @@ def fetched(requests: DataFrame, roots: list[str], spread: Column, key: str = "p
     ``spread`` tells requests apart, as one file may be wanted by many.
     """
     spark = requests.sparkSession
-    asked = stage(requests, "requests")
-    listing = stage(files_below(spark, roots).select(key_of(F.col("path")).alias(key), F.col("length").alias("n_bytes")).join(asked.select(key).distinct(), key, "left_semi"), "listing")
-    good = files_below(spark, roots).where(F.col("length") <= most).select(key_of(F.col("path")).alias(key), F.col("content").alias("data"))
+    asked, below = stage(requests, "requests"), files_below(spark, roots)  # one listing for both reads
+    listing = stage(below.select(key_of(F.col("path")).alias(key), F.col("length").alias("n_bytes")).join(asked.select(key).distinct(), key, "left_semi"), "listing")
+    good = below.where(F.col("length") <= most).select(key_of(F.col("path")).alias(key), F.col("content").alias("data"))
     status = F.when(F.col("n_bytes").isNull(), MISSING).when(F.col("n_bytes") > most, TOO_LARGE).otherwise(FOUND)
     known = looked_up(asked, listing, [key], spread).withColumn("status", status)
     return looked_up(stage(known, "requests"), good, [key], spread)

@@ -56,3 +56,16 @@ def test_a_page_is_pushed_to_the_reader(spark, tmp_path):
     low = answers.AnswerReader({"path": "x", "offset": "-4"})
     list(low.pushFilters([LessThan(("pos",), -2)]))
     assert (low.low, low.high) == (0, 0)
+
+
+def test_files_are_listed_once(spark, tmp_path, monkeypatch):
+    from marlstone.sources import files as module
+
+    (tmp_path / "1").write_text("one")
+    (tmp_path / "22").write_text("twenty-two")
+    calls, whole = [], module.files_below
+    monkeypatch.setattr(module, "files_below", lambda *a: calls.append(a) or whole(*a))
+    asked = spark.createDataFrame([(1, "1"), (2, "22"), (3, "333")], "n int, page string")
+    got = module.fetched(asked, [f"file://{tmp_path}"], F.col("n"), "page", lambda p: F.substring_index(p, "/", -1), most=5).orderBy("n").collect()
+    assert [(r.status, r.n_bytes, r.data and bytes(r.data)) for r in got] == [(200, 3, b"one"), (413, 10, None), (404, None, None)]
+    assert len(calls) == 1
