@@ -48,7 +48,11 @@ def keyed(rows: DataFrame) -> DataFrame:
     if "own_hash" not in rows.columns:
         rows = stage(with_keys(rows), "items")
     known = rows.where(_has("own_hash") & (F.col("title_key") != "")).groupBy("title_key").agg(F.min_by("own_hash", "ord").alias("alias_hash"))
-    rows = looked_up(rows, known, ["title_key"], F.col("ord")).withColumn("hash", F.coalesce("own_hash", "alias_hash"))
+    # Only rows without a hash of their own ask for one, so the others are not shuffled by their titles.
+    asks = F.col("own_hash").isNull()
+    found = looked_up(rows.where(asks), known, ["title_key"], F.col("ord"))
+    own = rows.where(~asks).withColumn("alias_hash", F.lit(None).cast("string"))
+    rows = own.unionByName(found).withColumn("hash", F.coalesce("own_hash", "alias_hash"))
     return rows.withColumn("bucket", F.when(_has("hash"), F.concat(F.lit("hash:"), "hash")).otherwise(F.concat(F.lit("title:"), F.coalesce("title_key", F.lit("")))))
 
 

@@ -232,3 +232,14 @@ def test_numbers_of_feeds(spark):
     texts = ["7", " 3.5 ", "1e3", ".5", "-2", "0x1F", "1d", "NaN", "Infinity", "1e999", "", None, "12a"]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.number(F.col("t")).alias("n")).collect()]
     assert got == [7.0, 3.5, 1000.0, 0.5, -2.0, None, None, None, None, None, None, None, None]
+
+
+def test_only_items_without_a_hash_are_looked_up_by_title(spark, monkeypatch):
+    from marlstone.operators import dedupe as module
+
+    sizes, whole = [], module.looked_up
+    monkeypatch.setattr(module, "looked_up", lambda rows, *a, **k: sizes.append(rows.count()) or whole(rows, *a, **k))
+    rows = spark.createDataFrame([(1, "a", "h1"), (2, "a", None), (3, "b", None), (4, "a", "h2"), (5, "", None), (6, None, None)], "ord long, title_key string, own_hash string")
+    got = {r.ord: r.bucket for r in module.keyed(rows).collect()}
+    assert got == {1: "hash:h1", 2: "hash:h1", 3: "title:b", 4: "hash:h2", 5: "title:", 6: "title:"}
+    assert sizes == [4]
