@@ -5,14 +5,18 @@ Within a key they are merged in order, the richer record winning and gaps being
 merge is not associative, but it has a closed form. A record's richness is a set of three
 flags, and what has been merged so far has the union of all flags before; so who wins follows
 from the first record of each (flags, source), at most a few dozen for a key. Gaps are then
-filled by the last winner, the winners before it backwards, and the losers in order. Each
-field is a minimum by that precedence, which Spark sums up before the shuffle. Lookups by title
+filled by the last winner, the winners before it backwards, and the losers in order. So the
+first records of those that have values in the same columns and one source give all that the
+merge needs, and Spark sums them up before the shuffle. Lookups by title
 and by key deal out the keys that are frequent (``skew``): one that holds a third of all rows
 never meets in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,6 @@ ITEM = (
     f"ord long, id string, title string, subtitle string, source string, sources array<string>, mirrors array<{MIRROR}>, published_at string, size string, "
     "seeders long, leechers long, info_hash string, magnet_url string, torrent_url string, detail_url string, tags array<string>"
 )
-_FILLED = ("size", "info_hash", "magnet_url", "torrent_url", "detail_url", "subtitle")
 
 
 def _has(c: str) -> Column:
@@ -70,46 +73,141 @@ def _winners(cands: Column) -> Column:
     return F.aggregate(cands, first, step, lambda s: s.won)
 
 
-def dedupe(items: DataFrame) -> DataFrame:
+#: Bits that say which titles are shared, in words of 64: at most 2^20 rows of two numbers are broadcast.
+BITS = 1 << 26
+_TEXTS = ("size", "magnet_url", "torrent_url", "detail_url", "subtitle", "published_at")
+_LINKS = ("magnet_url", "torrent_url", "detail_url")
+
+
+def _digest(c: Column) -> Column:
+    """128 bits of a text, in place of a long key."""
+    return F.unhex(F.md5(c))
+
+
+def _shared_titles(whole: DataFrame) -> DataFrame:
+    """``key, alias_hash, bucket_key`` of the titles that a record without a hash shares with any other record, summed before the shuffle."""
+    short = F.col("own_hash").rlike(r"^[0-9a-f]{40}\z")  # such a hash goes as 20 bytes
+    gives = _has("own_hash") & (F.coalesce("title_key", F.lit("")) != "")
+    given = F.struct("ord", F.when(short, F.unhex("own_hash")).alias("bytes"), F.when(~short, F.col("own_hash")).alias("text"))
+    sums = whole.groupBy(_digest(F.coalesce("title_key", F.lit(""))).alias("key")).agg(F.count_if(~_has("own_hash")).alias("n"), F.min(F.when(gives, given)).alias("given"))
+    alias = F.coalesce(F.lower(F.hex("given.bytes")), F.col("given.text"))
+    return sums.where((F.col("n") > 1) | ((F.col("n") > 0) & F.col("given").isNotNull())).select("key", alias.alias("alias_hash"), _digest(F.concat(F.lit("hash:"), alias)).alias("bucket_key"))
+
+
+def _may_share(rows: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
+    """Adds ``shares`` to rows with ``key``: true for all keys of ``shared`` and, by a bitmap, for a few others."""
+    place = F.xxhash64("key").bitwiseAND(bits - 1)
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} & 63 AS INT))")
+    words = shared.select(place.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit("_at")).alias("_bits"))
+    rows = rows.withColumn("_at", place).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word", "left")
+    return rows.withColumn("shares", F.coalesce(F.col("_bits").bitwiseAND(bit("_at")) != 0, F.lit(False))).drop("_word", "_bits", "_at")
+
+
+def _link(of: Callable[[str], Column]) -> Column:
+    return F.struct(of("source").alias("source"), *(X.empty_as_null(of(c)).alias(c) for c in _LINKS)).cast(MIRROR)
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """The entities of records that share neither hash nor title and bring no links of others."""
+    text = lambda c: X.empty_as_null(F.col(c)).alias(c)
+    sources = F.array_distinct(F.coalesce("sources", F.array("source")))
+    return rows.select(
+        F.concat(F.lit("title:"), F.coalesce("title_key", F.lit(""))).alias("bucket"), F.lit(1).cast("long").alias("n_merged"), "ord", "id", "title", "source", *(text(c) for c in _TEXTS if c != "published_at"),
+        X.empty_as_null(F.col("own_hash")).alias("info_hash"), "seeders", "leechers", F.when(F.col("time").isNotNull(), F.col("published_at")).otherwise(X.empty_as_null(F.col("published_at"))).alias("published_at"),
+        F.when(F.size(sources) > 0, sources).alias("sources"), F.array(_link(F.col)).alias("mirrors"), F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"),
+    )
+
+
+def _cells(pool: DataFrame) -> DataFrame:
+    """The first record of each cell, with ``n`` records in it and the latest time: all that a bucket's merge needs of them, but for lists."""
+    has = [_has(c) for c in ("info_hash", "own_hash", *_TEXTS)] + [F.col(c).isNotNull() for c in ("seeders", "leechers", "sources")] + [F.coalesce(F.size("mirrors"), F.lit(0)) > 0]
+    mask = reduce(Column.__add__, (F.when(h, 1 << k).otherwise(0) for k, h in enumerate(has)))
+    # A hash of blanks counts as none in a bucket's first record alone, so such records do not stand for each other.
+    blank = F.when(_has("info_hash") & ~_has("own_hash"), F.col("ord"))
+    record = F.struct("id", "title", "info_hash", "own_hash", F.when(~_has("own_hash"), F.col("title_key")).alias("title_key"), *_TEXTS, "seeders", "leechers", "sources", "mirrors", "tags")
+    time = F.when(F.col("time").isNotNull(), F.struct(F.unix_micros("time").alias("t"), (-F.col("ord")).alias("b"), "published_at"))
+    rows = pool.select("key", "asks", mask.alias("mask"), "source", blank.alias("blank"), "ord", record.alias("record"), time.alias("late"))
+    return rows.groupBy("key", "asks", "mask", "source", "blank").agg(F.min("ord").alias("ord"), F.min_by("record", "ord").alias("record"), F.count("*").alias("n"), F.max("late").alias("late"))
+
+
+def _in_turn(cells: DataFrame) -> DataFrame:
+    """A row for each bucket with its cells' first records, at most some hundred, in order of precedence."""
+    priority = F.array_position(F.array(*map(F.lit, SOURCE_PRIORITY)), F.col("source")).cast("int") - 1
+    own = _has("record.own_hash")
+    rich = F.when(F.col("record.seeders").isNotNull(), 4).otherwise(0) + F.when(_has("record.size"), 2).otherwise(0)
+    cell = F.struct("ord", rich.alias("rich"), _has("record.info_hash").alias("raw"), own.alias("own"), priority.alias("priority"), "source", "record", "late", "hash")
+    rows = cells.groupBy("bucket_key").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("n").alias("n_merged"))
+    flags = lambda x, k: x.rich + F.when(F.when(k == 0, x.own).otherwise(x.raw), 1).otherwise(0)
+    rows = X.once(rows, won=_winners(F.transform("cells", lambda x, k: F.struct(x.ord.alias("ord"), flags(x, k).alias("flags"), x.priority.alias("priority")))))
+
+    def turned(x, k):
+        won = F.array_contains("won", x.ord)
+        info_hash = F.when(k == 0, x.record.own_hash).otherwise(x.record.info_hash)
+        return F.struct(F.when(won, 0).otherwise(1).alias("lost"), F.when(won, -x.ord).otherwise(x.ord).alias("at"), x.source.alias("source"), x.record.withField("info_hash", info_hash).alias("record"), x.late.alias("late"))
+
+    return rows.select("bucket_key", "n_merged", F.get("cells", 0).alias("first"), F.array_sort(F.transform("cells", turned)).alias("cells"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """What the cells give but for lists."""
+    has = lambda v: F.coalesce(v, F.lit("")) != ""
+    first = lambda c, ok: F.get(F.filter("cells", lambda x: ok(x.record[c])), 0).record[c]
+    rows = rows.withColumn("latest", F.array_max(F.transform("cells", lambda x: x.late.t)))
+    # Of the records at the latest time the last winner comes first, then the first loser. A winner is its cell's first record.
+    at_last = lambda x: x.late.t == F.col("latest")
+    winner = F.get(F.filter("cells", lambda x: at_last(x) & (x.lost == 0) & (x.late.b == x["at"])), 0).late.published_at
+    other = F.array_max(F.transform(F.filter("cells", at_last), lambda x: x.late)).published_at
+    top = F.get("cells", 0)
+    bucket = F.when(F.col("first.hash").isNotNull(), F.concat(F.lit("hash:"), "first.hash")).otherwise(F.concat(F.lit("title:"), F.coalesce("first.record.title_key", F.lit(""))))
+    return rows.select(
+        "bucket_key", bucket.alias("bucket"), "n_merged", F.col("first.ord").alias("ord"), top.record.id.alias("id"), top.record.title.alias("title"), top.source.alias("source"),
+        *(first(c, has).alias(c) for c in ("size", "info_hash", "magnet_url", "torrent_url", "detail_url", "subtitle")), *(first(c, Column.isNotNull).alias(c) for c in ("seeders", "leechers")),
+        F.coalesce(winner, other, first("published_at", has)).alias("published_at"),
+    )
+
+
+def dedupe(items: DataFrame, bits: int = BITS) -> DataFrame:
     """One row for each bucket, ``ord`` being its first record's place, with ``n_merged``.
 
     Columns as in ``ITEM``; ``sources``, ``mirrors`` and ``tags`` are sets in order of precedence.
+
+    Records that share neither hash nor title are not shuffled in whole. Of the others a cell holds those of one hash or title
+    that have values in the same columns and one source. Its first record has all that the cell can give but for lists, so cells
+    are summed before the shuffle, and they alone are looked up by title and put together, at most some hundred for a bucket.
     """
-    whole = stage(X.once(with_keys(items), time=X.timestamp(F.col("published_at"))), "items")
-    priority = F.array_position(F.array(*map(F.lit, SOURCE_PRIORITY)), F.col("source")).cast("int") - 1
-    rich = F.when(F.col("seeders").isNotNull(), 4).otherwise(0) + F.when(_has("size"), 2).otherwise(0)
-    # Who wins is found on narrow rows; the items themselves are shuffled once, by their place.
-    narrow = whole.select("ord", "title_key", "own_hash", rich.alias("rich"), _has("info_hash").alias("raw"), priority.alias("priority"))
-    rows = stage(keyed(narrow).select("ord", "bucket", "rich", "raw", _has("own_hash").alias("own"), "priority"), "keyed")
-    heavy = stage(heavy_keys(rows, ["bucket"]), "heavy")
-    rows = looked_up(rows, rows.groupBy("bucket").agg(F.min("ord").alias("first_ord")), ["bucket"], F.col("ord"), "inner", heavy)
-    is_first = F.col("ord") == F.col("first_ord")
-    flags = F.col("rich") + F.when(F.when(is_first, F.col("own")).otherwise(F.col("raw")), 1).otherwise(0)
-    rows = stage(rows.select("ord", "bucket", is_first.alias("is_first"), flags.alias("flags"), "priority"), "flags")
-    cands = rows.groupBy("bucket", "flags", "priority").agg(F.min("ord").alias("ord")).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("ord", "flags", "priority"))).alias("c"))
-    rows = looked_up(rows, cands.select("bucket", _winners(F.col("c")).alias("won")), ["bucket"], F.col("ord"), "inner", heavy)
-    won = F.array_contains("won", F.col("ord"))
-    turn = F.struct(F.when(won, 0).otherwise(1).alias("lost"), F.when(won, -F.col("ord")).otherwise(F.col("ord")).alias("at"))
-    rows = whole.join(rows.select("ord", "bucket", "is_first", turn.alias("turn")), "ord")
-    rows = stage(rows.withColumn("info_hash", F.when(F.col("is_first"), F.col("own_hash")).otherwise(F.col("info_hash"))), "turns")
-    time = F.col("time")
-    late = F.struct(F.unix_micros(time).alias("t"), (-F.col("turn.lost")).alias("a"), (-F.col("turn.at")).alias("b"))
-    first = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("turn"))).alias(c)
-    out = rows.groupBy("bucket").agg(
-        F.min("ord").alias("ord"), F.count("*").alias("n_merged"), *(F.min_by(c, "turn").alias(c) for c in ("id", "title", "source")),
-        *(first(c, _has(c)) for c in _FILLED), *(first(c, F.col(c).isNotNull()) for c in ("seeders", "leechers")),
-        F.coalesce(F.max_by(F.when(time.isNotNull(), F.col("published_at")), F.when(time.isNotNull(), late)), first("published_at", _has("published_at"))).alias("published_at"),
-    )
-    own = F.array(F.struct(F.col("source").alias("source"), *(F.col(c).alias(c) for c in ("magnet_url", "torrent_url", "detail_url"))).cast(MIRROR))
-    mirrors = F.when(F.coalesce(F.size("mirrors"), F.lit(0)) > 0, F.col("mirrors")).otherwise(own)
-    links = rows.select("bucket", "turn", F.posexplode(mirrors).alias("k", "m")).select("bucket", F.struct("turn", "k").alias("turn"), "m.*")
-    links = links.groupBy("bucket", "source").agg(F.min("turn").alias("turn"), *(first(c, _has(c)) for c in ("magnet_url", "torrent_url", "detail_url")))
+    whole = stage(X.once(with_keys(items), time=X.timestamp(F.col("published_at"))), "items", compression="zstd")
+    shared = stage(_shared_titles(whole), "shared", compression="zstd")
+    hashed = whole.where(_has("own_hash")).withColumns({"key": _digest(F.concat(F.lit("hash:"), "own_hash")), "asks": F.lit(False)})
+    rest = whole.where(~_has("own_hash")).withColumns({"key": _digest(F.coalesce("title_key", F.lit(""))), "asks": F.col("own_hash").isNull()})
+    rest = _may_share(rest, shared, bits).withColumn("shares", F.col("shares") | (F.coalesce(F.size("mirrors"), F.lit(0)) > 0))
+    pool = hashed.unionByName(rest.where("shares").drop("shares"))
+    heavy = stage(heavy_keys(pool, ["key"]), "heavy")
+    alias = shared.where("alias_hash IS NOT NULL")
+
+    def placed(rows: DataFrame, spread: Column) -> DataFrame:
+        """Sums by ``key`` and ``asks`` with their ``bucket_key``; ``alias_hash`` where they take another's hash."""
+        found = looked_up(rows, alias, ["key"], spread, heavy=heavy)
+        return found.withColumns({"bucket_key": F.when(F.col("asks"), F.coalesce("bucket_key", "key")).otherwise(F.col("key")), "alias_hash": F.when(F.col("asks"), F.col("alias_hash"))})
+
+    cells = placed(_cells(pool), F.col("ord")).withColumn("hash", F.coalesce(X.empty_as_null(F.col("record.own_hash")), "alias_hash"))
+    cells = cells.groupBy("bucket_key", "mask", "source", "blank").agg(F.min("ord").alias("ord"), *(F.min_by(c, "ord").alias(c) for c in ("record", "hash")), F.sum("n").alias("n"), F.max("late").alias("late"))
+    turns = stage(_in_turn(cells), "turns", compression="zstd")
+    each = turns.select("bucket_key", F.explode("cells").alias("x")).select("bucket_key", "x.lost", "x.at", "x.source", "x.record")
+
+    def listed(c: str, cell: Column) -> DataFrame:
+        """``bucket_key, turn`` and an element as ``s``: of the cells' first records by their turn, and of lists that any record has by its place."""
+        lists = pool.where(F.size(c) > 0).groupBy("key", "asks", c).agg(F.min("ord").alias("at"))
+        lists = placed(lists, F.col("at")).select("bucket_key", F.lit(1).alias("lost"), "at", F.posexplode(c).alias("k", "s"))
+        return each.select("bucket_key", "lost", "at", F.posexplode(cell).alias("k", "s")).unionByName(lists).select("bucket_key", F.struct("lost", "at", "k").alias("turn"), "s")
+
+    own = F.struct("source", *(F.col(f"record.{c}").alias(c) for c in _LINKS)).cast(MIRROR)
+    links = listed("mirrors", F.when(F.coalesce(F.size("record.mirrors"), F.lit(0)) > 0, F.col("record.mirrors")).otherwise(F.array(own))).select("bucket_key", "turn", "s.*")
+    links = links.groupBy("bucket_key", "source").agg(F.min("turn").alias("turn"), *(F.min_by(F.when(_has(c), F.col(c)), F.when(_has(c), F.col("turn"))).alias(c) for c in _LINKS))
     in_turn = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda x: x[c])
-    link = F.struct("source", "magnet_url", "torrent_url", "detail_url").alias("m")
-    links = links.select("bucket", "turn", link).groupBy("bucket").agg(in_turn("m").alias("mirrors"))
-    sources = rows.select("bucket", "turn", F.posexplode(F.coalesce("sources", F.array("source"))).alias("k", "s"))
-    tags = rows.select("bucket", "turn", F.posexplode("tags").alias("k", "s"))
-    ordered = lambda df, name: df.groupBy("bucket", "s").agg(F.min(F.struct("turn", "k")).alias("turn")).groupBy("bucket").agg(in_turn("s").alias(name))
-    out = out.join(links, "bucket", "left").join(ordered(sources, "sources"), "bucket", "left").join(ordered(tags, "tags"), "bucket", "left")
-    out = out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    links = links.select("bucket_key", "turn", F.struct("source", *_LINKS).alias("m")).groupBy("bucket_key").agg(in_turn("m").alias("mirrors"))
+    ordered = lambda df, name: df.groupBy("bucket_key", "s").agg(F.min("turn").alias("turn")).groupBy("bucket_key").agg(in_turn("s").alias(name))
+    sources = ordered(listed("sources", F.coalesce("record.sources", F.array("source"))), "sources")
+    out = _merged(turns).join(links, "bucket_key", "left").join(sources, "bucket_key", "left").join(ordered(listed("tags", F.col("record.tags")), "tags"), "bucket_key", "left")
+    out = out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).drop("bucket_key")
+    out = out.unionByName(_alone(rest.where("NOT shares")))
     return out.select("bucket", "n_merged", *[c.strip().split(" ")[0] for c in ("ord", "id", "title", "subtitle", "source", "sources", "mirrors", "published_at", "size", "seeders", "leechers", "info_hash", "magnet_url", "torrent_url", "detail_url", "tags")])

@@ -62,9 +62,9 @@ class Staged:
         remove(self.spark, self.path)
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, **write_options) -> DataFrame:
     """Write and read back a table that the caller's result goes on reading."""
-    return Staged(df, tag).df
+    return Staged(df, tag, **write_options).df
 
 
 @atexit.register

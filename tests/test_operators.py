@@ -243,3 +243,19 @@ def test_only_items_without_a_hash_are_looked_up_by_title(spark, monkeypatch):
     got = {r.ord: r.bucket for r in module.keyed(rows).collect()}
     assert got == {1: "hash:h1", 2: "hash:h1", 3: "title:b", 4: "hash:h2", 5: "title:", 6: "title:"}
     assert sizes == [4]
+
+
+def test_records_that_share_nothing_are_not_summed(spark, monkeypatch):
+    """Only records with a hash and those of titles that several share go by their key; lists of any record of a cell count."""
+    from marlstone.operators import dedupe as module
+
+    counts, whole = [], module.heavy_keys
+    monkeypatch.setattr(module, "heavy_keys", lambda rows, *a, **k: counts.append(rows.count()) or whole(rows, *a, **k))
+    link = ("dmhy", "m", None, "")
+    rows = [item(k, f"Lone {k}", tags=["a", "b", "a"]) for k in range(200)] + [item(200 + k, "Pair", mirrors=[link] if k == 0 else None, torrent_url=f"u{k}", tags=["x", f"y{k}"]) for k in range(3)]
+    rows += [item(300, "Own", info_hash="a" * 40), item(301, "Own", published_at="2025-01-02"), item(302, "Given", mirrors=[link, link])]
+    got = {r.ord: r for r in dedupe(spark.createDataFrame(rows, ITEM)).collect()}
+    assert counts[0] == 6 and len(got) == 203
+    assert got[7].tags == ["a", "b"] and [tuple(m) for m in got[7].mirrors] == [("nyaa", None, None, None)] and got[7].sources == ["nyaa"]
+    assert got[200].n_merged == 3 and got[200].tags == ["x", "y0", "y1", "y2"] and [tuple(m) for m in got[200].mirrors] == [("dmhy", "m", None, None), ("nyaa", None, "u1", None)]
+    assert got[300].n_merged == 2 and got[300].published_at == "2025-01-02" and [tuple(m) for m in got[302].mirrors] == [("dmhy", "m", None, None)]
