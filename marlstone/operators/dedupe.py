@@ -15,6 +15,7 @@ never meets in one task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,6 +78,7 @@ def _winners(cands: Column) -> Column:
 BITS = 1 << 26
 _TEXTS = ("size", "magnet_url", "torrent_url", "detail_url", "subtitle", "published_at")
 _LINKS = ("magnet_url", "torrent_url", "detail_url")
+_PLACES = Decimal(10**19)  # more than any place
 
 
 def _digest(c: Column) -> Column:
@@ -94,13 +96,13 @@ def _shared_titles(whole: DataFrame) -> DataFrame:
     return sums.where((F.col("n") > 1) | ((F.col("n") > 0) & F.col("given").isNotNull())).select("key", alias.alias("alias_hash"), _digest(F.concat(F.lit("hash:"), alias)).alias("bucket_key"))
 
 
-def _may_share(rows: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """Adds ``shares`` to rows with ``key``: true for all keys of ``shared`` and, by a bitmap, for a few others."""
-    place = F.xxhash64("key").bitwiseAND(bits - 1)
-    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} & 63 AS INT))")
-    words = shared.select(place.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit("_at")).alias("_bits"))
+def _among(rows: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """``rows`` with ``among``: true for all whose ``key`` is in ``keys`` and, by a bitmap, for a few others."""
+    place = F.xxhash64(key).bitwiseAND(bits - 1)
+    bit = F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")
+    words = keys.select(place.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     rows = rows.withColumn("_at", place).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word", "left")
-    return rows.withColumn("shares", F.coalesce(F.col("_bits").bitwiseAND(bit("_at")) != 0, F.lit(False))).drop("_word", "_bits", "_at")
+    return rows.withColumn("among", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits", "_at")
 
 
 def _link(of: Callable[[str], Column]) -> Column:
@@ -119,15 +121,27 @@ def _alone(rows: DataFrame) -> DataFrame:
 
 
 def _cells(pool: DataFrame) -> DataFrame:
-    """The first record of each cell, with ``n`` records in it and the latest time: all that a bucket's merge needs of them, but for lists."""
+    """Each cell's first place, its number of records and, in one number, its latest time with the first place at that time; numbers alone are summed."""
     has = [_has(c) for c in ("info_hash", "own_hash", *_TEXTS)] + [F.col(c).isNotNull() for c in ("seeders", "leechers", "sources")] + [F.coalesce(F.size("mirrors"), F.lit(0)) > 0]
     mask = reduce(Column.__add__, (F.when(h, 1 << k).otherwise(0) for k, h in enumerate(has)))
     # A hash of blanks counts as none in a bucket's first record alone, so such records do not stand for each other.
     blank = F.when(_has("info_hash") & ~_has("own_hash"), F.col("ord"))
-    record = F.struct("id", "title", "info_hash", "own_hash", F.when(~_has("own_hash"), F.col("title_key")).alias("title_key"), *_TEXTS, "seeders", "leechers", "sources", "mirrors", "tags")
-    time = F.when(F.col("time").isNotNull(), F.struct(F.unix_micros("time").alias("t"), (-F.col("ord")).alias("b"), "published_at"))
-    rows = pool.select("key", "asks", mask.alias("mask"), "source", blank.alias("blank"), "ord", record.alias("record"), time.alias("late"))
-    return rows.groupBy("key", "asks", "mask", "source", "blank").agg(F.min("ord").alias("ord"), F.min_by("record", "ord").alias("record"), F.count("*").alias("n"), F.max("late").alias("late"))
+    late = (F.unix_micros("time").cast("decimal(19,0)") * _PLACES + (_PLACES - 1 - F.col("ord").cast("decimal(19,0)"))).cast("decimal(38,0)")
+    rows = pool.select("key", "asks", mask.alias("mask"), "source", blank.alias("blank"), "ord", late.alias("late"))
+    return rows.groupBy("key", "asks", "mask", "source", "blank").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.max("late").alias("late"))
+
+
+def _with_records(cells: DataFrame, whole: DataFrame, bits: int) -> DataFrame:
+    """The cells with their first ``record`` and, as ``late``, their latest time, its place and its text; no other records are shuffled."""
+    place = F.pmod("late", _PLACES)
+    cells = cells.withColumns({"t": ((F.col("late") - place) / _PLACES).cast("long"), "late_ord": (_PLACES - 1 - place).cast("long")}).drop("late")
+    cells = stage(cells, "cells", compression="zstd")
+    rows = _among(whole, cells.select(F.explode(F.array("ord", "late_ord")).alias("ord")).dropna(), "ord", bits).where("among")
+    title_key = F.when(~_has("own_hash"), F.col("title_key")).alias("title_key")
+    rows = stage(rows.select("ord", F.struct("id", "title", "info_hash", "own_hash", title_key, *_TEXTS, "seeders", "leechers", "sources", "mirrors", "tags").alias("record")), "records", compression="zstd")
+    late = rows.select(F.col("ord").alias("late_ord"), F.col("record.published_at").alias("text"))
+    at = F.when(F.col("t").isNotNull(), F.struct("t", (-F.col("late_ord")).alias("b"), F.col("text").alias("published_at")))
+    return cells.join(late, "late_ord", "left").withColumn("late", at).drop("t", "late_ord", "text").join(rows, "ord")
 
 
 def _in_turn(cells: DataFrame) -> DataFrame:
@@ -173,13 +187,13 @@ def dedupe(items: DataFrame, bits: int = BITS) -> DataFrame:
 
     Records that share neither hash nor title are not shuffled in whole. Of the others a cell holds those of one hash or title
     that have values in the same columns and one source. Its first record has all that the cell can give but for lists, so cells
-    are summed before the shuffle, and they alone are looked up by title and put together, at most some hundred for a bucket.
+    are summed as numbers before the shuffle, and their first records alone are put together, at most some hundred for a bucket.
     """
     whole = stage(X.once(with_keys(items), time=X.timestamp(F.col("published_at"))), "items", compression="zstd")
     shared = stage(_shared_titles(whole), "shared", compression="zstd")
     hashed = whole.where(_has("own_hash")).withColumns({"key": _digest(F.concat(F.lit("hash:"), "own_hash")), "asks": F.lit(False)})
     rest = whole.where(~_has("own_hash")).withColumns({"key": _digest(F.coalesce("title_key", F.lit(""))), "asks": F.col("own_hash").isNull()})
-    rest = _may_share(rest, shared, bits).withColumn("shares", F.col("shares") | (F.coalesce(F.size("mirrors"), F.lit(0)) > 0))
+    rest = _among(rest, shared, "key", bits).withColumn("shares", F.col("among") | (F.coalesce(F.size("mirrors"), F.lit(0)) > 0)).drop("among")
     pool = hashed.unionByName(rest.where("shares").drop("shares"))
     heavy = stage(heavy_keys(pool, ["key"]), "heavy")
     alias = shared.where("alias_hash IS NOT NULL")
@@ -189,8 +203,8 @@ def dedupe(items: DataFrame, bits: int = BITS) -> DataFrame:
         found = looked_up(rows, alias, ["key"], spread, heavy=heavy)
         return found.withColumns({"bucket_key": F.when(F.col("asks"), F.coalesce("bucket_key", "key")).otherwise(F.col("key")), "alias_hash": F.when(F.col("asks"), F.col("alias_hash"))})
 
-    cells = placed(_cells(pool), F.col("ord")).withColumn("hash", F.coalesce(X.empty_as_null(F.col("record.own_hash")), "alias_hash"))
-    cells = cells.groupBy("bucket_key", "mask", "source", "blank").agg(F.min("ord").alias("ord"), *(F.min_by(c, "ord").alias(c) for c in ("record", "hash")), F.sum("n").alias("n"), F.max("late").alias("late"))
+    cells = placed(_cells(pool), F.col("ord")).groupBy("bucket_key", "mask", "source", "blank").agg(F.min("ord").alias("ord"), F.sum("n").alias("n"), F.max("late").alias("late"), F.max("alias_hash").alias("alias_hash"))
+    cells = _with_records(cells, whole, bits).withColumn("hash", F.coalesce(X.empty_as_null(F.col("record.own_hash")), "alias_hash"))
     turns = stage(_in_turn(cells), "turns", compression="zstd")
     each = turns.select("bucket_key", F.explode("cells").alias("x")).select("bucket_key", "x.lost", "x.at", "x.source", "x.record")
 

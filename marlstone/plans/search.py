@@ -115,29 +115,49 @@ class Prepared:
     warnings: list[str] = field(default_factory=list)
 
 
-def prepared(items: DataFrame, warnings: list[str] | None = None) -> Prepared:
-    entities = stage(dedupe(items), "entities")
-    annotated = stage(releases.annotate(entities), "annotated")
+#: What the rules, the choice and the places in groups read of an annotated entity.
+_READ = ("ord", "title", "parsed", "series_key", "season", "episode", "episode_range", "version", "resolution", "group", "seeders", "published")
+
+
+def prepared(items: DataFrame, warnings: list[str] | None = None, shown: tuple[str, ...] | None = None) -> Prepared:
+    """``shown``: the columns of items that the answer shows, if not all; no others are carried on from the entities."""
+    entities = dedupe(items)
+    if shown is None:
+        entities = stage(entities, "entities")
+        annotated = stage(releases.annotate(entities), "annotated")
+    else:
+        annotated = releases.annotate(entities)
+        annotated = stage(annotated.select(*(c for c in annotated.columns if c in _READ or c in shown)), "annotated", compression="zstd")
+        entities = annotated
     remap, ranking = series.remap(series.entries(annotated)), series.group_ranking(annotated)
     return Prepared(entities, annotated, stage(remap, "remap"), stage(ranking, "ranking"), warnings or [])
 
 
-def finished(ready: Prepared, prefer: str | None = None, refiner: Refiner | None = None) -> tuple[DataFrame, DataFrame]:
+def finished(ready: Prepared, prefer: str | None = None, refiner: Refiner | None = None, shown: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(items of groups, ungrouped items), with what a refiner's answer says laid over the rules."""
-    remap, ranking = ready.remap, ready.ranking
+    remap, ranking, annotated = ready.remap, ready.ranking, ready.annotated
     if refiner is not None:
-        more, scores = refiner.lookups(ready.annotated)
+        more, scores = refiner.lookups(annotated)
         remap, ranking = series.overlay(remap, more, "key", "canonical"), series.overlay(ranking, scores, "name", "score")
-    best = stage(releases.best_per_episode(ready.annotated, remap, ranking, prefer), "best")
-    return releases.grouped(best)
+    if shown is not None:
+        # A group is named by its series; the title stands in for a missing name alone, unless it is shown.
+        name = X.empty_as_null(F.col("parsed.series"))
+        annotated = annotated.withColumn("parsed", F.struct(name.alias("series")))
+        annotated = annotated if prefer or "title" in shown else annotated.withColumn("title", F.when(name.isNull(), F.col("title")))
+    best = releases.best_per_episode(annotated, remap, ranking, prefer)
+    if shown is not None:
+        best = best.select(*(c for c in best.columns if c in shown or c in _PLACED))
+    return releases.grouped(stage(best, "best", **({} if shown is None else {"compression": "zstd"})))
 
 
-def arranged(items: DataFrame, prefer: str | None = None, refiner: Refiner | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, items of groups, ungrouped items) of a relation of items."""
-    ready = prepared(items)
-    return ready.entities, *finished(ready, prefer, refiner)
+def arranged(items: DataFrame, prefer: str | None = None, refiner: Refiner | None = None, shown: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, items of groups, ungrouped items) of a relation of items; with ``shown``, only these columns of items and those that order them."""
+    ready = prepared(items, shown=shown)
+    return ready.entities, *finished(ready, prefer, refiner, shown)
 
 
+#: What places an item of the best ones in its group and the group among others.
+_PLACED = ("ord", "title", "parsed", "series_key", "canonical", "season", "episode", "published", "passed", "place")
 #: Columns of a response's item that order it or belong to its group.
 _PLACES = ("ord", "group_key", "group_series", "group_season", "group_rank", "item_rank", "n_items", "place", "passed", "parsed")
 
